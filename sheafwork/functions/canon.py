@@ -26,4 +26,5 @@ def label_key(text: Column) -> Column:
 def document_key(text: Column) -> Column:
     """Spelling-free key of a document identifier: case, blanks, separators and a trailing ``.md`` do not count."""
     low = F.regexp_replace(F.lower(nfkc(text)), r"(?U)^\s+|\s+$", "")
-    return F.regexp_replace(F.regexp_replace(low, r"\.md$", ""), r"[^\p{L}\p{N}]+", "_")
+    joined = F.regexp_replace(F.regexp_replace(low, r"\.md$", ""), r"[^\p{L}\p{N}]+", "_")
+    return F.regexp_replace(joined, r"^_+|_+$", "")
