@@ -25,7 +25,8 @@ MIN_WORDS, MIN_OVERLAP = 10, 0.7
 MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 2, 63
 #: Least share of a record's words in shared chunks for a pair to be looked at.
 MIN_SHARED = 0.15
-MIN_EQUAL_BITS = 43
+#: Equal sketch bits (of 128) for a pair to be looked at: 4.2 standard deviations under the mean of two texts at the least overlap.
+MIN_EQUAL_BITS = 92
 #: Rows of a lookup up to which it is broadcast; beyond, the join shuffles.
 MAX_BROADCAST = 1_000_000
 
@@ -56,17 +57,20 @@ def _chunks(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def chunked(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(record, seq_id, size, bits, chunks): word sequence digest, number of distinct words, sketch and chunks of each (record, text) with at least ``min_words`` words."""
+    """(record, seq_id, size, total, bits, bits2, chunks) of each (record, text) with at least ``min_words`` words: digest of the word sequence, number of distinct words,
+    words in distinct chunks, a sketch of 128 bits, distinct chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, h = hashed_words(b.column(1).to_pylist())
             so, sh = distinct_words(offsets, h)
             co, c = _chunks(offsets, h)
-            cols = [b.column(0), pa.array(signed(fold(offsets, h, 2))), pa.array(np.diff(so).astype(np.int32)), pa.array(signed(sketch(so, sh))), list_column(co, signed(c), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["record", "seq_id", "size", "bits", "chunks"]).filter(pa.array(np.diff(offsets) >= min_words))
+            lengths = np.concatenate([[0], np.cumsum((c & np.uint64(63)).astype(np.int64))])
+            cols = [b.column(0), pa.array(signed(fold(offsets, h, 2))), pa.array(np.diff(so).astype(np.int32)), pa.array((lengths[co[1:]] - lengths[co[:-1]]).astype(np.int32)),
+                    pa.array(signed(sketch(so, sh))), pa.array(signed(sketch(so, sh, salt=1900))), list_column(co, signed(c), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["record", "seq_id", "size", "total", "bits", "bits2", "chunks"]).filter(pa.array(np.diff(offsets) >= min_words))
 
-    return rows.select("record", "text").mapInArrow(run, "record string, seq_id bigint, size int, bits bigint, chunks array<bigint>")
+    return rows.select("record", "text").mapInArrow(run, "record string, seq_id bigint, size int, total int, bits bigint, bits2 bigint, chunks array<bigint>")
 
 
 def _small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
@@ -75,64 +79,75 @@ def _small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
 
 
 def word_sets(rows: DataFrame) -> DataFrame:
-    """(record, words): distinct word hashes (64 bit) of each (record, text)."""
+    """(record, words, chunks): distinct word hashes (64 bit) and distinct chunks of each (record, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            so, sh = distinct_words(*hashed_words(b.column(1).to_pylist()))
-            yield pa.RecordBatch.from_arrays([b.column(0), list_column(so, signed(sh), pa.int64())], ["record", "words"])
+            offsets, h = hashed_words(b.column(1).to_pylist())
+            so, sh = distinct_words(offsets, h)
+            co, c = _chunks(offsets, h)
+            yield pa.RecordBatch.from_arrays([b.column(0), list_column(so, signed(sh), pa.int64()), list_column(co, signed(c), pa.int64())], ["record", "words", "chunks"])
+
+    return rows.select("record", "text").mapInArrow(run, "record string, words array<bigint>, chunks array<bigint>")
+
+
+def _equal_bits(x: str, y: str):
+    return 64 - F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+
 
-    return rows.select("record", "text").mapInArrow(run, "record string, words array<bigint>")
+def candidates(rec: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(a, b): word sequence digests of a training and a held-out record that share a leading chunk, are of like size and have like sketches.
+
+    Chunks of one side only can't be shared and are dropped after counting. Of a record's remaining chunks, the commonest are passed over as long as
+    those left out sum below MIN_SHARED of its words: two records that share so much share one of the others as well. So boilerplate costs no pairs, and no chunk is capped.
+    Copies of a word sequence on one side go once; the lookups are broadcast while they are small.
+    """
+    member = rec.select("record", "seq_id", "held")
+    repeated = member.groupBy("seq_id", "held").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seq_id", "held", "first")
+    copies = cut(member.join(_small(cut(repeated)), ["seq_id", "held"]).where("record <> first").select("record", "held"))
+    parts = rec.join(_small(copies), ["record", "held"], "left_anti").select("seq_id", "held", "size", "total", "bits", "bits2", F.explode("chunks").alias("chunk"))
+    counts = parts.groupBy("chunk").agg(F.count_if(~F.col("held")).alias("nt"), F.count_if("held").alias("nh")).where("nt > 0 and nh > 0")
+    counts = cut(counts.select("chunk", (F.col("nt") + F.col("nh")).alias("df")))
+    rest = Window.partitionBy("seq_id", "held").orderBy(F.col("df").desc(), F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    tail = F.sum(F.col("chunk").bitwiseAND(F.lit(63))).over(rest)
+    # kept: every chunk at which the commonest ones, itself included, sum up to the least share
+    lead = parts.join(_small(counts), "chunk").withColumn("tail", tail).where(F.col("tail") >= MIN_SHARED * F.col("total"))
+    t = lead.where("not held").select("chunk", F.col("seq_id").alias("a"), F.col("size").alias("ts"), F.col("bits").alias("t1"), F.col("bits2").alias("t2"))
+    h = lead.where("held").select("chunk", F.col("seq_id").alias("b"), F.col("size").alias("hs"), F.col("bits").alias("h1"), F.col("bits2").alias("h2"))
+    likely = (F.least("ts", "hs") >= min_overlap * F.greatest("ts", "hs")) & (_equal_bits("t1", "h1") + _equal_bits("t2", "h2") >= MIN_EQUAL_BITS)
+    return t.join(h, "chunk").where(likely).select("a", "b").distinct()
 
 
 def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """(train, held, overlap, shared): every pair of a train record and a validation or test record whose word overlap reaches ``min_overlap``,
     with the share of the held-out record's words in chunks that the training record has too.
 
-    ``rows``: (record, text); ``splits``: (record, side) with side ``train`` or ``held``. NULLs, texts below ``min_words`` words and records without a split link nothing;
+    ``rows``: (record, text); ``splits``: (record, held). NULLs, texts below ``min_words`` words and records without a split link nothing;
     repeated rows count once; a record in both sides links to itself never. Equal word sequences are one class per side until the end.
-
-    Chunks: those of one side only can't be shared and are dropped after counting. Of a record's remaining chunks, the commonest are passed over as long as
-    those left out sum below MIN_SHARED of its words: two records that share so much share one of the others as well. So boilerplate costs no pairs, and no chunk is capped.
     """
-    rec = cut(chunked(rows.where("record is not null and text is not null"), min_words).join(splits, "record"))
-    cls = rec.groupBy("seq_id", "side").agg(F.min("record").alias("rep"))
-    reps = rec.join(cls.select(F.col("rep").alias("record"), "side").distinct(), ["record", "side"], "left_semi").select("seq_id", "side", "size", "bits", "chunks").dropDuplicates(["seq_id", "side"])
-    reps = cut(reps)
-    parts = reps.select("seq_id", "side", "size", "bits", F.explode("chunks").alias("chunk"))
-    counts = parts.groupBy("chunk").agg(F.count_if(F.col("side") == "train").alias("nt"), F.count_if(F.col("side") == "held").alias("nh")).where("nt > 0 and nh > 0")
-    counts = cut(counts.select("chunk", (F.col("nt") + F.col("nh")).alias("df")))
-    shared = parts.join(_small(counts), "chunk").withColumn("n", F.col("chunk").bitwiseAND(F.lit(63)))
-    rest = Window.partitionBy("seq_id", "side").orderBy(F.col("df").desc(), F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    total = reps.select("seq_id", "side", F.aggregate("chunks", F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit(63))).alias("total"))
-    # every chunk at which the commonest ones, itself included, sum up to the least share
-    lead = shared.withColumn("tail", F.sum("n").over(rest)).join(total, ["seq_id", "side"]).where(F.col("tail") >= MIN_SHARED * F.col("total"))
-    lead = lead.select("chunk", "seq_id", "side", "size", "bits")
-    t = lead.where("side = 'train'").select("chunk", F.col("seq_id").alias("t"), F.col("size").alias("ts"), F.col("bits").alias("tb"))
-    h = lead.where("side = 'held'").select("chunk", F.col("seq_id").alias("h"), F.col("size").alias("hs"), F.col("bits").alias("hb"))
-    likely = (F.least("ts", "hs") >= min_overlap * F.greatest("ts", "hs")) & (64 - F.bit_count(F.col("tb").bitwiseXOR(F.col("hb"))) >= MIN_EQUAL_BITS)
-    cand = cut(t.join(h, "chunk").where(likely).select("t", "h").distinct())
+    rows = rows.where("record is not null and text is not null")
+    rec = cut(chunked(rows, min_words).join(_small(cut(splits)), "record"))
+    cand = cut(candidates(rec, min_overlap))
     # exact check on the words of one record of each class that has a candidate
-    ends = cand.select(F.col("t").alias("seq_id")).unionByName(cand.select(F.col("h").alias("seq_id"))).distinct()
-    which = cut(rec.groupBy("seq_id").agg(F.min("record").alias("record")).join(ends, "seq_id", "left_semi"))
-    text = rows.where("record is not null and text is not null").join(_small(which), "record")
-    sets = word_sets(text).groupBy("record").agg(F.first("words").alias("words"))
-    sets = cut(sets.join(which, "record").select(F.col("seq_id").alias("id"), "words"))
-    close = with_overlap(cand.select(F.col("t").alias("a"), F.col("h").alias("b")), sets).where(F.col("overlap") >= min_overlap)
-    held = reps.where("side = 'held'").select(F.col("seq_id").alias("b"), F.col("chunks").alias("hc"))
-    train = reps.where("side = 'train'").select(F.col("seq_id").alias("a"), F.col("chunks").alias("tc"))
+    ends = cand.select(F.col("a").alias("seq_id")).unionByName(cand.select(F.col("b").alias("seq_id"))).distinct()
+    which = cut(rec.select("record", "seq_id").join(_small(cut(ends)), "seq_id", "left_semi").groupBy("seq_id").agg(F.min("record").alias("record")))
+    sets = word_sets(rows.join(_small(which), "record")).groupBy("record").agg(F.first("words").alias("words"), F.first("chunks").alias("chunks"))
+    sets = cut(sets.join(which, "record").select(F.col("seq_id").alias("id"), "words", "chunks"))
+    close = cut(with_overlap(cand, sets).where(F.col("overlap") >= min_overlap))
+    of = lambda x: sets.select(F.col("id").alias(x), F.col("chunks").alias(f"{x}_chunks"))
     length = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit(63)))
-    close = close.join(held, "b").join(train, "a").select("a", "b", "overlap", (length(F.array_intersect("hc", "tc")) / length(F.col("hc"))).alias("shared"))
-    member = rec.select("record", "seq_id", "side").distinct()
-    mt = member.where("side = 'train'").select(F.col("seq_id").alias("a"), F.col("record").alias("train"))
-    mh = member.where("side = 'held'").select(F.col("seq_id").alias("b"), F.col("record").alias("held"))
+    shared = length(F.array_intersect("b_chunks", "a_chunks")) / length(F.col("b_chunks"))
+    close = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "overlap", shared.alias("shared"))
+    member = rec.select("record", "seq_id", "held").distinct()
+    mt = member.where("not held").select(F.col("seq_id").alias("a"), F.col("record").alias("train"))
+    mh = member.where("held").select(F.col("seq_id").alias("b"), F.col("record").alias("held"))
     return close.join(mt, "a").join(mh, "b").where("train <> held").select("train", "held", "overlap", "shared").distinct()
 
 
 def sides(split_assignment: DataFrame) -> DataFrame:
-    """(record, side) of every record with a known split; validation and test are ``held``."""
+    """(record, held) of every record with a known split; validation and test are held out."""
     s = split_assignment.where("requirement_uid is not null").select(F.col("requirement_uid").alias("record"), F.lower(F.trim("split")).alias("split"))
-    return s.select("record", F.when(F.col("split") == "train", "train").when(F.col("split").isin("validation", "test"), "held").alias("side")).where("side is not null").distinct()
+    return s.where(F.col("split").isin("train", "validation", "test")).select("record", (F.col("split") != "train").alias("held")).distinct()
 
 
 def overlapping_pairs(labels: DataFrame, split_assignment: DataFrame) -> DataFrame:
