@@ -73,12 +73,19 @@ def cell_quotas(labels: DataFrame, targets: DataFrame) -> DataFrame:
                        F.floor(F.coalesce(F.col("sample_size") * F.col("target_share"), F.lit(0.0)) + 0.5 + 1e-9).cast("int").alias("share_rows")).distinct()
     t = t.withColumn("need", F.greatest("floor", "share_rows", F.lit(0))).join(cells, ["doc", "action"], "left").withColumn("available", F.coalesce("available", F.lit(0)).cast("int"))
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        quota, short = quotas(pdf["need"].tolist(), pdf["floor"].tolist(), pdf["available"].tolist())
-        return pdf.assign(quota=quota, shortfall=short)[["document_id", "primary_action", "doc", "action", "need", "available", "quota", "shortfall"]]
+    # one row per document, whose list is as long as it has target rows; no per-group frames
+    cells = ["document_id", "primary_action", "action", "floor", "need", "available"]
+    grouped = t.select(F.coalesce("doc", F.lit("")).alias("doc"), F.struct(*cells).alias("cell")).groupBy("doc").agg(F.sort_array(F.collect_list("cell")).alias("cells"))
 
-    kinds = "document_id string, primary_action string, doc string, action string, need int, available int, quota int, shortfall int"
-    return t.select("document_id", "primary_action", F.coalesce("doc", F.lit("")).alias("doc"), "action", "floor", "need", "available").groupBy("doc").applyInPandas(solve, kinds)
+    @F.pandas_udf("array<struct<quota: int, shortfall: int>>")
+    def solve(column: pd.Series) -> pd.Series:
+        def one(rows):
+            return [{"quota": q, "shortfall": s} for q, s in zip(*quotas(*([int(r[k]) for r in rows] for k in ("need", "floor", "available"))))]
+
+        return column.map(one)
+
+    solved = grouped.withColumn("x", F.explode(F.arrays_zip("cells", solve("cells").alias("solved"))))
+    return solved.select("doc", *[f"x.cells.{c}" for c in cells if c != "floor"], "x.solved.quota", "x.solved.shortfall")
 
 
 def draw(labels: DataFrame, targets: DataFrame, seed: int = 29, salts: int = 64) -> DataFrame:
