@@ -13,6 +13,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 from sheafwork.llm.records import latest_state
 
@@ -75,22 +76,22 @@ def deletions(token: str) -> list[str]:
     return list({"".join(c for i, c in enumerate(token) if i not in gone) for r in range(k + 1) for gone in map(set, combinations(range(len(token)), r))})
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _tokens(v: pd.Series) -> pd.Series:
     return v.map(value_tokens)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _spelled(v: pd.Series) -> pd.Series:
     return v.map(spelled)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _deletions(v: pd.Series) -> pd.Series:
     return v.map(deletions)
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
