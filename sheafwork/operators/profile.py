@@ -79,15 +79,15 @@ def distribution_gap(population: DataFrame, sample: DataFrame, value: str) -> Da
 def edge_rows(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
     """First, middle, last and longest row of each group (longest: first on ties)."""
     w = Window.partitionBy(by)
-    r = rows.select(by, order, F.coalesce(F.length(text), F.lit(0)).alias("length"))
-    r = r.withColumn("k", F.row_number().over(w.orderBy(order))).withColumn("c", F.count(F.lit(1)).over(w)).withColumn("l", F.row_number().over(w.orderBy(F.desc("length"), order)))
-    reasons = F.filter(F.array(F.when(F.col("k") == 1, "first"), F.when(F.col("k") == F.floor((F.col("c") - 1) / 2) + 1, "middle"), F.when(F.col("k") == F.col("c"), "last"), F.when(F.col("l") == 1, "longest")), lambda x: x.isNotNull())
-    return r.select(by, order, F.explode(reasons).alias("reason"))
+    r = rows.select(by, order, F.coalesce(F.length(text), F.lit(0)).alias("_length"))
+    r = r.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_l", F.row_number().over(w.orderBy(F.desc("_length"), order)))
+    tests = ((F.col("_k") == 1, "first"), (F.col("_k") == F.floor((F.col("_c") - 1) / 2) + 1, "middle"), (F.col("_k") == F.col("_c"), "last"), (F.col("_l") == 1, "longest"))
+    return r.select(by, order, F.explode(F.filter(F.array(*[F.when(t, n) for t, n in tests]), lambda x: x.isNotNull())).alias("reason"))
 
 
 def per_stratum(rows: DataFrame, strata: tuple[str, ...], quota: Column, order: tuple[Column, ...]) -> DataFrame:
     """The first ``quota`` rows of each stratum."""
-    return rows.withColumn("k", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("k") <= quota).drop("k")
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_k") <= quota).drop("_k")
 
 
 def round_robin(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
