@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from sheafwork.llm.records import record_texts
 
 LIMIT, OVERLAP = 1500, 100
-_TOKEN = re.compile(r"[^ \t\r\n]+|[ \t\r\n]+")
+_TOKEN = re.compile(r"[^ \t\r\n]+|[ \t\r\n]")  # every blank is an edge of its own
 _SENTENCE_END = (".", "?", "!", "。", "다.", "함.")
 
 

@@ -122,7 +122,13 @@ def map_values(values: DataFrame, catalog: DataFrame, threshold: float = THRESHO
     terms = _names(catalog)
     entries = max(1, catalog.select("type_id").distinct().count())
     idf = terms.groupBy("term").agg(F.countDistinct("type_id").alias("df")).select("term", F.log(1 + F.lit(entries) / F.col("df")).alias("idf"))
-    keyed = lambda d, c: d.select(c).distinct().withColumn(f"{c}_nfd", _spelled(c)).withColumn("key", F.explode(_deletions(f"{c}_nfd")))
+    # a token longer than every term by more than the edits allowed is near none; it gets no neighbourhood
+    longest = terms.select(F.max(F.length(_spelled("term")))).first()[0] or 0
+
+    def keyed(d: DataFrame, c: str) -> DataFrame:
+        spelt = d.select(c).distinct().where(F.length(c) <= longest + 2).withColumn(f"{c}_nfd", _spelled(c)).where(F.length(f"{c}_nfd") <= longest + 2)
+        return spelt.withColumn("key", F.explode(_deletions(f"{c}_nfd")))
+
     near = keyed(tokens, "token").join(keyed(terms, "term"), "key").select("token", "term", "token_nfd", "term_nfd").distinct()
     near = near.where("abs(length(token_nfd) - length(term_nfd)) <= 2").withColumn("d", _distance("token_nfd", "term_nfd")).withColumn("n", F.length("term_nfd"))
     near = near.where(F.col("d") <= F.when(F.col("n") <= 3, 0).when(F.col("n") <= 7, 1).otherwise(2))
