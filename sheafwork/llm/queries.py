@@ -95,5 +95,26 @@ def queries() -> dict:
     return q
 
 
+def _doc(c: str) -> str:
+    return f"regexp_replace(regexp_replace(regexp_replace(lower(trim({c})), '\\.md$', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+
+
+def _label(c: str) -> str:
+    return f"regexp_replace(nfc_normalize({c}), '[^가-힣A-Za-z0-9]', '', 'g')"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Plain SQL on whole tables. The other operators are tested against brute force, round trips and known truth in tests/llm."""
+    return {
+        "p2_found": """select distinct requirement_uid, case when list_max(list_transform(regexp_split_to_array(raw_requirement_text, '[ \t\r\n]+'), lambda x: length(x))) > 1500 then 'forced' else 'natural' end as kind
+from label_dataset_v2 where length(raw_requirement_text) > 1500 and requirement_uid is not null""",
+        "p3_found": f"""with recursive d as (select {_doc('document_id')} as doc, {_doc('supersedes_document_id')} as old, lower(trim(source_sha256)) as sha, left(regexp_replace(notice_no, '[^0-9]', '', 'g'), 11) as notice from source_docs),
+e as (select doc as u, 'd:' || old as v from d where old <> '' union select doc, 'h:' || sha from d where length(sha) = 64 union select doc, 'n:' || notice from d where length(notice) = 11),
+n as (select 'd:' || u as u, v from e union select v, 'd:' || u from e), s as (select distinct document_id, 'd:' || {_doc('document_id')} as k from label_dataset_v2 where document_id is not null),
+r as (select k as a, k as b from s union select r.a, n.v from r join n on r.b = n.u)
+select x.document_id as document_id_a, y.document_id as document_id_b from (select distinct a, b from r) p join s x on x.k = p.a join s y on y.k = p.b where x.document_id < y.document_id""",
+        "p4_found": f"""with rec as (select * from label_dataset_v2 where requirement_uid is not null qualify row_number() over (partition by requirement_uid order by built_at desc) = 1),
+c as (select {_doc('document_id')} as d, {_label('primary_action')} as a, count(*) as n from rec group by all)
+select distinct t.document_id, t.primary_action from sample_targets t left join c on c.d = {_doc('t.document_id')} and c.a = {_label('t.primary_action')}
+where coalesce(c.n, 0) < greatest(coalesce(t.min_rows, 0), floor(t.sample_size * t.target_share + 0.5))""",
+    }
