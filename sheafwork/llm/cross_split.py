@@ -1,7 +1,8 @@
 """Problem 5: records of the evaluation splits that are also, exactly or almost, in the training split.
 
-Method: content-defined chunks. A rolling hash cuts the normalised records, chunk digests are joined across splits, shared chunk lengths add up
-to overlap fractions; pairs that share enough are checked exactly on their words.
+Method: an exact prefix filter on words gives every pair that can reach the overlap, and pairs are checked exactly on their words. Content-defined
+chunks (a rolling hash cuts the normalised records) give the share of a held-out record that stands in a found training record; they decide no pair,
+as edits spread over a text break nearly every chunk.
 """
 
 from __future__ import annotations
@@ -12,21 +13,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sheafwork.functions.canon import document_key
 from sheafwork.llm.pairs import with_overlap
 from sheafwork.llm.records import latest_state, record_texts
-from sheafwork.llm.words import distinct_words, fold, hashed_words, list_column, mix, signed, sketch
+from sheafwork.llm.words import distinct_words, fold, hashed_words, list_column, mix, signed
 from sheafwork.session import cut
 
 MIN_WORDS, MIN_OVERLAP = 10, 0.7
 #: Cut where the rolling hash of the last word is 0 modulo this and the chunk has MIN_CHUNK words; chunks have about 3 words.
 MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 2, 63
-#: Least share of a record's words in shared chunks for a pair to be looked at.
-MIN_SHARED = 0.15
-#: Equal sketch bits (of 128) for a pair to be looked at: 4.2 standard deviations under the mean of two texts at the least overlap.
-MIN_EQUAL_BITS = 92
+#: 64-bit parts of a record's parity map.
+MAP_PARTS = 4
+#: The same of the maps that candidates are held against before their words are.
+WIDE_PARTS = 16
+#: Words of both sides whose frequency orders the prefixes (16 bytes each, shipped to the scan); rarer ones go by hash.
+MAX_RANKED = 1_000_000
+#: Bounds are this much looser, against rounding.
+SLACK = 1e-6
 #: Rows of a lookup up to which it is broadcast; beyond, the join shuffles.
 MAX_BROADCAST = 1_000_000
 
@@ -56,21 +60,58 @@ def _chunks(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.nda
     return distinct_words(np.searchsorted(ends, offsets, side="right").astype(np.int64), packed)
 
 
-def chunked(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(record, seq_id, size, total, bits, bits2, chunks) of each (record, text) with at least ``min_words`` words: digest of the word sequence, number of distinct words,
-    words in distinct chunks, a sketch of 128 bits, distinct chunks."""
+def worded(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(record, seq_id, size, words) of each (record, text) with at least ``min_words`` words: digest of the word sequence, number of distinct words, their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, h = hashed_words(b.column(1).to_pylist())
             so, sh = distinct_words(offsets, h)
-            co, c = _chunks(offsets, h)
-            lengths = np.concatenate([[0], np.cumsum((c & np.uint64(63)).astype(np.int64))])
-            cols = [b.column(0), pa.array(signed(fold(offsets, h, 2))), pa.array(np.diff(so).astype(np.int32)), pa.array((lengths[co[1:]] - lengths[co[:-1]]).astype(np.int32)),
-                    pa.array(signed(sketch(so, sh))), pa.array(signed(sketch(so, sh, salt=1900))), list_column(co, signed(c), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["record", "seq_id", "size", "total", "bits", "bits2", "chunks"]).filter(pa.array(np.diff(offsets) >= min_words))
+            cols = [b.column(0), pa.array(signed(fold(offsets, h, 2))), pa.array(np.diff(so).astype(np.int32)), list_column(so, signed(sh), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["record", "seq_id", "size", "words"]).filter(pa.array(np.diff(offsets) >= min_words))
+
+    return rows.select("record", "text").mapInArrow(run, "record string, seq_id bigint, size int, words array<bigint>")
+
+
+def parity_maps(offsets: np.ndarray, hashes: np.ndarray, parts: int = MAP_PARTS) -> list[np.ndarray]:
+    """``parts`` columns of 64 bits per (non-empty) set; each word flips one bit. Maps of two sets differ in at most as many bits as words are in one of the sets only."""
+    bit = mix(hashes, 77) % np.uint64(64 * parts)
+    flip = np.uint64(1) << (bit % np.uint64(64))
+    return [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == j, flip, np.uint64(0)), offsets[:-1]) for j in range(parts)]
+
+
+def prefixes(rec: DataFrame, ranked: np.ndarray, ranks: np.ndarray, complete: bool, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(seq_id, size, word, place, m0, m1, ..): the words of each record that a prefix filter needs, rare ones first, with their place in that order.
 
-    return rows.select("record", "text").mapInArrow(run, "record string, seq_id bigint, size int, total int, bits bigint, bits2 bigint, chunks array<bigint>")
+    ``ranked``: sorted word hashes, ``ranks``: their places in the common order; other words come before all of them, in the order of their hashes.
+    ``complete``: words that aren't ranked stand on one side only, so they take up a place but are not given.
+    """
+    names = ["seq_id", "size", "word", "place", *[f"m{j}" for j in range(MAP_PARTS)]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            size = b.column(1).to_numpy().astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            h = b.column(2).flatten().to_numpy().view(np.uint64)
+            own = np.repeat(np.arange(len(size)), size)
+            rank = np.zeros(len(h), np.int64)
+            if len(ranked):
+                at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
+                rank = np.where(ranked[at] == h, ranks[at], 0)
+            order = np.lexsort((h, rank, own))
+            place = np.arange(len(h)) - offsets[own]
+            least = np.ceil(min_overlap * size - SLACK).astype(np.int64)
+            keep = place <= (size - least)[own]
+            if complete:
+                keep &= rank[order] > 0
+            maps = [pa.array(signed(x)[own[keep]]) for x in parity_maps(offsets, h)]
+            kept = own[keep]
+            cols = [b.column(0).take(pa.array(kept)), pa.array(size[kept].astype(np.int32)), pa.array(signed(h[order][keep])), pa.array(place[keep].astype(np.int32)), *maps]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+    return rec.select("seq_id", "size", "words").mapInArrow(run, "seq_id bigint, size int, word bigint, place int, " + ", ".join(f"m{j} bigint" for j in range(MAP_PARTS)))
 
 
 def _small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
@@ -79,43 +120,58 @@ def _small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
 
 
 def word_sets(rows: DataFrame) -> DataFrame:
-    """(record, words, chunks): distinct word hashes (64 bit) and distinct chunks of each (record, text)."""
+    """(record, words, chunks, wide): distinct word hashes (64 bit), distinct chunks and a wide parity map of each (record, text) with words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             offsets, h = hashed_words(b.column(1).to_pylist())
             so, sh = distinct_words(offsets, h)
             co, c = _chunks(offsets, h)
-            yield pa.RecordBatch.from_arrays([b.column(0), list_column(so, signed(sh), pa.int64()), list_column(co, signed(c), pa.int64())], ["record", "words", "chunks"])
-
-    return rows.select("record", "text").mapInArrow(run, "record string, words array<bigint>, chunks array<bigint>")
-
+            full = np.diff(so) > 0
+            wide = np.zeros((len(full), WIDE_PARTS), np.uint64)
+            if full.any():
+                wide[full] = np.stack(parity_maps(np.append(so[:-1][full], so[-1]), sh, WIDE_PARTS), 1)
+            at = np.arange(len(full) + 1) * WIDE_PARTS
+            cols = [b.column(0), list_column(so, signed(sh), pa.int64()), list_column(co, signed(c), pa.int64()), list_column(at, signed(wide.ravel()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["record", "words", "chunks", "wide"])
 
-def _equal_bits(x: str, y: str):
-    return 64 - F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    return rows.select("record", "text").mapInArrow(run, "record string, words array<bigint>, chunks array<bigint>, wide array<bigint>")
 
 
-def candidates(rec: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(a, b): word sequence digests of a training and a held-out record that share a leading chunk, are of like size and have like sketches.
+def candidates(rec: DataFrame, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> DataFrame:
+    """(a, b): word sequence digests of a training and a held-out record; no pair whose overlap reaches ``min_overlap`` is missing.
 
-    Chunks of one side only can't be shared and are dropped after counting. Of a record's remaining chunks, the commonest are passed over as long as
-    those left out sum below MIN_SHARED of its words: two records that share so much share one of the others as well. So boilerplate costs no pairs, and no chunk is capped.
+    Two sets of s and t words that overlap so much share at least m = min_overlap / (1 + min_overlap) * (s + t) words. In any order of all words that both keep, the first
+    shared word has m - 1 shared ones after it in either, so it stands among the first s - ceil(min_overlap * s) + 1; these are joined, with rare words first.
+    A joined pair goes on if its sizes, the words left behind the shared one and the parity maps allow the overlap: all three are bounds, none an estimate.
+    The order is that of the ``max_ranked`` commonest words of both sides; any order gives the same pairs.
     Copies of a word sequence on one side go once; the lookups are broadcast while they are small.
     """
     member = rec.select("record", "seq_id", "held")
     repeated = member.groupBy("seq_id", "held").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seq_id", "held", "first")
     copies = cut(member.join(_small(cut(repeated)), ["seq_id", "held"]).where("record <> first").select("record", "held"))
-    parts = rec.join(_small(copies), ["record", "held"], "left_anti").select("seq_id", "held", "size", "total", "bits", "bits2", F.explode("chunks").alias("chunk"))
-    counts = parts.groupBy("chunk").agg(F.count_if(~F.col("held")).alias("nt"), F.count_if("held").alias("nh")).where("nt > 0 and nh > 0")
-    counts = cut(counts.select("chunk", (F.col("nt") + F.col("nh")).alias("df")))
-    rest = Window.partitionBy("seq_id", "held").orderBy(F.col("df").desc(), F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    tail = F.sum(F.col("chunk").bitwiseAND(F.lit(63))).over(rest)
-    # kept: every chunk at which the commonest ones, itself included, sum up to the least share
-    lead = parts.join(_small(counts), "chunk").withColumn("tail", tail).where(F.col("tail") >= MIN_SHARED * F.col("total"))
-    t = lead.where("not held").select("chunk", F.col("seq_id").alias("a"), F.col("size").alias("ts"), F.col("bits").alias("t1"), F.col("bits2").alias("t2"))
-    h = lead.where("held").select("chunk", F.col("seq_id").alias("b"), F.col("size").alias("hs"), F.col("bits").alias("h1"), F.col("bits2").alias("h2"))
-    likely = (F.least("ts", "hs") >= min_overlap * F.greatest("ts", "hs")) & (_equal_bits("t1", "h1") + _equal_bits("t2", "h2") >= MIN_EQUAL_BITS)
-    return t.join(h, "chunk").where(likely).select("a", "b").distinct()
+    once = rec.join(_small(copies), ["record", "held"], "left_anti")
+    counts = once.select("held", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(~F.col("held")).alias("nt"), F.count_if("held").alias("nh")).where("nt > 0 and nh > 0")
+    common = counts.select("word", (F.col("nt") * F.col("nh")).alias("df")).orderBy(F.col("df").desc(), "word").limit(max_ranked + 1).toArrow()
+    complete = common.num_rows <= max_ranked
+    h = common.column("word").to_numpy()[:max_ranked].astype(np.int64).view(np.uint64)
+    by = np.argsort(h)
+    ranked, ranks = h[by], len(h) - by  # the commonest word has the greatest rank
+    t, o = (prefixes(once.where(side), ranked, ranks, complete, min_overlap) for side in ("not held", "held"))
+    t = t.select("word", F.col("seq_id").alias("a"), F.col("size").alias("ts"), F.col("place").alias("tp"), *[F.col(f"m{j}").alias(f"t{j}") for j in range(MAP_PARTS)])
+    o = o.select("word", F.col("seq_id").alias("b"), F.col("size").alias("hs"), F.col("place").alias("hp"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP_PARTS)])
+    both = F.col("ts") + F.col("hs")
+    need = both * (min_overlap / (1 + min_overlap)) - SLACK
+    apart = sum((F.bit_count(F.col(f"t{j}").bitwiseXOR(F.col(f"h{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("t0").bitwiseXOR(F.col("h0"))))
+    likely = (F.least(F.col("ts") - F.col("tp"), F.col("hs") - F.col("hp")) >= need) & (F.least("ts", "hs") >= min_overlap * F.greatest("ts", "hs") - SLACK) & (apart <= both - 2 * need)
+    return t.join(o, "word").where(likely).select("a", "b").distinct()
+
+
+def within_wide_maps(pairs: DataFrame, sets: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """The pairs (a, b) whose wide parity maps allow the overlap, a bound again: so that word lists of few pairs are moved."""
+    of = lambda x: sets.select(F.col("id").alias(x), F.size("words").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
+    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= (F.col("a_n") + F.col("b_n")) * ((1 - min_overlap) / (1 + min_overlap)) + SLACK).select("a", "b")
 
 
 def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
@@ -126,14 +182,15 @@ def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min
     repeated rows count once; a record in both sides links to itself never. Equal word sequences are one class per side until the end.
     """
     rows = rows.where("record is not null and text is not null")
-    rec = cut(chunked(rows, min_words).join(_small(cut(splits)), "record"))
+    rec = cut(worded(rows, min_words).join(_small(cut(splits)), "record"))
     cand = cut(candidates(rec, min_overlap))
     # exact check on the words of one record of each class that has a candidate
     ends = cand.select(F.col("a").alias("seq_id")).unionByName(cand.select(F.col("b").alias("seq_id"))).distinct()
     which = cut(rec.select("record", "seq_id").join(_small(cut(ends)), "seq_id", "left_semi").groupBy("seq_id").agg(F.min("record").alias("record")))
-    sets = word_sets(rows.join(_small(which), "record")).groupBy("record").agg(F.first("words").alias("words"), F.first("chunks").alias("chunks"))
-    sets = cut(sets.join(which, "record").select(F.col("seq_id").alias("id"), "words", "chunks"))
-    close = cut(with_overlap(cand, sets).where(F.col("overlap") >= min_overlap))
+    sets = word_sets(rows.join(_small(which), "record")).groupBy("record").agg(F.first("words").alias("words"), F.first("chunks").alias("chunks"), F.first("wide").alias("wide"))
+    sets = cut(sets.join(which, "record").select(F.col("seq_id").alias("id"), "words", "chunks", "wide"))
+    near = cut(within_wide_maps(cand, sets, min_overlap))
+    close = cut(with_overlap(near, sets).where(F.col("overlap") >= min_overlap))
     of = lambda x: sets.select(F.col("id").alias(x), F.col("chunks").alias(f"{x}_chunks"))
     length = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit(63)))
     shared = length(F.array_intersect("b_chunks", "a_chunks")) / length(F.col("b_chunks"))

@@ -208,6 +208,37 @@ def test_cross_split_against_brute_force(spark, data):
     assert set(rows(cross_split.overlapping_pairs(real, split))) == want
 
 
+def spread_edits(seed=11):
+    """Pairs at an overlap of at least 0.7 whose edits are spread over the text."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for n, add, drop, swap in [(10, 4, 0, 0), (14, 0, 4, 0), (11, 3, 0, 0), (30, 12, 0, 0), (12, 0, 0, 2), (500, 200, 0, 0)]:
+        for i in range(20):
+            tag = f"n{n}a{add}d{drop}s{swap}i{i}"
+            a = [f"{tag}w{k}" for k in range(n)] if i % 2 else [f"공통{int(k)}" for k in rng.choice(2000, n, replace=False)]
+            b = list(a)
+            for k in sorted(rng.choice(n, drop + swap, replace=False), reverse=True):
+                b[k : k + 1] = [f"{tag}x{k}"] * (1 if swap else 0)
+            for k in range(add):
+                b.insert(int(rng.integers(len(b) + 1)), f"{tag}y{k}")
+            out += [(f"{tag}-a", " ".join(a)), (f"{tag}-b", " ".join(b))]
+    out += [("r-a", " ".join(f"r{k}" for k in range(40))), ("r-b", " ".join(f"r{k}" for k in reversed(range(40))))]
+    return out
+
+
+def test_cross_split_finds_spread_edits(spark):
+    texts = spread_edits()
+    x = spark.createDataFrame(texts, "record string, text string")
+    split = spark.createDataFrame([(u, u.endswith("b")) for u, _ in texts], "record string, held boolean")
+    want = {p for p in close_pairs(texts) if p[0][-1] != p[1][-1]}
+    assert len(want) >= 101 and ("r-a", "r-b") in want
+    rec = cross_split.worded(x).join(split, "record")
+    ids = {r.seq_id: r.record for r in rec.collect()}
+    for most in (cross_split.MAX_RANKED, 50):  # the bound on shipped words changes no pair
+        assert want <= {(ids[r.a], ids[r.b]) for r in cross_split.candidates(rec, max_ranked=most).collect()}
+    assert {(r.train, r.held) for r in cross_split.overlaps(x, split).collect()} == want
+
+
 # --- problem 7
 
 
