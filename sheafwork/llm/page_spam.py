@@ -1,7 +1,7 @@
 """Problem 10: keyword-stuffed and link-list pages.
 
 Method: thresholds on top-word and bigram shares, duplicate-line share, link-text ratio, separator density and missing function words,
-calibrated per language over all pages.
+calibrated per language over all pages; each of these signs decides by itself, and so does the share of text without the build of a sentence.
 """
 
 from __future__ import annotations
@@ -34,14 +34,20 @@ _SEGMENT = re.compile(r"[\r\n]+|(?<=[.?!。])\s+")
 _WORD = re.compile(r"[^\W_]+")
 _SEPARATOR = re.compile(r"[|,>/·•#;:»‧*~]")
 _HANGUL = re.compile(r"[가-힣]")
-_NAMES = ("lang", "n_chars", "top_share", "bigram_share", "duplicate_share", "link_share", "separators", "function_share", "listed_share")
-FEATURES = "lang string, n_chars bigint, top_share double, bigram_share double, duplicate_share double, link_share double, separators double, function_share double, listed_share double"
+_NAMES = ("lang", "n_chars", "top_share", "bigram_share", "duplicate_share", "link_share", "separators", "function_share", "listed_share", "n_words")
+FEATURES = "lang string, n_chars bigint, top_share double, bigram_share double, duplicate_share double, link_share double, separators double, function_share double, listed_share double, n_words bigint"
 
 #: Least share of a page's text in segments that aren't sentences.
 MOST = 0.5
 #: A page whose top word and bigram shares exceed the language's median by these factors is stuffed even in sentence-like dress.
 STUFFED_WORD, STUFFED_BIGRAM = 4.0, 5.0
-#: Share of the language's median of function words under which a segment's words aren't a sentence's.
+#: Least shares of the two for that, and of a top word that decides alone; separators in a character.
+LEAST_WORD, LEAST_BIGRAM, LEAST_ALONE, LEAST_SEPARATORS = 0.15, 0.05, 0.2, 0.03
+#: Quartile distances above the language's upper quartile at which the top word or the separators stand out.
+DISTANCES = 8.0
+#: Words a page must have, and times its top word must stand, for shares of words to tell.
+TELLING_WORDS, TELLING_TIMES = 20, 5
+#: Share of the language's median of function words under which a page's words aren't sentences'.
 FUNCTION_FACTOR = 0.35
 
 
@@ -73,7 +79,7 @@ def page_features(text: str | None, judged: dict | None = None) -> tuple:
     """
     judged = _Judged() if judged is None else judged
     if not text or not text.strip():
-        return ("none", 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+        return ("none", 0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0)
     t = unicodedata.normalize("NFKC", html.unescape(_INVISIBLE.sub("", text)))
     n = len(t)
     linked, plain = 0, t
@@ -113,17 +119,17 @@ def page_features(text: str | None, judged: dict | None = None) -> tuple:
     bigram = max(Counter(zip(stems, stems[1:])).values()) / m if len(stems) > 1 else 0.0
     duplicate = 1 - len(seen) / max(1, sum(seen.values()))
     lang = "ko" if korean >= 0.3 * m else "other"
-    return (lang, n, top, bigram, duplicate, linked / n, len(_SEPARATOR.findall(plain)) / n, function / m, listed / max(1, all_chars))
+    return (lang, n, top, bigram, duplicate, linked / n, len(_SEPARATOR.findall(plain)) / n, function / m, listed / max(1, all_chars), len(stems))
 
 
 def features(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, features) of each page, over the whole text; a NULL or blank one gets the language ``none`` and zeros."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.string(), pa.int64(), *[pa.float64()] * 7]
+        kinds = [pa.string(), pa.int64(), *[pa.float64()] * 7, pa.int64()]
         judged = _Judged()
         for b in batches:
-            cols = list(zip(*(page_features(t, judged) for t in b.column(1).to_pylist()))) or [[]] * 9
+            cols = list(zip(*(page_features(t, judged) for t in b.column(1).to_pylist()))) or [[]] * 10
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]], [id_col, *_NAMES])
 
     kept = documents.select(id_col, text)
@@ -131,23 +137,35 @@ def features(documents: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 
 def calibration(feats: DataFrame) -> DataFrame:
-    """(lang, medians) over all pages; there are three languages at most (ko, other, none)."""
-    mid = lambda c: F.percentile_approx(c, F.lit(0.5), F.lit(1000))
-    return feats.groupBy("lang").agg(mid("function_share").alias("mid_function"), mid("top_share").alias("mid_top"), mid("bigram_share").alias("mid_bigram"))
+    """(lang, medians, marks that stand out) over all pages; there are three languages at most (ko, other, none)."""
+    at = lambda c, p: F.percentile_approx(c, F.lit(p), F.lit(1000))
+    above = lambda c: at(c, 0.75) + DISTANCES * (at(c, 0.75) - at(c, 0.25))
+    return feats.groupBy("lang").agg(
+        at("function_share", 0.5).alias("mid_function"), at("top_share", 0.5).alias("mid_top"), at("bigram_share", 0.5).alias("mid_bigram"), above("top_share").alias("high_top"), above("separators").alias("high_separators")
+    )
 
 
 def spam_scores(documents: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Features, thresholds and verdict (``spam``, ``reason``) of every page. Rows with a NULL id count like others. A language's thresholds come from its own pages."""
+    """Features, thresholds and verdict (``spam``, ``reason``) of every page. Rows with a NULL id count like others. A language's thresholds come from its own pages.
+
+    The reason is the first sign that holds; any of them makes a page spam. Shares above half decide in every language, however its pages are.
+    """
     f = cut(features(documents, id_col))
     c = f.join(F.broadcast(calibration(f)), "lang")
-    words_missing = F.col("function_share") < FUNCTION_FACTOR * F.col("mid_function")
-    stuffed = (F.col("top_share") > F.greatest(F.lit(0.12), STUFFED_WORD * F.col("mid_top"))) & ((F.col("bigram_share") > F.greatest(F.lit(0.05), STUFFED_BIGRAM * F.col("mid_bigram"))) | words_missing)
+    limit = lambda least, own: F.least(F.lit(MOST), F.greatest(F.lit(least), own))
+    enough = F.col("n_words") >= TELLING_WORDS
+    words_missing = enough & (F.col("function_share") < FUNCTION_FACTOR * F.col("mid_function"))
+    often = enough & (F.col("top_share") * F.col("n_words") >= TELLING_TIMES - 0.5)
+    phrase = F.col("bigram_share") > limit(LEAST_BIGRAM, STUFFED_BIGRAM * F.col("mid_bigram"))
+    stuffed = often & ((F.col("top_share") > limit(LEAST_ALONE, F.col("high_top"))) | (F.col("top_share") > limit(LEAST_WORD, STUFFED_WORD * F.col("mid_top"))) & (phrase | words_missing))
     reason = (
         F.when(F.col("lang") == "none", F.lit(None))
         .when(F.col("link_share") > MOST, "links")
-        .when(stuffed & (F.col("listed_share") > MOST), "keywords")
-        .when((F.col("duplicate_share") > MOST) & (F.col("listed_share") > MOST), "repeated lines")
-        .when((F.col("listed_share") > MOST), "lists")
+        .when(stuffed, "keywords")
+        .when(F.col("duplicate_share") > MOST, "repeated lines")
+        .when(F.col("separators") > limit(LEAST_SEPARATORS, F.col("high_separators")), "tags")
+        .when(words_missing, "no sentences")
+        .when(F.col("listed_share") > MOST, "lists")
     )
     return c.withColumn("reason", reason).withColumn("spam", F.col("reason").isNotNull())
 

@@ -321,6 +321,25 @@ def test_spam_pages(spark):
     assert page_spam.spam_pages(d.where("false")).count() == 0
 
 
+def test_spam_signs_decide_by_themselves(spark):
+    rng = np.random.default_rng(5)
+    pick = lambda stem, n: [f"{stem}{int(k)}" for k in rng.integers(0, 3000, n)]
+    korean = lambda: "{}를 {}에서 {}과 {} 점검하고 {}를 보고한다.".format(*pick("업무", 5))
+    english = lambda: "The {} shall review each {} before it can {} the {} of {}.".format(*pick("word", 5))
+    good = [" ".join(f() for _ in range(int(rng.integers(3, 15)))) for f in (korean, english) for _ in range(60)] + ["담당자가 확인하고 보고한다.", "The team shall wait for the team."]
+    bad = [
+        ("keywords", " ".join(f"노트북은 {a} 노트북을 {b} 노트북 노트북 산다." for a, b in zip(pick("상품", 20), pick("상점", 20)))),
+        ("keywords", " ".join(f"The laptop laptop of {a} is laptop for laptop {b} laptop." for a, b in zip(pick("x", 20), pick("y", 20)))),
+        ("repeated lines", "\n".join([korean()] * 2 + [korean()] * 2 + [english()] * 3 + [korean()] * 3)),
+        ("tags", " ".join(f"#{a} #{b} #{c} #{d} 하고 있는 것." for a, b, c, d in zip(*(pick("꼬리", 12) for _ in range(4))))),
+        ("no sentences", " ".join("The " + " ".join(pick("word", 12)) + " of the " + " ".join(pick("word", 5)) + "." for _ in range(6))),
+    ]
+    d = spark.createDataFrame(list(enumerate([*good, *(t for _, t in bad)])), "doc_id bigint, text string")
+    got = {r.doc_id: (r.reason, r.listed_share) for r in page_spam.spam_scores(d).where("spam").collect()}
+    assert {k: v[0] for k, v in got.items()} == {len(good) + i: x for i, (x, _) in enumerate(bad)}
+    assert all(listed <= 0.5 for _, listed in got.values())  # the build of their sentences tells nothing
+
+
 def test_queries_are_registered():
     from sheafwork.llm import queries
 
