@@ -6,6 +6,7 @@ slot values. A window whose slots agree literally is a verbatim leak, one whose
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sheafwork.llm.page_spam import ENGLISH
 from sheafwork.llm.words import list_column, mix, signed, words
 
 WINDOW = 12
@@ -23,46 +25,110 @@ MAX_NAMES = 200_000
 _WINDOW_KIND = "id bigint, template bigint, raw bigint, slots array<bigint>"
 
 
+# Units (with and without a number glued on), titles after a person's name, ends of the names of bodies, particles by their other form.
+UNITS = (
+    "초 분 시간 시 일 주 주일 주간 개월 월 년 연도 년도 차 차례 회 번 건 개 개소 명 인 대 식 본 부 권 장 매 쪽 페이지 자리 자 종 곳 층 면 점 배 배수 퍼센트 프로 원 천원 만원 백만원 억원 억 만 천 미터 킬로미터 킬로그램 그램 톤 리터 평 도 세트 단계 레벨 회선 포트 코어 채널 노드 세션 사용자 테라바이트 기가바이트 메가바이트 킬로바이트 바이트 "
+    "ms s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year years b kb mb gb tb pb kib mib gib tib bit bits byte bytes bps kbps mbps gbps hz khz mhz ghz mm cm m km g kg t l ml v kv w kw kwh va kva px dpi rpm fps tps iops core cores node nodes user users item items page pages time times percent krw usd eur won"
+).split()
+TITLES = frozenset("씨 님 과장 부장 팀장 실장 국장 본부장 센터장 원장 대리 사원 주무관 사무관 서기관 교수 박사 대표 이사 소장 위원 위원장 책임 선임 연구원".split())
+_BODY = re.compile("^[가-힣]{1,12}?(?:공사|공단|재단|협회|학회|진흥원|연구원|정보원|개발원|관리원|대학교|병원|은행|시청|구청|군청|도청|교육청|위원회|주식회사)(을|를|은|는|이|가|의|에|에서|에게|와|과|으로|로|도|까지|부터)?$")
+_OTHER_FORM = {"를": "을", "는": "은", "가": "이", "와": "과", "로": "으로", "라": "이라", "나": "이나"}
+_GLUED = re.compile("^([a-z]+[0-9]*[a-z0-9]*)([가-힣]*)$")
+_UNIT = re.compile("^(?:" + "|".join(sorted(UNITS, key=lambda u: (-len(u), u))) + ")(의|을|를|은|는|이|가|에|에서|와|과|으로|로|도|까지|부터|마다|안|내|이내|이상|이하|미만|초과|간|당|별|씩|전|후|만)?$")
+NUMBER, NAME, UNIT = "\x01#", "\x01name", "\x01unit"
+
+
+def _form(tail: str | None) -> str:
+    """A particle in the form that doesn't hang on the word before it."""
+    return _OTHER_FORM.get(tail or "", tail or "")
+
+
 def _is_number(w: str) -> bool:
     return w[0].isdigit()
 
 
 def name_words(texts: list[str | None]) -> set[str]:
-    """Latin words that stand before a number somewhere (product names such as ``Abc-12``): the name lexicon."""
+    """Latin words but units that stand before a number somewhere (product names such as ``Abc-12``): the name lexicon."""
     out: set[str] = set()
     for t in texts:
         w = words(t)
-        out |= {a for a, b in zip(w, w[1:]) if b.isdigit() and a.isascii() and a.isalpha()}
+        out |= {a for a, b in zip(w, w[1:]) if b.isdigit() and a.isascii() and a.isalpha() and not _UNIT.match(a)}
     return out
 
 
 def _place(w: str, names: frozenset) -> str | None:
-    """Typed placeholder of a word; None for an ordinary word. It depends on the word alone, so equal windows have equal templates."""
+    """Typed placeholder of a word whatever stands beside it; None for an ordinary word.
+
+    A number takes a unit glued to it along (``10gb``, ``30일까지``); names are letters with digits or a Korean tail (``galve40``, ``galve를``), Korean bodies by their last syllables
+    and the words of the lexicon.
+    """
     if _is_number(w):
-        return "\x01#" + w.lstrip("0123456789.")
-    return "\x01name" if w in names else None
+        tail = w.lstrip("0123456789")
+        unit = _UNIT.match(tail)
+        return NUMBER + (UNIT + _form(unit.group(1)) if unit else _form(tail))
+    if w in names:
+        return NAME
+    glued = _GLUED.match(w)
+    if glued and not w.isalpha() or glued and glued.group(2):
+        return NAME + _form(glued.group(2))
+    body = _BODY.match(w)
+    return NAME + _form(body.group(1)) if body else None
+
+
+def _beside(w: str) -> tuple[bool, bool, bool, bool, str | None]:
+    """What a word is to its neighbours: a Latin word that can be a name, one with Hangul, one that can be a person's name, a title; its placeholder after a number, if it is a unit."""
+    hangul = any("가" <= c <= "힣" for c in w)
+    unit = _UNIT.match(w)
+    return w.isascii() and w.isalpha() and w not in ENGLISH, hangul, hangul and 2 <= len(w) <= 4, w in TITLES or (w[:-1] in TITLES and w[-1] in "은는이가을를의와과"), UNIT + _form(unit.group(1)) if unit else None
 
 
 def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int, keep: np.ndarray | None) -> pa.RecordBatch:
-    """Every window of ``size`` words: template hash, literal hash, slot value hashes; of ``keep`` (sorted) only, if given."""
+    """Every window of ``size`` words: template hash, literal hash, slot value hashes; of ``keep`` (sorted) only, if given.
+
+    A Latin word beside a Korean one or before a number is a name, a Korean one before a title too, a unit after a number a unit. Only neighbours
+    in the window count, so equal windows have equal templates and no verbatim leak is lost.
+    """
     lists = [words(t) for t in texts]
     flat = [w for x in lists for w in x]
     d = pa.array(flat, pa.string()).dictionary_encode()
     vocabulary = d.dictionary.to_pylist()
     at = d.indices.to_numpy()
+    m = len(vocabulary)
     place = [_place(w, names) for w in vocabulary]
+    beside = [_beside(w) for w in vocabulary]
     h = lambda s: xxhash.xxh3_64_intdigest(s)
-    raw = np.fromiter(map(h, vocabulary), np.uint64, len(vocabulary))[at]
-    tpl = np.fromiter((h(p or w) for p, w in zip(place, vocabulary)), np.uint64, len(vocabulary))[at]
-    slot = np.fromiter((p is not None for p in place), bool, len(place))[at]
+    flag = lambda x: np.fromiter(x, bool, m)[at]
+    raw = np.fromiter(map(h, vocabulary), np.uint64, m)[at]
+    base = np.fromiter((h(p or w) for p, w in zip(place, vocabulary)), np.uint64, m)[at]
+    unit_hash = np.fromiter((h(x[4] or "") for x in beside), np.uint64, m)[at]
+    placed, number, plain = flag(p is not None for p in place), flag(map(_is_number, vocabulary)), flag(w.isdigit() for w in vocabulary)
+    latin, hangul, person, title = (flag(x[k] for x in beside) for k in range(4))
+    unit = flag(x[4] is not None for x in beside)
+    before = lambda x: np.concatenate([np.zeros(1, bool), x[:-1]]) if len(x) else x
+    after = lambda x: np.concatenate([x[1:], np.zeros(1, bool)]) if len(x) else x
+
+    def typed(first: bool, last: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(template hash, is a slot) of each word as the first, an inner or the last one of a window."""
+        name = np.zeros(len(flat), bool)
+        a_unit = name
+        if not last:
+            name = latin & after(number | hangul) | person & after(title)
+        if not first:
+            name = name | latin & before(hangul)
+            a_unit = unit & before(plain)
+        name &= ~placed
+        return np.where(a_unit, unit_hash, np.where(name, np.uint64(h(NAME)), base)), placed | name | a_unit
+
+    forms = [typed(True, False), typed(False, False), typed(False, True)]
+    form = lambda k: forms[0 if k == 0 else 2 if k == size - 1 else 1]
     n = max(0, len(flat) - size + 1)
     own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     ok = own[:n] == own[size - 1 :] if n else np.zeros(0, bool)
     sums = []
-    for x in (tpl, raw):
+    for of in (lambda k: form(k)[0], lambda k: raw):
         total = np.zeros(n, np.uint64)
         for k in range(size):
-            total += mix(x[k : k + n], k + 1)
+            total += mix(of(k)[k : k + n], k + 1)
         sums.append(mix(total))
     begin = np.flatnonzero(ok)
     if keep is not None:
@@ -70,7 +136,7 @@ def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int
         pos = np.minimum(np.searchsorted(keep, near), max(0, len(keep) - 1))
         begin = begin[keep[pos] == near] if len(keep) else begin[:0]
     grid = begin[:, None] + np.arange(size)
-    is_slot = slot[grid] if len(begin) else np.zeros((0, size), bool)
+    is_slot = np.stack([form(k)[1][grid[:, k]] for k in range(size)], 1) if len(begin) else np.zeros((0, size), bool)
     offsets = np.zeros(len(begin) + 1, np.int64)
     np.cumsum(is_slot.sum(1), out=offsets[1:])
     values = raw[grid][is_slot] if len(begin) else np.zeros(0, np.uint64)
@@ -91,8 +157,8 @@ def leaks(documents: DataFrame, items: DataFrame, size: int = WINDOW, max_shippe
     literally the same, and the number of shared windows. Other pairs are re-parameterised: same template, slot values mapped one to one.
 
     NULL ids or texts and texts below ``size`` words give nothing; repeats count once. Whole texts are scanned, each word once.
-    The evaluation set is fixed; its name lexicon and template hashes are shipped up to documented bounds (more names: none are
-    treated as slots; more hashes: plain shuffle join), which changes no verbatim leak.
+    The evaluation set is fixed; its name lexicon and template hashes are shipped up to documented bounds (more names: only neighbours and
+    shapes make names; more hashes: plain shuffle join), which changes no verbatim leak.
     """
     lexicon = items.where("text is not null").select("item_id", "text").mapInArrow(
         lambda bs: (pa.RecordBatch.from_arrays([pa.array(sorted(name_words(b.column(1).to_pylist())), pa.string())], ["name"]) for b in bs), "name string").distinct().limit(MAX_NAMES + 1).collect()

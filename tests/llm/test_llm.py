@@ -289,6 +289,21 @@ def test_leaks(spark, data):
     assert set(rows(leakage.leaked_items(real, ev))) == want
 
 
+def test_leaks_with_other_names_and_units(spark):
+    text = "담당자는 Galve-40 장비를 10GB 용량으로 구성하고 30 일 안에 한빛진흥원을 방문하여 Torin 서버의 결과를 5시간마다 점검하고 보고한다"
+    english = "The supplier must deliver the Galve-40 unit within 30 days and keep 10GB of logs for each site it runs there"
+    items = spark.createDataFrame([(1, text), (2, english)], "item_id bigint, text string")
+    other = [
+        text.replace("Galve-40", "Zomi-12"), text.replace("10GB", "2TB"), text.replace("30 일", "6 주"), text.replace("한빛진흥원을", "푸른솔협회를"), text.replace("Torin", "Kelda"), text.replace("5시간마다", "20분마다"),
+        text.replace("Galve-40", "Zomi-12").replace("10GB", "2TB").replace("30 일", "6 주").replace("한빛진흥원을", "푸른솔협회를").replace("Torin", "Kelda").replace("5시간마다", "20분마다"),
+    ]
+    docs = [*other, english.replace("Galve-40", "Zomi-12").replace("30 days", "6 weeks").replace("10GB", "2TB"), text.replace("장비를", "기계를").replace("방문하여", "찾아가").replace("결과를", "상태를")]
+    got = {(r.doc_id, r.item_id): r.windows for r in leakage.leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), items).collect()}
+    assert set(got) == {(i, 1) for i in range(7)} | {(7, 2)}
+    n = len(words(text)) - 11
+    assert all(got[i, 1] == n for i in (1, 2, 3, 5)) and got[6, 1] >= n - 2  # a name whose neighbour is outside the window is none
+
+
 # --- problem 9
 
 
