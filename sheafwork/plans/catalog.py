@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheafwork.functions import text as T
+from sheafwork.functions.canon import document_key, label_key
 from sheafwork.operators import extract, profile, retrieval, rules, runs, taxonomy
 from sheafwork.session import table
 
@@ -462,6 +463,51 @@ def x12_cosine_pairs(s, d):
     return retrieval.cosine_join(rows, 0.6).select("left", "right", F.round("sim", 6).alias("sim"))
 
 
+#: Anchors of each action in the pool of the label dataset.
+POOL_ROWS = 80
+
+
+def _label_rows(s, d):
+    """(id, doc, label, name, text): the latest state of every record of the label dataset that has a text; ``doc`` in one spelling, ``label`` as in rules.ACTIONS or NULL."""
+    x = table(s, d, "label_dataset_v2").where("requirement_uid is not null")
+    x = x.groupBy(F.col("requirement_uid").alias("id")).agg(F.max(F.struct("built_at", "document_id", "primary_action", "requirement_name", "raw_requirement_text")).alias("s"))
+    label = F.coalesce(*[F.when(label_key(F.col("s.primary_action")) == label_key(F.lit(a)), a) for a in rules.ACTIONS])
+    return x.select("id", document_key(F.col("s.document_id")).alias("doc"), label.alias("label"), F.coalesce("s.requirement_name", F.lit("")).alias("name"), F.col("s.raw_requirement_text").alias("text")).where("text is not null")
+
+
+def _label_targets(s, d):
+    return _label_rows(s, d).select(F.col("id").alias("target"), "doc", F.concat("name", F.lit("\n"), "text").alias("text"))
+
+
+def _label_pool(s, d):
+    """A pool of fixed size with the records' own documents: POOL_ROWS records of each action, by hash."""
+    w = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    x = _label_rows(s, d).where("label is not null and doc is not null").withColumn("k", F.row_number().over(w)).where(F.col("k") <= POOL_ROWS)
+    return x.select(F.col("id").alias("anchor"), "doc", "label", F.row_number().over(Window.orderBy("k", "label")).alias("pos"), F.concat("name", F.lit("\n"), "text").alias("text"))
+
+
+@query()
+def x5_label_anchors(s, d):
+    """x5 for every record of the label dataset, with a pool whose documents are real."""
+    return retrieval.retrieve(_label_targets(s, d), _label_pool(s, d), "similarity").select("target", "anchor", "rank", F.round("sim", 6).alias("sim"))
+
+
+@query()
+def x6_label_anchors(s, d):
+    return retrieval.retrieve(_label_targets(s, d), _label_pool(s, d), "stratified", labels=rules.ACTIONS).select("target", "anchor", "label", "rank")
+
+
+@query()
+def x7_label_anchors(s, d):
+    return retrieval.retrieve(_label_targets(s, d), _label_pool(s, d), "global").select("target", "anchor", "label")
+
+
+@query()
+def x12_label_pairs(s, d):
+    """x12 over the whole label dataset: near pairs of different documents."""
+    return retrieval.cosine_join(_label_rows(s, d).select("id", "doc", "text"), 0.6).select("left", "right", F.round("sim", 6).alias("sim"))
+
+
 @query("""with q as (select vec_id as query, embedding as q from embeddings where vec_id % 100 = 0), s as (select query, vec_id as id, round(list_cosine_similarity(q::double[], embedding::double[]), 6) as sim from q join embeddings on query <> vec_id)
 select query, id, row_number() over (partition by query order by sim desc, id)::int as rank from s qualify row_number() over (partition by query order by sim desc, id) <= 10""")
 def z4_dense_top_k(s, d):

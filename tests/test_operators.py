@@ -1,5 +1,7 @@
 import datetime as dt
 import json
+import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from sheafwork.functions import text as T
 from sheafwork.functions.canon import document_key, label_key
 from sheafwork.operators import extract, labeling, profile, retrieval, rules, runs, taxonomy
+from sheafwork.plans import catalog
 from sheafwork.sources import readers, writers
 
 
@@ -188,3 +191,43 @@ def test_latest_takes_the_last_state(spark):
     t = dt.datetime(2026, 1, 1)
     rows = spark.createDataFrame([("a", t, "old"), ("a", t + dt.timedelta(1), "new"), ("a", None, "never"), (None, t, "x")], "k string, at timestamp, v string")
     assert [tuple(r) for r in profile.latest(rows, "k", "at", "v").collect()] == [("a", "new")]
+
+
+def test_label_dataset_retrieval_and_pairs(spark, data):
+    rows = {r.id: r for r in catalog._label_rows(spark, data).collect()}
+    assert len(rows) > 100 and {r.label for r in rows.values()} - {None} == set(catalog.rules.ACTIONS)
+    grams = {}
+    for i, r in rows.items():
+        out = Counter()
+        for w in r.text.lower().split():
+            p = f" {w} "
+            if w:
+                out.update([p[k : k + 3] for k in range(max(1, len(p) - 2))] + ([p[k : k + 4] for k in range(max(1, len(p) - 3))] if len(p) > 3 else []))
+        grams[i] = out
+    df = Counter(g for c in grams.values() for g in c)
+    vec = {}
+    for i, c in grams.items():
+        v = {g: (1 + math.log(n)) * (math.log((1 + len(rows)) / (1 + df[g])) + 1) for g, n in c.items() if df[g] >= 2}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        vec[i] = {g: x / size for g, x in v.items()}
+    want = {}
+    for a in sorted(rows):
+        for b in sorted(rows):
+            if a < b and rows[a].doc != rows[b].doc:
+                sim = sum(x * vec[b][g] for g, x in vec[a].items() if g in vec[b])
+                if sim >= 0.6:
+                    want[a, b] = sim
+    got = {(r.left, r.right): r.sim for r in catalog.queries()["x12_label_pairs"](spark, data).collect()}
+    assert want and set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-5 for k in want)
+    pool = {r.anchor: r for r in catalog._label_pool(spark, data).collect()}
+    docs = {r.doc for r in pool.values()}
+    assert any(r.doc in docs for r in rows.values())  # the mask of the same document has something to hide
+    for name in ("x5_label_anchors", "x6_label_anchors", "x7_label_anchors"):
+        got = catalog.queries()[name](spark, data).collect()
+        assert {r.target for r in got} == set(rows) or name != "x7_label_anchors"
+        assert len({r.target for r in got}) > 0.9 * len(rows) and all(rows[r.target].doc != pool[r.anchor].doc for r in got)
+    first = {(r.target, r.label): r.anchor for r in got}
+    for t in rows:
+        for label in catalog.rules.ACTIONS:
+            of = [p for p in pool.values() if p.label == label and p.doc != rows[t].doc]
+            assert first.get((t, label)) == (min(of, key=lambda p: p.pos).anchor if of else None)
