@@ -1,11 +1,12 @@
 """Problem 1: freely entered values mapped to the entries of a reference list.
 
 Method: token-level repair (each distinct token is joined to the reference vocabulary by edit distance, through
-deletion neighbourhoods), then soft TF-IDF over the repaired tokens ranks the entries.
+deletion neighbourhoods), then soft TF-IDF over the repaired tokens ranks the names of the entries.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from itertools import combinations
@@ -13,16 +14,18 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType
+from pyspark.sql.types import IntegerType, StringType
 
 from sheafwork.llm.records import latest_state
+from sheafwork.session import cut
 
 # Wording of procurement forms that carries no meaning of its own.
 NUMBERING = r"제\s*\d+\s*[장절편]|외\s*\d+\s*건|p\.?\s*\d+"
 GENERIC_TAILS = ("요구사항", "요구", "사항", "항목", "목록", "상세", "세부", "관련", "requirements", "requirement", "req")
+PARTICLES = frozenset(("of", "the", "and", "for", "a", "an", "in", "on", "to"))
 
-#: Least soft TF-IDF score at which a value means an entry.
-THRESHOLD = 0.7
+#: Least soft TF-IDF score at which a value means an entry, read without blanks or by its words; one of two words alone stays under the latter.
+THRESHOLD, WORDS_THRESHOLD = 0.7, 0.8
 
 
 def _letters(text: str) -> list[str]:
@@ -33,18 +36,18 @@ def _letters(text: str) -> list[str]:
 
 
 def value_tokens(text: str | None) -> list[str]:
-    """Tokens of an entered value: script runs without generic tails; a run of generic wording only is no token."""
-    out = []
-    for run in _letters(text or ""):
-        again = True
-        while again:
-            again = False
-            for tail in GENERIC_TAILS:
-                if run.endswith(tail):
-                    run, again = run[: -len(tail)], True
-        if run:
-            out.append(run)
-    return list(dict.fromkeys(out))
+    """Tokens of a value read without its blanks: script runs without generic tails; a run of generic wording only is no token."""
+    return list(dict.fromkeys(filter(None, map(_without_tails, _letters(text or "")))))
+
+
+def _without_tails(run: str) -> str:
+    again = True
+    while again:
+        again = False
+        for tail in GENERIC_TAILS:
+            if run.endswith(tail):
+                run, again = run[: -len(tail)], True
+    return run
 
 
 def spelled(token: str) -> str:
@@ -76,9 +79,26 @@ def deletions(token: str) -> list[str]:
     return list({"".join(c for i, c in enumerate(token) if i not in gone) for r in range(k + 1) for gone in map(set, combinations(range(len(token)), r))})
 
 
-@F.pandas_udf(ArrayType(StringType()))
+def word_tokens(text: str | None) -> list[str]:
+    """Tokens of a value as it is worded: its words, cut at blanks, separators and changes of script, without generic tails and English particles; repeats stay."""
+    s = unicodedata.normalize("NFKC", re.sub("[\u200b\u200c\u200d\ufeff\u00ad]", "", text or "")).lower()
+    words = re.findall(r"[a-z]+|[^\W\d_a-z]+", re.sub(NUMBERING, " ", s))
+    return [w for w in map(_without_tails, words) if w and w not in PARTICLES]
+
+
+#: How a value is read: by its words, and with all blanks taken out (entered values have blanks inside words and none between them).
+READINGS = (("words", word_tokens), ("glued", value_tokens))
+
+
+@F.pandas_udf("array<struct<reading: string, token: string>>")
 def _tokens(v: pd.Series) -> pd.Series:
-    return v.map(value_tokens)
+    return v.map(lambda x: [{"reading": name, "token": t} for name, read in READINGS for t in read(x)])
+
+
+@F.pandas_udf("struct<nfd: string, keys: array<string>>")
+def _keyed(v: pd.Series) -> pd.DataFrame:
+    nfd = v.map(spelled)
+    return pd.DataFrame({"nfd": nfd, "keys": nfd.map(deletions)})
 
 
 @F.pandas_udf(StringType())
@@ -86,63 +106,68 @@ def _spelled(v: pd.Series) -> pd.Series:
     return v.map(spelled)
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _deletions(v: pd.Series) -> pd.Series:
-    return v.map(deletions)
-
-
 @F.pandas_udf(IntegerType())
 def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def _names(catalog: DataFrame) -> DataFrame:
-    """(type_id, name, term, weight): each name of an entry (own, English, prefix, aliases) as its whole form and as its words."""
-    entry = catalog.select("type_id", F.explode(F.array_distinct(F.concat(F.array("type_name", "name_en", "id_prefix"), F.coalesce("aliases", F.array().cast("array<string>"))))).alias("name"))
-    whole = entry.withColumn("term", F.explode(_tokens("name"))).withColumn("part", F.lit(1.0))
-    part = entry.withColumn("word", F.explode(F.split("name", r"(?U)\s+"))).where("word <> name").withColumn("term", F.explode(_tokens("word")))
-    n = part.groupBy("type_id", "name").agg(F.count(F.lit(1)).alias("n"))
-    part = part.join(n, ["type_id", "name"]).withColumn("part", 1.0 / F.col("n"))
-    # a name that ends in a generic word also counts unshortened
-    full = entry.withColumn("term", F.lower(F.regexp_replace("name", r"(?U)\s+", ""))).withColumn("part", F.lit(1.0))
-    cols = ["type_id", "name", "term", "part"]
-    return whole.select(cols).unionByName(part.select(cols)).unionByName(full.select(cols)).where("term is not null").distinct()
+def entry_names(catalog: DataFrame) -> DataFrame:
+    """(type_id, name): the own and English name, the prefix and the aliases of each entry, and each of the names in Hangul with each in Latin letters, as both are often entered side by side.
+
+    An entry gives at most the square of its own names.
+    """
+    own = F.filter(F.array_distinct(F.concat(F.array("type_name", "name_en", "id_prefix"), F.coalesce("aliases", F.array().cast("array<string>")))), lambda x: x.isNotNull())
+    latin = lambda x: x.rlike("^[\\x00-\\x7F]*$")
+    both = F.flatten(F.transform(F.filter("own", lambda x: ~latin(x)), lambda a: F.transform(F.filter("own", latin), lambda b: F.concat_ws(" ", a, b))))
+    return catalog.select("type_id", own.alias("own")).select("type_id", F.explode(F.concat("own", both)).alias("name")).distinct()
+
 
+def _weighted(tokens: DataFrame, *by: str) -> DataFrame:
+    """Adds the length of the vector of each group; ``w`` is the weight of a token in it."""
+    norm = tokens.groupBy(*by).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return tokens.join(norm, list(by))
 
-def map_values(values: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+
+def map_values(values: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD, words_threshold: float = WORDS_THRESHOLD) -> DataFrame:
     """(value, type_id, score, matched): the entry each distinct value means; type_id 0 where it means none.
 
-    ``values`` has a column ``value``; NULL values give no row, a blank or unreadable one gets 0. Score: share of the value's
-    squared idf weight explained by the entry, each token by its best term there, times the similarity of the repair; ties go to
-    the lower type_id. An empty catalog maps everything to 0. Every pair within the allowed edits is found: two strings within d edits share a string
-    reached by at most d deletions from each.
+    ``values`` has a column ``value``; NULL values give no row, a blank or unreadable one gets 0. Score: soft TF-IDF, the cosine of the value's and the name's
+    vectors (sublinear frequency x idf over the names, both of length one), in which a token counts for the term it is repaired to times the similarity of the repair;
+    the best name of the entry, the better reading (``READINGS``). Ties go to the lower type_id. An empty catalog maps everything to 0. Every repair within
+    the allowed edits is found: two strings within d edits share a string reached by at most d deletions from each.
     """
     distinct = values.select("value").where("value is not null").distinct()
-    tokens = distinct.withColumn("token", F.explode(_tokens("value")))
-    terms = _names(catalog)
-    entries = max(1, catalog.select("type_id").distinct().count())
-    idf = terms.groupBy("term").agg(F.countDistinct("type_id").alias("df")).select("term", F.log(1 + F.lit(entries) / F.col("df")).alias("idf"))
-    # a token longer than every term by more than the edits allowed is near none; it gets no neighbourhood
-    longest = terms.select(F.max(F.length(_spelled("term")))).first()[0] or 0
+    tokens = cut(distinct.withColumn("t", F.explode(_tokens("value"))).groupBy("value", "t.reading", "t.token").agg(F.count(F.lit(1)).alias("tf")))
+    names = entry_names(catalog).withColumn("t", F.explode(_tokens("name"))).select("type_id", "name", "t.reading", F.col("t.token").alias("term"))
+    # a name that ends in a generic word also counts unshortened
+    full = entry_names(catalog).select("type_id", F.concat("name", F.lit("\x00")).alias("name"), F.lit("glued").alias("reading"), F.lower(F.regexp_replace("name", r"(?U)\s+", "")).alias("term"))
+    names = cut(names.unionByName(full).where("term <> ''").groupBy("type_id", "name", "reading", "term").agg(F.count(F.lit(1)).alias("tf")))
+    total, longest = names.agg(F.countDistinct("type_id", "name"), F.coalesce(F.max(F.length(_spelled("term"))), F.lit(0))).first()
+    df = names.groupBy("term").agg(F.countDistinct("type_id").alias("df"))
+    idf = df.select("term", (1 + F.log((1.0 + total) / (1.0 + F.col("df")))).alias("idf"))
 
     def keyed(d: DataFrame, c: str) -> DataFrame:
-        spelt = d.select(c).distinct().where(F.length(c) <= longest + 2).withColumn(f"{c}_nfd", _spelled(c)).where(F.length(f"{c}_nfd") <= longest + 2)
-        return spelt.withColumn("key", F.explode(_deletions(f"{c}_nfd")))
+        # a token longer than every term by more than the edits allowed is near none; it gets no neighbourhood
+        return d.select(c).distinct().where(F.length(c) <= longest + 2).withColumn("k", _keyed(c)).select(c, F.col("k.nfd").alias(f"{c}_nfd"), F.explode("k.keys").alias("key")).where(F.length(f"{c}_nfd") <= longest + 2)
 
-    near = keyed(tokens, "token").join(keyed(terms, "term"), "key").select("token", "term", "token_nfd", "term_nfd").distinct()
-    near = near.where("abs(length(token_nfd) - length(term_nfd)) <= 2").withColumn("d", _distance("token_nfd", "term_nfd")).withColumn("n", F.length("term_nfd"))
+    near = keyed(tokens, "token").join(keyed(names, "term"), "key").select("token", "term", "token_nfd", "term_nfd").distinct()
+    # two edits with swaps are four without
+    near = near.where("abs(length(token_nfd) - length(term_nfd)) <= 2 and levenshtein(token_nfd, term_nfd, 4) >= 0").withColumn("d", _distance("token_nfd", "term_nfd")).withColumn("n", F.length("term_nfd"))
     near = near.where(F.col("d") <= F.when(F.col("n") <= 3, 0).when(F.col("n") <= 7, 1).otherwise(2))
-    repaired = near.select("token", "term", (1 - F.col("d") / F.greatest("n", F.length("token_nfd"))).alias("sim")).join(idf, "term")
-    weight = tokens.join(repaired.groupBy("token").agg(F.max("idf").alias("idf")), "token", "left").withColumn("idf", F.coalesce("idf", F.log(F.lit(1.0 + entries))))
-    weight = weight.withColumn("w", F.col("idf") * F.col("idf"))
-    total = weight.groupBy("value").agg(F.sum("w").alias("total"))
-    by_entry = repaired.join(terms, "term").groupBy("token", "type_id").agg(F.max(F.col("sim") * F.col("part")).alias("sim"))
-    scored = weight.join(by_entry, "token").groupBy("value", "type_id").agg(F.sum(F.col("w") * F.col("sim")).alias("got"), F.array_sort(F.collect_set("token")).alias("matched"))
-    scored = scored.join(total, "value").select("value", "type_id", (F.col("got") / F.col("total")).alias("score"), "matched")
-    best = scored.groupBy("value").agg(F.max(F.struct("score", (-F.col("type_id")).alias("neg"), "matched")).alias("b"))
-    best = best.select("value", (-F.col("b.neg")).alias("type_id"), F.col("b.score").alias("score"), F.col("b.matched").alias("matched"))
+    repaired = cut(near.select("token", "term", (1 - F.col("d") / F.greatest("n", F.length("token_nfd"))).alias("sim")).join(idf, "term"))
+    best = repaired.groupBy("token").agg(F.max(F.struct("sim", "idf"))["idf"].alias("idf"))
+    sublinear = 1 + F.log("tf")
+    weight = tokens.join(best, "token", "left").withColumn("w", sublinear * F.coalesce("idf", F.lit(1 + math.log(1.0 + total)))).drop("idf", "tf")
+    v = _weighted(weight, "value", "reading")
+    n = _weighted(names.join(idf, "term").withColumn("w", sublinear * F.col("idf")).select("type_id", "name", "reading", "term", "w"), "type_id", "name", "reading")
+    n = n.select("type_id", "name", "reading", "term", (F.col("w") / F.col("norm")).alias("nw"))
+    hit = v.join(repaired.select("token", "term", "sim"), "token").join(n, ["reading", "term"])
+    per_term = hit.groupBy("value", "reading", "type_id", "name", "term").agg(F.max(F.struct((F.col("w") / F.col("norm") * F.col("nw") * F.col("sim")).alias("x"), "token")).alias("b"))
+    scored = per_term.groupBy("value", "reading", "type_id", "name").agg(F.least(F.lit(1.0), F.round(F.sum("b.x"), 9)).alias("score"), F.array_sort(F.collect_set("b.token")).alias("matched"))
+    enough = F.col("score") >= F.when(F.col("reading") == "words", words_threshold).otherwise(threshold)
+    best = scored.groupBy("value").agg(F.max(F.struct(enough.alias("enough"), "score", (-F.col("type_id")).alias("neg"), "matched")).alias("b"))
     return distinct.join(best, "value", "left").select(
-        "value", F.when(F.col("score") >= threshold, F.col("type_id")).otherwise(0).cast("int").alias("type_id"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"), "matched")
+        "value", F.when(F.col("b.enough"), -F.col("b.neg")).otherwise(0).cast("int").alias("type_id"), F.round(F.coalesce("b.score", F.lit(0.0)), 6).alias("score"), F.col("b.matched").alias("matched"))
 
 
 def mapped_requirements(labels: DataFrame, catalog: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -49,6 +49,13 @@ def test_mapping(spark, catalog):
     assert got == {f"u{i}": t for i, t in enumerate(means.values())}
 
 
+def test_mapping_by_words(spark):
+    catalog = clash(spark.createDataFrame([(1, "프로젝트 관리", "Project Management", "PMR", None), (2, "학습모형", "Machine Learning Model", "MLR", ["모형 학습", None]), (3, "보안 통제", "Security", "SER", [])], "type_id int, type_name string, name_en string, id_prefix string, aliases array<string>"))
+    means = {"관리 프로젝트": 1, "Management Project": 1, "Managment of the Project": 1, "PROJECT-MANAGEMENT": 1, "프로젝트관리": 1, "Model: Machine Learning": 2, "Machne Lernin Modl": 2, "학습 모형 (Machine Learning Model)": 2, "SER 보안 통제": 3, "Project": 0, "보안 담당자 문의": 0, "the of": 0}
+    got = {r.value: (r.type_id, r.score) for r in value_mapping.map_values(clash(spark.createDataFrame([(v,) for v in [*means, None]], "value string").withColumnRenamed("value", "v").withColumn("value", F.col("v"))), catalog).collect()}
+    assert {v: t for v, (t, _) in got.items()} == means and all(0 <= x <= 1 for _, x in got.values()) and got["Management Project"][1] == 1
+
+
 def test_mapping_of_nothing(spark, catalog):
     assert rows(value_mapping.mapped_requirements(labels(spark, []), catalog)) == []
     x = labels(spark, [{"requirement_uid": "a", "requirement_type": "기능", "requirement_type_source": "none"}])
