@@ -14,7 +14,7 @@ from itertools import combinations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from sheafwork.llm.records import latest_state
 from sheafwork.session import cut
@@ -90,12 +90,12 @@ def word_tokens(text: str | None) -> list[str]:
 READINGS = (("words", word_tokens), ("glued", value_tokens))
 
 
-@F.pandas_udf("array<struct<reading: string, token: string>>")
+@F.pandas_udf(ArrayType(StructType([StructField("reading", StringType()), StructField("token", StringType())])))
 def _tokens(v: pd.Series) -> pd.Series:
     return v.map(lambda x: [{"reading": name, "token": t} for name, read in READINGS for t in read(x)])
 
 
-@F.pandas_udf("struct<nfd: string, keys: array<string>>")
+@F.pandas_udf(StructType([StructField("nfd", StringType()), StructField("keys", ArrayType(StringType()))]))
 def _keyed(v: pd.Series) -> pd.DataFrame:
     nfd = v.map(spelled)
     return pd.DataFrame({"nfd": nfd, "keys": nfd.map(deletions)})
