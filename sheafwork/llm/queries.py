@@ -48,6 +48,10 @@ def queries() -> dict:
     def p4_sample(x, t):
         return quota_sample.draw(x, t)
 
+    @on(labels, "sample_targets")
+    def p4_report(x, t):
+        return quota_sample.report(x, t)
+
     @on(labels, split)
     def p5_found(x, s):
         return cross_split.overlapping_pairs(x, s)

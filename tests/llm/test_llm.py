@@ -13,7 +13,7 @@ from sheafwork.llm.words import words
 from sheafwork.session import table
 
 T0 = dt.datetime(2026, 1, 1)
-LABEL = "requirement_uid string, document_id string, requirement_type string, requirement_type_source string, raw_requirement_text string, primary_action string, cost_basis string, blockers array<string>, built_at timestamp"
+LABEL = "requirement_uid string, document_id string, requirement_type string, requirement_type_source string, raw_requirement_text string, primary_action string, cost_basis string, build_difficulty string, blockers array<string>, built_at timestamp"
 #: Extra columns whose names the operators use inside.
 CLASH = ("record", "text", "words", "key", "value", "doc", "action", "token", "term", "score", "tokens", "h", "bin", "id", "band", "chunk", "split", "position", "_t", "_s", "n")
 
@@ -134,12 +134,40 @@ def test_grouped_split(spark, data):
 # --- problem 4
 
 
-@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9), st.integers(0, 9)), max_size=5))
-@settings(max_examples=60, deadline=None)
-def test_quotas_are_what_is_there(cells):
+def brute_quotas(need, floor, have, size):
+    """Best cells by trying all: most places filled (real before unfilled), floors kept, fewest trimmed and refilled."""
+    total = [sum(h) for h in have]
+    margin = max(size, sum(min(f, n, t) for f, n, t in zip(floor, need, total)))
+    want = min(margin, sum(total), max(size, sum(min(n, t) for n, t in zip(need, total))))
+    best = None
+    for x in itertools.product(*[range(t + 1) for t in total]):
+        if sum(x) == want and all(a >= min(f, n, t) for a, f, n, t in zip(x, floor, need, total)):
+            off = sum(max(0, min(n, t) - a) + max(0, a - n) for a, n, t in zip(x, need, total))
+            best = off if best is None else min(best, off)
+    return want, best
+
+
+@given(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 5), st.lists(st.integers(0, 3), min_size=2, max_size=2)), min_size=1, max_size=3), st.integers(0, 12))
+@settings(max_examples=150, deadline=None)
+def test_quotas_against_brute_force(cells, size):
     need, floor, have = ([c[i] for c in cells] for i in range(3))
-    quota, short = quota_sample.quotas(need, floor, have)
-    assert quota == [min(n, h) for n, h in zip(need, have)] and short == [max(0, n - h) for n, h in zip(need, have)]
+    got, short = quota_sample.quotas(need, floor, have, size)
+    assert short == [max(0, n - sum(h)) for n, h in zip(need, have)]
+    assert all(0 <= q <= h for g, r in zip(got, have) for q, h in zip(g, r))
+    x = [sum(g) for g in got]
+    want, best = brute_quotas(need, floor, have, size)
+    assert sum(x) == want and all(a >= min(f, n, sum(h)) for a, f, n, h in zip(x, floor, need, have))
+    assert sum(max(0, min(n, sum(h)) - a) + max(0, a - n) for a, n, h in zip(x, need, have)) == best
+
+
+def test_quotas_share_the_margin():
+    # the margin binds: one unit above the floors is trimmed though records are there
+    assert [sum(g) for g in quota_sample.quotas([6, 5], [0, 5], [[9], [9]], 10)[0]] == [5, 5]
+    # a shortfall is refilled from the other actions, in proportion to their targets
+    got, short = quota_sample.quotas([8, 8, 4], [0, 0, 0], [[2], [40], [40]], 20)
+    assert short == [6, 0, 0] and sum(map(sum, got)) == 20 and sum(got[1]) > 8 and sum(got[2]) > 4
+    # the second class keeps its share
+    assert quota_sample.quotas([4, 4], [0, 0], [[10, 10], [10, 10]], 8)[0] in ([[2, 2], [2, 2]], [[4, 0], [0, 4]], [[0, 4], [4, 0]], [[1, 3], [3, 1]], [[3, 1], [1, 3]])
 
 
 def test_quota_sample(spark):
@@ -148,7 +176,8 @@ def test_quota_sample(spark):
     t = spark.createDataFrame([("doc_1", "통상수용", 0.5, 1, 10), ("doc_1", "견적반영", 0.5, 1, 10), ("doc_2", "견적반영", 1.0, 2, 0), ("doc_3", "견적반영", None, None, None), (None, None, 1.0, 1, 1)], "document_id string, primary_action string, target_share double, min_rows int, sample_size int")
     assert rows(quota_sample.shortfalls(labels(spark, x), clash(t)).where("document_id is not null")) == [("doc_1", "견적반영"), ("doc_2", "견적반영")]
     drawn = quota_sample.draw(labels(spark, x), clash(t))
-    assert dict(rows(drawn.groupBy("primary_action").count())) == {"통상수용": 5, "견적반영": 2}
+    assert dict(rows(drawn.groupBy("primary_action").count())) == {"통상수용": 8, "견적반영": 2}  # the three that are missing are refilled
+    assert {(r.primary_action, r.need, r.available, r.quota, r.shortfall) for r in quota_sample.report(labels(spark, x), clash(t)).where("document_id = 'doc_1'").collect()} == {("통상수용", 5, 20, 8, 0), ("견적반영", 5, 2, 2, 3)}
     assert rows(quota_sample.shortfalls(labels(spark, x), t.where("false"))) == []
     assert len(rows(quota_sample.shortfalls(labels(spark, []), t.where("document_id = 'doc_1'")))) == 2
 
@@ -338,6 +367,15 @@ def test_spam_pages(spark):
     en = "The operators shall review the records before the handover. When alerts change, each team must export its budgets within two days."
     bad = ["서버 가격 " * 60, "\n".join(f"https://a{i}.example/x" for i in range(40)), "홈 > 상품 > 공지 > 인기 > " * 20, "#태그하나 #태그둘 #태그셋 " * 15, ok[:40] + "\n" + "\n".join(f"가게{i} 노트북 최저가" for i in range(40)), "<a href='http://x.example'>구매</a> " * 30]
     good = [ok, en, ok + "\n홈 > 공지", "\n".join(f"- {x}" for x in ok.split(". ")), " ".join(f"{i}번 담당자는 매월 운영 현황을 점검하고 결과를 보고한다." for i in range(3000))]
+    good += [
+        "Die Lieferanten müssen die Geräte bis zum Ende des Monats an die Behörde liefern. Der Auftraggeber prüft die Unterlagen und meldet Fehler nach dem Test an das Team.",
+        "Le fournisseur doit livrer les appareils avant la fin du mois. Le client vérifie les documents et signale les erreurs à l'équipe après le test.",
+        "この契約は、発注者と受注者の間で締結される。受注者は期限までに製品を納入しなければならない。検査に合格しない場合は、速やかに交換する。",
+        "供应商应在月底之前交付设备。客户检查文件并将错误报告给团队。如有问题，应及时更换。",
+        "Поставщик должен передать оборудование заказчику до конца месяца. Заказчик проверяет документы и сообщает об ошибках команде.",
+        "Toimittajan on toimitettava laitteet asiakkaalle ennen kuukauden loppua. Asiakas tarkistaa asiakirjat ja ilmoittaa virheistä tiimille.",
+    ]
+    bad += ["\n".join(f"Laptop Preis {i} kaufen" for i in range(40)), "cheap laptops best laptops laptop deals " * 15]
     d = spark.createDataFrame([(i, t) for i, t in enumerate([*good, *bad, None, "", " \n"])], "doc_id bigint, text string")
     assert {r[0] for r in page_spam.spam_pages(clash(d.withColumn("lang", F.lit("xx")))).collect()} == set(range(len(good), len(good) + len(bad)))
     assert page_spam.spam_pages(d.where("false")).count() == 0
