@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 from sheafwork.llm.page_spam import ENGLISH
 from sheafwork.llm.words import list_column, mix, signed, words
+from sheafwork.session import cut
 
 WINDOW = 12
-#: Template hashes shipped to the scan as a filter (8 bytes each); beyond this bound the windows are joined by shuffle instead.
-MAX_SHIPPED = 2_000_000
-MAX_NAMES = 200_000
+#: Bits of the Bloom filter of the items' templates for each template, and the most in all (as powers of two; 16 MB): a fuller filter lets more windows through to the exact join, it loses none.
+BITS_EACH, MOST_BITS, PROBES = 4, 27, 3
 _WINDOW_KIND = "id bigint, template bigint, raw bigint, slots array<bigint>"
 
 
@@ -47,27 +47,15 @@ def _is_number(w: str) -> bool:
     return w[0].isdigit()
 
 
-def name_words(texts: list[str | None]) -> set[str]:
-    """Latin words but units that stand before a number somewhere (product names such as ``Abc-12``): the name lexicon."""
-    out: set[str] = set()
-    for t in texts:
-        w = words(t)
-        out |= {a for a, b in zip(w, w[1:]) if b.isdigit() and a.isascii() and a.isalpha() and not _UNIT.match(a)}
-    return out
-
-
-def _place(w: str, names: frozenset) -> str | None:
+def _place(w: str) -> str | None:
     """Typed placeholder of a word whatever stands beside it; None for an ordinary word.
 
-    A number takes a unit glued to it along (``10gb``, ``30일까지``); names are letters with digits or a Korean tail (``galve40``, ``galve를``), Korean bodies by their last syllables
-    and the words of the lexicon.
+    A number takes a unit glued to it along (``10gb``, ``30일까지``); names are letters with digits or a Korean tail (``galve40``, ``galve를``) and Korean bodies by their last syllables.
     """
     if _is_number(w):
         tail = w.lstrip("0123456789")
         unit = _UNIT.match(tail)
         return NUMBER + (UNIT + _form(unit.group(1)) if unit else _form(tail))
-    if w in names:
-        return NAME
     glued = _GLUED.match(w)
     if glued and not w.isalpha() or glued and glued.group(2):
         return NAME + _form(glued.group(2))
@@ -82,8 +70,32 @@ def _beside(w: str) -> tuple[bool, bool, bool, bool, str | None]:
     return w.isascii() and w.isalpha() and w not in ENGLISH, hangul, hangul and 2 <= len(w) <= 4, w in TITLES or (w[:-1] in TITLES and w[-1] in "은는이가을를의와과"), UNIT + _form(unit.group(1)) if unit else None
 
 
-def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int, keep: np.ndarray | None) -> pa.RecordBatch:
-    """Every window of ``size`` words: template hash, literal hash, slot value hashes; of ``keep`` (sorted) only, if given.
+def probe(templates: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """The k-th place of each template hash in a filter of 2^``bits`` bits."""
+    return (mix(templates, 50 + k) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def bloom(templates: DataFrame, bits: int) -> np.ndarray:
+    """Bloom filter (64-bit words) of a column ``template``; built in the executors, the driver gets its set words only, at most 2^bits / 64 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << (bits - 6), np.uint64)
+        for b in batches:
+            h = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(PROBES):
+                at = probe(h, k, bits)
+                np.bitwise_or.at(own, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(signed(own[at]))], ["word", "bits"])
+
+    got = templates.select("template").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def windows(ids: list[int], texts: list[str | None], size: int, keep: np.ndarray | None) -> pa.RecordBatch:
+    """Every window of ``size`` words: template hash, literal hash, slot value hashes; of those that the Bloom filter ``keep`` lets through only, if given.
 
     A Latin word beside a Korean one or before a number is a name, a Korean one before a title too, a unit after a number a unit. Only neighbours
     in the window count, so equal windows have equal templates and no verbatim leak is lost.
@@ -94,7 +106,7 @@ def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int
     vocabulary = d.dictionary.to_pylist()
     at = d.indices.to_numpy()
     m = len(vocabulary)
-    place = [_place(w, names) for w in vocabulary]
+    place = [_place(w) for w in vocabulary]
     beside = [_beside(w) for w in vocabulary]
     h = lambda s: xxhash.xxh3_64_intdigest(s)
     flag = lambda x: np.fromiter(x, bool, m)[at]
@@ -132,9 +144,10 @@ def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int
         sums.append(mix(total))
     begin = np.flatnonzero(ok)
     if keep is not None:
-        near = sums[0][begin]
-        pos = np.minimum(np.searchsorted(keep, near), max(0, len(keep) - 1))
-        begin = begin[keep[pos] == near] if len(keep) else begin[:0]
+        bits = len(keep).bit_length() + 5
+        for k in range(PROBES):  # few windows are left after the first probe
+            at = probe(sums[0][begin], k, bits)
+            begin = begin[(keep[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
     grid = begin[:, None] + np.arange(size)
     is_slot = np.stack([form(k)[1][grid[:, k]] for k in range(size)], 1) if len(begin) else np.zeros((0, size), bool)
     offsets = np.zeros(len(begin) + 1, np.int64)
@@ -144,29 +157,27 @@ def windows(ids: list[int], texts: list[str | None], names: frozenset, size: int
     return pa.RecordBatch.from_arrays([pa.array(who), pa.array(signed(sums[0][begin])), pa.array(signed(sums[1][begin])), list_column(offsets, signed(values), pa.int64())], ["id", "template", "raw", "slots"])
 
 
-def _scan(rows: DataFrame, id_col: str, text: str, names: frozenset, size: int, keep: np.ndarray | None = None) -> DataFrame:
+def _scan(rows: DataFrame, id_col: str, text: str, size: int, keep: np.ndarray | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield windows(b.column(0).to_pylist(), b.column(1).to_pylist(), names, size, keep)
+            yield windows(b.column(0).to_pylist(), b.column(1).to_pylist(), size, keep)
 
     return rows.where(F.col(id_col).isNotNull() & F.col(text).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).mapInArrow(run, _WINDOW_KIND)
 
 
-def leaks(documents: DataFrame, items: DataFrame, size: int = WINDOW, max_shipped: int = MAX_SHIPPED) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, size: int = WINDOW, filter_bits: int | None = None) -> DataFrame:
     """(doc_id, item_id, verbatim, windows): document-item pairs that share a template window, with whether ``size`` consecutive words are
     literally the same, and the number of shared windows. Other pairs are re-parameterised: same template, slot values mapped one to one.
 
     NULL ids or texts and texts below ``size`` words give nothing; repeats count once. Whole texts are scanned, each word once.
-    The evaluation set is fixed; its name lexicon and template hashes are shipped up to documented bounds (more names: only neighbours and
-    shapes make names; more hashes: plain shuffle join), which changes no verbatim leak.
+    One plan for every size: a Bloom filter of the items' templates (2^``filter_bits`` bits; by default it grows with the items up to a bound) thins the windows
+    where they are made, the join on the template decides.
     """
-    lexicon = items.where("text is not null").select("item_id", "text").mapInArrow(
-        lambda bs: (pa.RecordBatch.from_arrays([pa.array(sorted(name_words(b.column(1).to_pylist())), pa.string())], ["name"]) for b in bs), "name string").distinct().limit(MAX_NAMES + 1).collect()
-    names = frozenset(r[0] for r in lexicon) if len(lexicon) <= MAX_NAMES else frozenset()
-    of_items = _scan(items, "item_id", "text", names, size).distinct()
-    shipped = [r[0] for r in of_items.select("template").distinct().limit(max_shipped + 1).collect()]
-    keep = np.sort(np.array(shipped, np.int64).view(np.uint64)) if len(shipped) <= max_shipped else None
-    found = _scan(documents, "doc_id", "text", names, size, keep).groupBy("id", "template", "raw", "slots").agg(F.count(F.lit(1)).alias("times"))
+    of_items = cut(_scan(items, "item_id", "text", size).distinct())
+    if filter_bits is None:
+        filter_bits = min(MOST_BITS, max(16, of_items.count().bit_length() + BITS_EACH))
+    keep = bloom(of_items, filter_bits)
+    found = _scan(documents, "doc_id", "text", size, keep).groupBy("id", "template", "raw", "slots").agg(F.count(F.lit(1)).alias("times"))
     d = found.select(F.col("id").alias("doc_id"), "template", F.col("raw").alias("d_raw"), F.col("slots").alias("d_slots"), "times")
     i = of_items.select(F.col("id").alias("item_id"), "template", F.col("raw").alias("i_raw"), F.col("slots").alias("i_slots"))
     pair = d.join(i, "template").withColumn("verbatim", F.col("d_raw") == F.col("i_raw"))
