@@ -1,7 +1,7 @@
 """Problem 9: sources mixed to target token shares, with capped repeats.
 
 Method: time-varying curriculum. Each source has a weight schedule over the run; its integral is the cumulative token demand, the inverse of
-which turns a document's token offset into a training position; documents are range-sorted by position.
+which turns a document's token offset into a training position; documents are range-sorted by position. A source that runs dry before its demand is met falls short.
 """
 
 from __future__ import annotations
@@ -19,8 +19,6 @@ from sheafwork.session import cut
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the public pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Sources that may be repeated this often or more are taken to be small and good, and are ramped up towards the end of the run.
-RAMP_FROM, RAMP = 4, 0.5
 
 
 def source_key(c: str) -> Column:
@@ -50,53 +48,93 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER, id_col: str =
     return kept.mapInArrow(run, f"{kinds}, tokens bigint")
 
 
-def source_report(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """One row per source of ``weights``: source, target_share, max_repeats, tokens, budget (all tokens of documents that have a source), demand, used, actual_share, short.
+def ramped(weights: DataFrame, repeats: int = 4, start: float = 0.5, end: float = 1.5) -> DataFrame:
+    """(source, at, weight): a schedule in which the sources that may be repeated ``repeats`` times or more, taken to be small and good, gain weight towards the end of the run."""
+    at = F.explode(F.array(F.struct(F.lit(0.0).alias("at"), F.lit(start).alias("weight")), F.struct(F.lit(1.0).alias("at"), F.lit(end).alias("weight"))))
+    return weights.where(F.col("max_repeats") >= repeats).select("source", at.alias("p")).select("source", "p.*")
 
-    ``short``: even max_repeats uses give less than the demand. A source without documents has 0 tokens; documents whose source is not listed count
-    to the budget only; NULL repeats count as 1. Pre-aggregated by source before the shuffle.
-    """
-    per = token_counts(documents.withColumn("_source", source_key("source")), tokenizer, carry=("_source",)).where("_source is not null")
-    return _report(per.groupBy(F.col("_source").alias("key")).agg(F.sum("tokens").alias("tokens")), weights)
 
+def segments(schedule: DataFrame) -> DataFrame:
+    """(key, segments): the linear pieces of each source's weight between its points, (begin, weight, slope, share of the demand before), scaled so that the integral over the run is 1.
 
-def _report(by_source: DataFrame, weights: DataFrame) -> DataFrame:
+    ``schedule``: (source, at, weight). Times outside [0, 1], negative weights and NULLs don't count; the weight is even before the first and after the last point; a source whose weights are all 0 gets no pieces.
+    """
+    ok = schedule.select(source_key("source").alias("key"), F.col("at").cast("double").alias("at"), F.col("weight").cast("double").alias("weight")).where("key is not null and at between 0 and 1 and weight >= 0")
+    p = ok.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("p"))
+    edge = lambda t, i: F.array(F.struct(F.lit(t).alias("at"), F.element_at("p", i)["weight"].alias("weight")))
+    p = p.withColumn("p", F.concat(edge(0.0, 1), "p", edge(1.0, -1))).withColumn("i", F.sequence(F.lit(1), F.size("p") - 1))
+    begin, end = (lambda i: F.element_at("p", i)), (lambda i: F.element_at("p", i + 1))
+    p = p.withColumn("area", F.transform("i", lambda i: (end(i)["at"] - begin(i)["at"]) * (end(i)["weight"] + begin(i)["weight"]) / 2))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    p = p.withColumn("all", total(F.col("area"))).where(F.col("all") > 0)
+    width = lambda i: end(i)["at"] - begin(i)["at"]
+    piece = lambda i: F.struct(
+        begin(i)["at"].alias("t"), (begin(i)["weight"] / F.col("all")).alias("w"), ((end(i)["weight"] - begin(i)["weight"]) / width(i) / F.col("all")).alias("k"), (total(F.slice("area", F.lit(1), i - 1)) / F.col("all")).alias("c"))
+    return p.select("key", F.transform(F.filter("i", lambda i: width(i) > 0), piece).alias("segments"))
+
+
+def position(share: Column, pieces: Column) -> Column:
+    """Time at which the scheduled demand reaches ``share`` of the whole: the inverse of the integral; even where there are no pieces."""
+    seg = F.element_at(F.filter(pieces, lambda s: s["c"] <= share), -1)
+    left = share - seg["c"]
+    x = F.try_divide(2 * left, seg["w"] + F.sqrt(F.greatest(F.lit(0.0), seg["w"] * seg["w"] + 2 * seg["k"] * left)))
+    return F.coalesce(F.least(F.lit(1.0 - 2**-53), seg["t"] + F.coalesce(x, F.lit(0.0))), share)
+
+
+def plan(by_source: DataFrame, weights: DataFrame) -> DataFrame:
+    """One row per source of ``weights``: source, key, target_share, max_repeats, tokens, budget (all tokens of documents that have a source), demand, supply.
+
+    A source without documents has 0 tokens; documents whose source is not listed count to the budget only; NULL repeats count as 1. ``by_source``: (key, tokens).
+    """
     everything = Window.partitionBy()  # over sources, which are few
     w = weights.select("source", "target_share", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"), source_key("source").alias("key")).distinct()
     found = by_source.withColumn("budget", F.sum("tokens").over(everything))
     r = w.join(found, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0))).withColumn("budget", F.coalesce(F.max("budget").over(everything), F.lit(0)))
-    r = r.withColumn("demand", F.col("target_share") * F.col("budget")).withColumn("capacity", F.col("tokens") * F.col("max_repeats"))
-    r = r.withColumn("used", F.least(F.col("demand"), F.col("capacity").cast("double"))).withColumn("short", F.coalesce(F.col("capacity") < F.col("demand"), F.lit(False)))
-    return r.withColumn("actual_share", F.coalesce(F.try_divide("used", F.sum("used").over(everything)), F.lit(0.0))).select(
-        "source", "key", "target_share", "max_repeats", "tokens", "budget", "demand", "used", "actual_share", "short")
+    return r.withColumn("demand", F.coalesce(F.col("target_share") * F.col("budget"), F.lit(0.0))).withColumn("supply", F.col("tokens") * F.col("max_repeats"))
 
 
-def mix(documents: DataFrame, weights: DataFrame, tokenizer: str = TOKENIZER, seed: int = 17, bins: int = 2048) -> DataFrame:
-    """(position, doc_id, source, use, tokens): the training order. Position is in [0, 1); ``use`` counts a document's repeats from 0.
+def laid_out(documents: DataFrame, weights: DataFrame, schedule: DataFrame | None = None, tokenizer: str = TOKENIZER, seed: int = 17, bins: int = 2048) -> tuple[DataFrame, DataFrame]:
+    """(mixed rows, plan); the rows are (position, doc_id, source, use, tokens), unsorted.
 
-    A source is walked in hash order as often as its demand needs, at most max_repeats times; the document at cumulative offset o gets the position t where
-    the source's cumulative demand reaches o. Schedule: weight = share x (1 + r (2t - 1)), r = RAMP for sources that may be repeated often, 0 else; its integral is inverted in closed form.
+    A source is walked in hash order as often as its demand needs, at most max_repeats times; the document at cumulative offset o gets the position where
+    the source's scheduled demand (even without a ``schedule``) reaches o. A short source so ends before the run does.
     Prefix sums run over ``bins`` hash bins of each source, then within a bin, so a hot source is spread.
     """
     per = token_counts(documents.withColumn("_source", source_key("source")), tokenizer, carry=("_source",)).where("_source is not null and tokens > 0")
     per = per.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).withColumn("bin", F.pmod("h", F.lit(bins)))
     per = cut(per)
-    bin_sum = per.groupBy("_source", "bin").agg(F.sum("tokens").alias("n"))
-    report = _report(bin_sum.groupBy(F.col("_source").alias("key")).agg(F.sum("n").alias("tokens")), weights).select("key", "tokens", "demand", "used", "max_repeats").where("used > 0").dropDuplicates(["key"]).withColumnRenamed("tokens", "all_tokens")
+    bin_sum = cut(per.groupBy("_source", "bin").agg(F.sum("tokens").alias("n")))
+    plan_ = plan(bin_sum.groupBy(F.col("_source").alias("key")).agg(F.sum("n").alias("tokens")), weights)
+    wanted = plan_.where("demand > 0 and tokens > 0").dropDuplicates(["key"]).select("key", F.col("tokens").alias("all_tokens"), "demand", F.least("demand", F.col("supply").cast("double")).alias("used"))
+    pieces = F.lit(None).cast("array<struct<t: double, w: double, k: double, c: double>>")
+    wanted = wanted.join(segments(schedule), "key", "left") if schedule is not None else wanted.withColumn("segments", pieces)
     before = Window.partitionBy("_source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     start = bin_sum.select("_source", "bin", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     inside = Window.partitionBy("_source", "bin").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     at = per.join(start, ["_source", "bin"]).withColumn("offset", F.col("start") + F.coalesce(F.sum("tokens").over(inside), F.lit(0)))
-    at = at.join(report, at["_source"] == report["key"])
+    at = at.join(wanted, at["_source"] == wanted["key"])
     uses = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("used") / F.col("all_tokens")).cast("int") - 1)))
     laid = at.withColumn("use", uses).withColumn("o", F.col("use") * F.col("all_tokens") + F.col("offset")).where("o < used")
-    share = F.col("o") / F.col("used")
-    ramp = F.when(F.col("max_repeats") >= RAMP_FROM, F.lit(RAMP)).otherwise(F.lit(0.0))
-    # cumulative demand (1 - r) t + r t^2 = share; short sources are stretched over the whole run
-    t = F.when(ramp == 0, share).otherwise((ramp - 1 + F.sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * share)) / (2 * F.greatest(ramp, F.lit(1e-9))))
-    return laid.select(t.alias("position"), "doc_id", F.col("_source").alias("source"), "use", "tokens").orderBy("position", "doc_id", "use")
+    return laid.select(position(F.col("o") / F.col("demand"), F.col("segments")).alias("position"), "doc_id", F.col("_source").alias("source"), "use", "tokens"), plan_
+
+
+def mix(documents: DataFrame, weights: DataFrame, schedule: DataFrame | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> DataFrame:
+    """(position, doc_id, source, use, tokens): the training order. Position is in [0, 1); ``use`` counts a document's repeats from 0."""
+    return laid_out(documents, weights, schedule, tokenizer, seed)[0].orderBy("position", "doc_id", "use")
+
+
+def mix_report(documents: DataFrame, weights: DataFrame, schedule: DataFrame | None = None, tokenizer: str = TOKENIZER, seed: int = 17) -> DataFrame:
+    """(source, target_share, max_repeats, tokens, demand, mixed_tokens, actual_share, short) of every source of ``weights``, measured on the mixed rows.
+
+    ``short``: the source ran dry, its mixed rows have fewer tokens than its demand. A schedule moves positions, never what is mixed.
+    """
+    rows, plan_ = laid_out(documents, weights, schedule, tokenizer, seed)
+    got = rows.groupBy(F.col("source").alias("key")).agg(F.sum("tokens").alias("mixed_tokens"))
+    r = plan_.join(got, "key", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
+    share = F.coalesce(F.try_divide(F.col("mixed_tokens"), F.sum("mixed_tokens").over(Window.partitionBy())), F.lit(0.0))
+    return r.select("source", "target_share", "max_repeats", "tokens", "demand", "mixed_tokens", share.alias("actual_share"), (F.col("mixed_tokens") < F.col("demand")).alias("short"))
 
 
 def short_sources(documents: DataFrame, weights: DataFrame) -> DataFrame:
     """(source) of ``weights`` that fall short."""
-    return source_report(documents, weights).where("short").select("source").distinct()
+    return mix_report(documents, weights).where("short").select("source").distinct()

@@ -90,7 +90,11 @@ def queries() -> dict:
 
     @on(docs, "source_weights")
     def p9_mix(d, w):
-        return mixing.mix(d, w)
+        return mixing.mix(d, w, mixing.ramped(w))
+
+    @on(docs, "source_weights")
+    def p9_report(d, w):
+        return mixing.mix_report(d, w).select("source", "target_share", "max_repeats", "tokens", "mixed_tokens", F.round("actual_share", 9).alias("actual_share"), "short")
 
     @on(docs)
     def p10_found(d):

@@ -313,7 +313,8 @@ def test_leaks(spark, data):
     d = spark.createDataFrame([*docs, (None, text)], "doc_id bigint, text string")
     got = {(r.doc_id, r.item_id): r.verbatim for r in leakage.leaks(d, items).collect()}
     assert got == {(1, 1): True, (2, 1): False, (7, 1): True}
-    assert {k: v for k, v in got.items()} == {(r.doc_id, r.item_id): r.verbatim for r in leakage.leaks(d, items, max_shipped=1).collect()}
+    for bits in (6, 20):  # a filter that lets all through, a roomy one
+        assert got == {(r.doc_id, r.item_id): r.verbatim for r in leakage.leaks(d, items, filter_bits=bits).collect()}
     assert leakage.leaked_items(d, items.where("false")).count() == 0 and leakage.leaked_items(d.where("false"), items).count() == 0
     real, ev = table(spark, data, "documents"), table(spark, data, "eval_items")
     grams = {}
@@ -354,9 +355,26 @@ def test_mixing(spark):
     for r in m:
         use.setdefault(r.source, []).append(r.use)
     assert max(use["small"]) == 1 and len(use["small"]) == 8 and max(use["big"]) == 0 and abs(len(use["big"]) - 22) <= 1
+    gone = {r.source: r.demand for r in mixing.mix_report(docs, w).collect()}
+    assert gone["small"] > sum(r.tokens for r in m if r.source == "small")  # it runs dry
     assert rows(mixing.short_sources(docs.where("false"), w)) == [] and mixing.mix(docs.where("false"), w).count() == 0
-    other = {r.source: r.short for r in mixing.source_report(docs, w, "/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
-    assert other == {"big": False, "small": True, "gone": True, "zero": False}
+    other = {r.source: (r.short, r.mixed_tokens) for r in mixing.mix_report(docs, w, tokenizer="/opt/tokenizers/byte_bpe_50k.tiktoken").collect()}
+    assert {k: v[0] for k, v in other.items()} == {"big": False, "small": True, "gone": True, "zero": False} and other["gone"][1] == other["zero"][1] == 0
+
+
+def test_mixing_follows_the_schedule(spark):
+    docs = spark.createDataFrame([(i, "가나다 라마바 " * 10, "ab"[i % 2]) for i in range(800)], "doc_id bigint, text string, source string")
+    w = spark.createDataFrame([("A ", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    points = [("a", 0.0, 0.0), ("a", 0.5, 2.0), ("a", 1.0, 0.0), ("a", 1.5, 9.0), ("a", 0.2, -1.0), (None, 0.1, 1.0), ("b", 0.3, None)]
+    m = mixing.mix(docs, w, spark.createDataFrame(points, "source string, at double, weight double")).collect()
+    a, b = (sorted(r.position for r in m if r.source == x) for x in "ab")
+    assert len(a) == len(b) == 400 and all(0 <= x < 1 for x in a + b)
+    # the share of a laid before t is the integral of its tent, that of b is even
+    for t in (0.1, 0.25, 0.5, 0.75, 0.9):
+        assert abs(sum(x < t for x in a) / 400 - (2 * t * t if t <= 0.5 else 1 - 2 * (1 - t) ** 2)) < 0.01 and abs(sum(x < t for x in b) / 400 - t) < 0.01
+    shares = {r.source: r.actual_share for r in mixing.mix_report(docs, w).collect()}
+    assert shares == {"A ": 0.5, "b": 0.5}
+    assert mixing.ramped(w).count() == 0 and mixing.ramped(w, 1).count() == 4
 
 
 # --- problem 10
