@@ -78,7 +78,7 @@ def position(share: Column, pieces: Column) -> Column:
     seg = F.element_at(F.filter(pieces, lambda s: s["c"] <= share), -1)
     left = share - seg["c"]
     x = F.try_divide(2 * left, seg["w"] + F.sqrt(F.greatest(F.lit(0.0), seg["w"] * seg["w"] + 2 * seg["k"] * left)))
-    return F.coalesce(F.least(F.lit(1.0 - 2**-53), seg["t"] + F.coalesce(x, F.lit(0.0))), share)
+    return F.when(seg.isNull(), share).otherwise(F.least(F.lit(1.0 - 2**-53), seg["t"] + F.coalesce(x, F.lit(0.0))))
 
 
 def plan(by_source: DataFrame, weights: DataFrame) -> DataFrame:
