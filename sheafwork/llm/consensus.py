@@ -17,11 +17,8 @@ from sheafwork.functions.canon import label_key, nfkc
 from sheafwork.llm.records import latest_state
 from sheafwork.session import cut
 
-#: The multi-valued field's entries, the other fields' values come from the data.
-BLOCKERS = ("범위·책임", "검수·성능기준", "기술실현성", "라이선스·공급", "공급자종속")
+#: Fields with one value; the values of these and the entries of the multi-valued field come from the data.
 SINGLE = ("primary_action", "cost_basis")
-#: Documented bounds of what is held on the driver and shipped with each round.
-MAX_ANNOTATORS, MAX_LABELS = 100_000, 62
 ROUNDS, TOLERANCE, SMOOTH = 30, 1e-4, 0.5
 
 
@@ -35,13 +32,6 @@ def latest_votes(results: DataFrame) -> DataFrame:
     return last.select("requirement_uid", "annotator_id", *[F.nullif(label_key(F.col(f"s.v.{c}")), F.lit("")).alias(c) for c in SINGLE], F.col("s.v.blockers").alias("raw"))
 
 
-def _blocker_keys(df: DataFrame, raw: str, keys: list[str]) -> DataFrame:
-    """Adds ``mask``: bit i is set if blocker i is among ``raw``; NULL for NULL. The key is taken of the joined list, so each row needs one pass."""
-    joined = df.withColumn("_j", label_key_list(F.col(raw)))
-    mask = sum((F.when(F.array_contains("_j", k), F.lit(1 << i)).otherwise(F.lit(0)) for i, k in enumerate(keys)), F.lit(0))
-    return joined.withColumn("mask", F.when(F.col(raw).isNotNull(), mask)).drop("_j")
-
-
 def label_key_list(items):
     """Keys of a list of labels (one canonicalisation of the joined list)."""
     sep = "\x1f"
@@ -49,137 +39,151 @@ def label_key_list(items):
     return F.transform(F.split(nfkc(text), sep), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]|ᆞ", ""))
 
 
-def _posterior(codes, item, who, n_items, theta, xi, k):
-    """log-posterior of each item (n_items x k) from votes (item, who, codes)."""
-    honest = theta[who]
-    spam = (1 - honest) * xi[who, codes]
-    log = np.zeros((n_items, k))
-    np.add.at(log, item, np.log(spam)[:, None])
-    gain = np.log(honest + spam) - np.log(spam)
-    np.add.at(log, (item, codes), gain)
-    return log
-
-
-def _slots(batch: pa.RecordBatch, k_of: list[int]):
-    """For each slot (field, or one blocker): votes as (item, annotator, code) arrays without missing values."""
-    votes = batch.column(batch.schema.get_field_index("votes"))
-    sizes = np.diff(votes.offsets.to_numpy())
-    flat = votes.flatten()
-    item = np.repeat(np.arange(len(sizes)), sizes)
-    who = flat.field("who").to_numpy()
-    for s in range(len(SINGLE)):
-        code = flat.field(SINGLE[s]).to_numpy()
-        ok = code >= 0
-        yield item[ok], who[ok], code[ok]
-    mask = flat.field("mask").to_numpy()
-    ok = mask >= 0
-    for b in range(len(k_of) - len(SINGLE)):
-        yield item[ok], who[ok], ((mask[ok] >> b) & 1).astype(np.int64)
+class Ballots:
+    """Numbers of all votes that occur. A slot is a field, or one entry of the multi-valued field; a seat an annotator in a slot; a label a value in a slot; a vote a label of a seat.
+
+    Everything is as long as the annotators times the labels they use (annotators don't grow with the items); nothing is as long as the items.
+    """
+
+    def __init__(self, rows: list[tuple[str, str, str, int]]) -> None:
+        rows = sorted(rows, key=lambda r: r[3])
+        self.key = np.array([r[3] for r in rows], np.int64)
+        self.slots = sorted({r[0] for r in rows})
+        self.labels = sorted({(r[0], r[2]) for r in rows})
+        self.seats = sorted({(r[0], r[1]) for r in rows})
+        slot, label, seat = ({x: i for i, x in enumerate(v)} for v in (self.slots, self.labels, self.seats))
+        self.label = np.array([label[r[0], r[2]] for r in rows], np.int64)
+        self.seat = np.array([seat[r[0], r[1]] for r in rows], np.int64)
+        self.slot_of_label = np.array([slot[x[0]] for x in self.labels], np.int64)
+        self.slot_of_seat = np.array([slot[x[0]] for x in self.seats], np.int64)
+        self.k = np.maximum(2, np.bincount(self.slot_of_label, minlength=len(self.slots))) if rows else np.zeros(0, np.int64)
+        self.theta = np.full(len(self.seats), 0.7)
+        self.xi = 1 / self.k[self.slot_of_label[self.label]] if rows else np.zeros(0)
+        self.prior = 1 / self.k[self.slot_of_label] if rows else np.zeros(0)
+
+    def posterior(self, votes: pa.ListArray) -> tuple:
+        """Of a batch of items: the vote of each cast one; its pair (item and slot, label); the pairs' labels, owners and probabilities; the items' slots; what a label without a vote has per prior.
+
+        A label nobody gave an item has the same likelihood whichever it is, so the sums over labels need those with votes only.
+        """
+        s = len(self.slots)
+        sizes = np.diff(votes.offsets.to_numpy())
+        vote = np.searchsorted(self.key, votes.flatten().to_numpy(zero_copy_only=False))
+        label = self.label[vote]
+        owner = np.repeat(np.arange(len(sizes)), sizes) * s + self.slot_of_label[label]
+        places, at = np.unique(owner, return_inverse=True)
+        pairs, of_vote = np.unique(at * len(self.labels) + label, return_inverse=True)
+        pair_owner, pair_label = pairs // len(self.labels), pairs % len(self.labels)
+        honest = self.theta[self.seat[vote]]
+        spam = (1 - honest) * self.xi[vote]
+        log = np.bincount(of_vote, np.log(honest + spam) - np.log(spam), len(pairs)) + np.log(self.prior[pair_label])
+        free = np.maximum(0.0, 1 - np.bincount(pair_owner, self.prior[pair_label], len(places)))
+        top = np.zeros(len(places))  # the labels without votes stand at 0
+        np.maximum.at(top, pair_owner, log)
+        weight = np.exp(log - top[pair_owner])
+        whole = np.bincount(pair_owner, weight, len(places)) + free * np.exp(-top)
+        return vote, of_vote, pair_label, pair_owner, weight / whole[pair_owner], places, np.exp(-top) / whole
+
+    def expect(self, votes: pa.ListArray) -> dict[str, np.ndarray]:
+        """Sums of a batch: copied votes of each seat, guesses of each vote, posterior of each label, what unvoted labels have."""
+        vote, of_vote, label, owner, q, places, rest = self.posterior(votes)
+        seat = self.seat[vote]
+        honest = self.theta[seat]
+        copied = honest / (honest + (1 - honest) * self.xi[vote]) * q[of_vote]
+        slots = self.slot_of_label[label]
+        own_slot = np.zeros(len(places), np.int64)
+        own_slot[owner] = slots
+        return {
+            "copied": np.bincount(seat, copied, len(self.seats)), "cast": np.bincount(seat, minlength=len(self.seats)).astype(float), "guessed": np.bincount(vote, 1 - copied, len(self.key)),
+            "label": np.bincount(label, q, len(self.labels)), "voted": np.bincount(label, rest[owner], len(self.labels)), "rest": np.bincount(own_slot, rest, len(self.slots)), "items": np.bincount(own_slot, minlength=len(self.slots)).astype(float),
+        }
+
+    def maximise(self, x: dict[str, np.ndarray]) -> float:
+        """New parameters; the greatest change of a competence."""
+        before = self.theta
+        self.theta = (x["copied"] + SMOOTH) / (x["cast"] + 2 * SMOOTH)
+        all_guessed = np.bincount(self.seat, x["guessed"], len(self.seats))
+        self.xi = (x["guessed"] + SMOOTH / self.k[self.slot_of_label[self.label]]) / (all_guessed[self.seat] + SMOOTH)
+        share = x["label"] + self.prior * (x["rest"][self.slot_of_label] - x["voted"])
+        self.prior = (share + SMOOTH) / (x["items"] + SMOOTH * self.k)[self.slot_of_label]
+        return float(np.abs(self.theta - before).max())
+
+
+#: The sums of a round, in the order in which their numbers are laid out.
+SUMS = ("copied", "cast", "guessed", "label", "voted", "rest", "items")
+
+
+def _decided(b: Ballots, batch: pa.RecordBatch) -> list[tuple]:
+    uid, count, votes = (batch.column(batch.schema.get_field_index(c)) for c in ("requirement_uid", "annotators", "votes"))
+    uid, count = uid.to_pylist(), count.to_pylist()
+    _, of_vote, label, owner, q, places, _ = b.posterior(votes)
+    cast = np.bincount(of_vote, minlength=len(q))
+    order = np.lexsort((label, -np.round(q, 12), owner))
+    first = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])] if len(order) else order
+    same = cast[first] / np.bincount(owner, cast, len(places)) if len(first) else np.zeros(0)
+    out, entries = [], {}
+    for place, pair, agree in zip(places, first, same):
+        item, (slot, value) = int(place // len(b.slots)), b.labels[label[pair]]
+        if slot in SINGLE:
+            out.append((uid[item], slot, count[item], value, float(agree), float(q[pair])))
+        else:
+            entries.setdefault(item, []).append((slot.split(":", 1)[1], value, float(agree), float(q[pair])))
+    for item, e in entries.items():
+        out.append((uid[item], "blockers", count[item], "|".join(name for name, value, *_ in sorted(e) if value == "1"), float(np.mean([x[2] for x in e])), min(x[3] for x in e)))
+    return out
 
 
 def consensus(results: DataFrame, min_annotators: int = 1) -> tuple[DataFrame, DataFrame]:
     """(items, annotators).
 
     items: requirement_uid, field, annotators, value (keys; blockers joined by ``|`` in order), agreement (mean share of votes equal to the consensus), confidence
-    (least posterior). annotators: annotator_id, field, votes, competence. Fields nobody voted on give no row; blockers count one by one. Ties of the posterior go to the
-    label first by code point. An empty table gives empty results.
+    (least posterior). annotators: annotator_id, field, competence. The consensus is one of the labels given. Fields nobody voted on give no row; blockers count one by one,
+    every one that occurs anywhere. Ties of the posterior go to the label first by code point. An empty table gives empty results.
 
-    One item's votes are one row (at most one per annotator, and annotators don't grow); a round ships only the annotators' parameters
-    and gathers only their sums.
+    One item's votes are one row (at most one per annotator, and annotators don't grow); a round ships the parameters of the
+    annotators and their labels (``Ballots``) and gathers the sums of the same length.
     """
     spark = results.sparkSession
     votes = latest_votes(results)
-    blocker_keys = sorted(r[0] for r in spark.createDataFrame([(b,) for b in BLOCKERS], "b string").select(label_key(F.col("b"))).collect())
-    votes = cut(_blocker_keys(votes, "raw", blocker_keys).drop("raw"))
-    people = [r[0] for r in votes.select("annotator_id").distinct().orderBy("annotator_id").limit(MAX_ANNOTATORS + 1).collect()]
-    vocabulary = {f: [r[0] for r in votes.select(f).where(F.col(f).isNotNull()).distinct().orderBy(f).limit(MAX_LABELS + 1).collect()] for f in SINGLE}
-    if len(people) > MAX_ANNOTATORS or any(len(v) > MAX_LABELS for v in vocabulary.values()):
-        raise ValueError("more annotators or labels than the documented bounds")
-    k_of = [max(2, len(vocabulary[f])) for f in SINGLE] + [2] * len(blocker_keys)
-    code = lambda c, known: F.coalesce(F.array_position(F.array(*map(F.lit, known)), F.col(c)), F.lit(0)).cast("bigint") - 1 if known else F.lit(-1).cast("bigint")
-    seat = spark.createDataFrame([(p, i) for i, p in enumerate(people)] or [("", 0)], "annotator_id string, who bigint")
-    row = votes.join(F.broadcast(seat), "annotator_id").select(
-        "requirement_uid", F.struct("who", *[code(f, vocabulary[f]).alias(f) for f in SINGLE], F.coalesce("mask", F.lit(-1)).cast("bigint").alias("mask")).alias("vote"))
-    items = cut(row.groupBy("requirement_uid").agg(F.sort_array(F.collect_list("vote")).alias("votes")).where(F.size("votes") >= min_annotators))
-
-    n = max(1, len(people))
-    theta = np.full((len(k_of), n), 0.7)
-    xi = [np.full((n, k), 1 / k) for k in k_of]
-    prior = [np.full(k, 1 / k) for k in k_of]
-
-    def expect(th, xs, pr):
+    keys = F.array_sort(F.array_distinct(F.filter(label_key_list(F.col("raw")), lambda x: x != "")))
+    votes = cut(votes.select("requirement_uid", "annotator_id", *SINGLE, F.when(F.col("raw").isNotNull(), keys).alias("blockers")))
+    known = sorted(r[0] for r in votes.select(F.explode("blockers").alias("b")).distinct().collect())
+    given = [(f, F.col(f)) for f in SINGLE] + [(f"blockers:{k}", F.when(F.array_contains("blockers", k), "1").when(F.col("blockers").isNotNull(), "0")) for k in known]
+    one = [F.when(v.isNotNull(), F.struct(F.lit(s).alias("slot"), v.alias("value"), F.xxhash64(F.lit(s), "annotator_id", v).alias("key"))) for s, v in given]
+    cast = votes.select("requirement_uid", "annotator_id", F.array_compact(F.array(*one)).alias("cast"))
+    b = Ballots([tuple(r) for r in cast.select("annotator_id", F.explode("cast").alias("c")).select("c.slot", "annotator_id", "c.value", "c.key").distinct().collect()])
+    items = cast.groupBy("requirement_uid").agg(F.count(F.lit(1)).cast("int").alias("annotators"), F.sort_array(F.flatten(F.collect_list("cast.key"))).alias("votes"))
+    items = cut(items.where(F.col("annotators") >= min_annotators))
+    sizes = {"copied": len(b.seats), "cast": len(b.seats), "guessed": len(b.key), "label": len(b.labels), "voted": len(b.labels), "rest": len(b.slots), "items": len(b.slots)}
+    begin = dict(zip(SUMS, np.cumsum([0, *[sizes[x] for x in SUMS]])))
+
+    def summed(at: Ballots):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            width = max(k_of) + 2
-            total = np.zeros((len(k_of), n, width))
-            labels = np.zeros((len(k_of), width))
+            total = {x: np.zeros(sizes[x]) for x in SUMS}
             for batch in batches:
-                for s, (item, who, c) in enumerate(_slots(batch, k_of)):
-                    if not len(item):
-                        continue
-                    log = _posterior(c, item, who, batch.num_rows, th[s], xs[s], k_of[s]) + np.log(pr[s])
-                    q = np.exp(log - log.max(1, keepdims=True))
-                    q /= q.sum(1, keepdims=True)
-                    copied = th[s][who] / (th[s][who] + (1 - th[s][who]) * xs[s][who, c]) * q[item, c]
-                    np.add.at(total[s], (who, 0), 1)
-                    np.add.at(total[s], (who, 1), copied)
-                    np.add.at(total[s], (who, c + 2), 1 - copied)
-                    labels[s, : k_of[s]] += q[np.unique(item)].sum(0)
-            s, w, k = np.nonzero(total)
-            ls, lk = np.nonzero(labels)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([s, ls])), pa.array(np.concatenate([w, np.full(len(ls), -1)])), pa.array(np.concatenate([k, lk])), pa.array(np.concatenate([total[s, w, k], labels[ls, lk]]))], ["s", "w", "k", "x"])
+                for x, v in at.expect(batch.column(0)).items():
+                    total[x] += v
+            flat = np.concatenate([total[x] for x in SUMS])
+            some = np.flatnonzero(flat)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["i", "x"])
 
         return run
 
-    for _ in range(ROUNDS):
-        got = items.mapInArrow(expect(theta, xi, prior), "s bigint, w bigint, k bigint, x double").groupBy("s", "w", "k").agg(F.sum("x").alias("x")).toPandas()
-        before = theta.copy()
-        for s, k in enumerate(k_of):
-            part = got[got.s == s]
-            sums = np.zeros((n, k + 2))
-            own = part[part.w >= 0]
-            sums[own.w, own.k] = own.x
-            theta[s] = (sums[:, 1] + SMOOTH) / (sums[:, 0] + 2 * SMOOTH)
-            xi[s] = (sums[:, 2:] + SMOOTH / k) / (sums[:, 2:].sum(1, keepdims=True) + SMOOTH)
-            share = np.zeros(k)
-            lab = part[part.w < 0]
-            share[lab.k] = lab.x
-            prior[s] = (share + SMOOTH) / (share.sum() + SMOOTH * k)
-        if np.abs(theta - before).max() < TOLERANCE:
+    for _ in range(ROUNDS if len(b.key) else 0):
+        got = items.select("votes").mapInArrow(summed(b), "i bigint, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
+        flat = np.zeros(sum(sizes.values()))
+        flat[got.column("i").to_numpy()] = got.column("x").to_numpy()
+        if b.maximise({x: flat[begin[x] : begin[x] + sizes[x]] for x in SUMS}) < TOLERANCE:
             break
 
-    def decide(th, xs, pr):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                uid = batch.column(batch.schema.get_field_index("requirement_uid")).to_pylist()
-                m = len(uid)
-                count = np.diff(batch.column(batch.schema.get_field_index("votes")).offsets.to_numpy())
-                best, sure, same, any_vote = [], [], [], []
-                for s, (item, who, c) in enumerate(_slots(batch, k_of)):
-                    log = _posterior(c, item, who, m, th[s], xs[s], k_of[s]) + np.log(pr[s])
-                    q = np.exp(log - log.max(1, keepdims=True))
-                    q /= q.sum(1, keepdims=True)
-                    b = q.argmax(1)
-                    got = np.bincount(item, minlength=m)
-                    best.append(b), sure.append(q.max(1)), any_vote.append(got > 0)
-                    same.append(np.bincount(item, c == b[item], minlength=m) / np.maximum(got, 1))
-                out = []
-                for i in range(m):
-                    for s, f in enumerate(SINGLE):
-                        if any_vote[s][i]:
-                            out.append((uid[i], f, int(count[i]), vocabulary[f][best[s][i]], float(same[s][i]), float(sure[s][i])))
-                    t = range(len(SINGLE), len(k_of))
-                    if any_vote[len(SINGLE)][i]:
-                        value = "|".join(blocker_keys[x - len(SINGLE)] for x in t if best[x][i] == 1)
-                        out.append((uid[i], "blockers", int(count[i]), value, float(np.mean([same[x][i] for x in t])), float(min(sure[x][i] for x in t))))
-                cols = list(zip(*out)) or [[]] * 6
-                kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["requirement_uid", "field", "annotators", "value", "agreement", "confidence"])
-
-        return run
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = list(zip(*_decided(b, batch))) or [[]] * 6
+            kinds = [pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(cols, kinds)], ["requirement_uid", "field", "annotators", "value", "agreement", "confidence"])
 
-    agreed = items.mapInArrow(decide(theta, xi, prior), "requirement_uid string, field string, annotators int, value string, agreement double, confidence double")
-    names = [*SINGLE, *[f"blockers:{b}" for b in blocker_keys]]
-    reliability = spark.createDataFrame([(p, f, float(theta[s][i])) for i, p in enumerate(people) for s, f in enumerate(names)], "annotator_id string, field string, competence double")
+    agreed = items.mapInArrow(decide, "requirement_uid string, field string, annotators int, value string, agreement double, confidence double")
+    reliability = spark.createDataFrame([(who, slot, float(t)) for (slot, who), t in zip(b.seats, b.theta)], "annotator_id string, field string, competence double")
     return agreed, reliability
 
 

@@ -72,6 +72,10 @@ def queries() -> dict:
     def p7_found(r, x):
         return consensus.disputed(r, x)
 
+    @on("results")
+    def p7_consensus(r):
+        return consensus.consensus(r)[0].withColumns({c: F.round(c, 6) for c in ("agreement", "confidence")})
+
     @on("results")
     def p7_reliability(r):
         return consensus.consensus(r)[1].select("annotator_id", "field", F.round("competence", 6).alias("competence"))

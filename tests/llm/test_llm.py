@@ -303,6 +303,15 @@ def test_consensus_finds_truth_and_spammers(spark):
     assert items.count() == 0 and people.count() == 0
 
 
+def test_consensus_takes_labels_and_blockers_from_the_data(spark):
+    kinds = "status string, requirement_uid string, annotator_id string, received_at timestamp, label struct<primary_action: string, blockers: array<string>, cost_basis: string>"
+    out = [("ok", f"u{i}", f"r{j}", T0, (f"label {i if j else i + 1}", ["New one", "b"] if i % 2 else [], f"cost{i}")) for i in range(120) for j in range(3)]
+    items, people = consensus.consensus(spark.createDataFrame(out, kinds))
+    got = {(r.requirement_uid, r.field): (r.value, round(r.agreement, 3)) for r in items.collect()}
+    assert all(got[f"u{i}", "primary_action"] == (f"label{i}", 0.667) and got[f"u{i}", "cost_basis"] == (f"cost{i}", 1) and got[f"u{i}", "blockers"] == ("b|newone" if i % 2 else "", 1) for i in range(120))
+    assert {r.field for r in people.collect()} == {"primary_action", "cost_basis", "blockers:b", "blockers:newone"}
+
+
 # --- problem 8
 
 
