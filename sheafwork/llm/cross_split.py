@@ -15,62 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions.canon import document_key
+from sheafwork.llm.near_dup import profiles
 from sheafwork.llm.pairs import with_overlap
 from sheafwork.llm.records import latest_state, record_texts
 from sheafwork.llm.words import distinct_words, fold, hashed_words, list_column, mix, signed
 from sheafwork.session import cut
 
 MIN_WORDS, MIN_OVERLAP = 10, 0.7
-#: Cut where the rolling hash of the last word is 0 modulo this and the chunk has MIN_CHUNK words; chunks have about 3 words.
-MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 2, 63
-#: 64-bit parts of a record's parity map.
+#: A chunk ends where the rolling hash of the last WINDOW words is 0 modulo MODULUS and it has MIN_CHUNK words, or has MAX_CHUNK.
+WINDOW, MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 4, 2, 64
+#: 64-bit parts of a set's parity map.
 MAP_PARTS = 4
-#: The same of the maps that candidates are held against before their words are.
-WIDE_PARTS = 16
-#: Words of both sides whose frequency orders the prefixes (16 bytes each, shipped to the scan); rarer ones go by hash.
+#: Words whose frequency orders the prefixes (12 bytes each, shipped to the scan); rarer ones go by hash. Any order gives the same pairs.
 MAX_RANKED = 1_000_000
+#: Records with a word for each salt of the word's group.
+SALT_AT = 5_000
 #: Bounds are this much looser, against rounding.
 SLACK = 1e-6
-#: Rows of a lookup up to which it is broadcast; beyond, the join shuffles.
-MAX_BROADCAST = 1_000_000
-
-
-def chunk_ends(offsets: np.ndarray, hashes: np.ndarray, modulus: int = MODULUS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
-    """Positions (exclusive, ascending) where a chunk ends: after a word whose rolling hash (a window of one word) hits, once ``least`` words are in; a text's end always is one."""
-    n = len(hashes)
-    hit = (mix(hashes, 41) % np.uint64(modulus)) == 0
-    last = np.zeros(n, bool)
-    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
-    cutting, length, ends = hit.tolist(), 0, []
-    stop = last.tolist()
-    for i in range(n):
-        length += 1
-        if stop[i] or (length >= least and cutting[i]) or length == most:
-            ends.append(i + 1)
-            length = 0
-    return np.array(ends, np.int64)
-
-
-def _chunks(offsets: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(offsets, chunks) of each text's distinct chunks; the low six bits of a chunk are its length, the others its digest."""
-    ends = chunk_ends(offsets, hashes)
-    begins = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-    digest = fold(np.concatenate([begins[:1], ends]), hashes, 9) if len(ends) else np.zeros(0, np.uint64)
-    packed = (digest & ~np.uint64(63)) | (ends - begins).astype(np.uint64)
-    return distinct_words(np.searchsorted(ends, offsets, side="right").astype(np.int64), packed)
-
-
-def worded(rows: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(record, seq_id, size, words) of each (record, text) with at least ``min_words`` words: digest of the word sequence, number of distinct words, their hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            offsets, h = hashed_words(b.column(1).to_pylist())
-            so, sh = distinct_words(offsets, h)
-            cols = [b.column(0), pa.array(signed(fold(offsets, h, 2))), pa.array(np.diff(so).astype(np.int32)), list_column(so, signed(sh), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["record", "seq_id", "size", "words"]).filter(pa.array(np.diff(offsets) >= min_words))
-
-    return rows.select("record", "text").mapInArrow(run, "record string, seq_id bigint, size int, words array<bigint>")
 
 
 def parity_maps(offsets: np.ndarray, hashes: np.ndarray, parts: int = MAP_PARTS) -> list[np.ndarray]:
@@ -80,86 +41,80 @@ def parity_maps(offsets: np.ndarray, hashes: np.ndarray, parts: int = MAP_PARTS)
     return [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == j, flip, np.uint64(0)), offsets[:-1]) for j in range(parts)]
 
 
-def prefixes(rec: DataFrame, ranked: np.ndarray, ranks: np.ndarray, complete: bool, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(seq_id, size, word, place, m0, m1, ..): the words of each record that a prefix filter needs, rare ones first, with their place in that order.
+class Order:
+    """The common order of all words: unranked ones by hash, then the ranked ones, the commonest last. ``complete``: unranked words are in one record only, so they take up a place but meet nothing."""
 
-    ``ranked``: sorted word hashes, ``ranks``: their places in the common order; other words come before all of them, in the order of their hashes.
-    ``complete``: words that aren't ranked stand on one side only, so they take up a place but are not given.
-    """
-    names = ["seq_id", "size", "word", "place", *[f"m{j}" for j in range(MAP_PARTS)]]
+    def __init__(self, words: np.ndarray, counts: np.ndarray, complete: bool) -> None:
+        by = np.argsort(words)
+        self.words, self.complete = words[by], complete
+        self.ranks = (len(words) - by).astype(np.int32)  # given the commonest first
+        self.salts = (1 + counts[by] // SALT_AT).astype(np.int32)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            size = b.column(1).to_numpy().astype(np.int64)
-            offsets = np.concatenate([[0], np.cumsum(size)])
-            h = b.column(2).flatten().to_numpy().view(np.uint64)
-            own = np.repeat(np.arange(len(size)), size)
-            rank = np.zeros(len(h), np.int64)
-            if len(ranked):
-                at = np.minimum(np.searchsorted(ranked, h), len(ranked) - 1)
-                rank = np.where(ranked[at] == h, ranks[at], 0)
-            order = np.lexsort((h, rank, own))
-            place = np.arange(len(h)) - offsets[own]
-            least = np.ceil(min_overlap * size - SLACK).astype(np.int64)
-            keep = place <= (size - least)[own]
-            if complete:
-                keep &= rank[order] > 0
-            maps = [pa.array(signed(x)[own[keep]]) for x in parity_maps(offsets, h)]
-            kept = own[keep]
-            cols = [b.column(0).take(pa.array(kept)), pa.array(size[kept].astype(np.int32)), pa.array(signed(h[order][keep])), pa.array(place[keep].astype(np.int32)), *maps]
-            yield pa.RecordBatch.from_arrays(cols, names)
+    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(rank, salts) of word hashes; 0 and 1 for an unranked one."""
+        if not len(self.words):
+            return np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        known = self.words[at] == h
+        return np.where(known, self.ranks[at], 0).astype(np.int64), np.where(known, self.salts[at], 1).astype(np.int64)
 
-    return rec.select("seq_id", "size", "words").mapInArrow(run, "seq_id bigint, size int, word bigint, place int, " + ", ".join(f"m{j} bigint" for j in range(MAP_PARTS)))
 
+def word_order(sets: DataFrame, max_ranked: int = MAX_RANKED) -> Order:
+    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    top = counts.orderBy(F.col("n").desc(), "word").limit(max_ranked + 1).toArrow()
+    kept = top.slice(0, max_ranked)
+    return Order(kept.column("word").to_numpy().astype(np.int32).view(np.uint32), kept.column("n").to_numpy(), top.num_rows <= max_ranked)
 
-def _small(df: DataFrame, most: int = MAX_BROADCAST) -> DataFrame:
-    """A broadcast hint, if the (materialised) rows are few; else the frame as it is."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
+def prefixes(sets: DataFrame, order: Order, spread: bool, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(set_id, size, word, place, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, with their place in that order.
 
-def word_sets(rows: DataFrame) -> DataFrame:
-    """(record, words, chunks, wide): distinct word hashes (64 bit), distinct chunks and a wide parity map of each (record, text) with words."""
+    ``word`` has the word's hash and a salt: a set has one salt of each word, by its id, or with ``spread`` all of them, so a hot word's group goes to many tasks and each pair still meets once.
+    """
+    names = ["set_id", "size", "word", "place", *[f"m{j}" for j in range(MAP_PARTS)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            offsets, h = hashed_words(b.column(1).to_pylist())
-            so, sh = distinct_words(offsets, h)
-            co, c = _chunks(offsets, h)
-            full = np.diff(so) > 0
-            wide = np.zeros((len(full), WIDE_PARTS), np.uint64)
-            if full.any():
-                wide[full] = np.stack(parity_maps(np.append(so[:-1][full], so[-1]), sh, WIDE_PARTS), 1)
-            at = np.arange(len(full) + 1) * WIDE_PARTS
-            cols = [b.column(0), list_column(so, signed(sh), pa.int64()), list_column(co, signed(c), pa.int64()), list_column(at, signed(wide.ravel()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["record", "words", "chunks", "wide"])
-
-    return rows.select("record", "text").mapInArrow(run, "record string, words array<bigint>, chunks array<bigint>, wide array<bigint>")
-
-
-def candidates(rec: DataFrame, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> DataFrame:
-    """(a, b): word sequence digests of a training and a held-out record; no pair whose overlap reaches ``min_overlap`` is missing.
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            ends = lists.offsets.to_numpy().astype(np.int64)
+            h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32)
+            offsets = ends - ends[0]
+            size = np.diff(offsets)
+            own = np.repeat(np.arange(len(size)), size)
+            rank, salts = order.of(h)
+            by = np.lexsort((h, rank, own))
+            place = np.arange(len(h)) - offsets[own]
+            keep = place <= (size - np.ceil(min_overlap * size - SLACK).astype(np.int64))[own]
+            if order.complete:
+                keep &= rank[by] > 0
+            kept, word, salts, place = own[keep], h[by][keep].astype(np.uint64), salts[by][keep], place[keep]
+            ids = b.column(0).to_numpy(zero_copy_only=False)
+            if spread:
+                again = np.repeat(np.arange(len(kept)), salts)
+                salt = np.arange(len(again)) - np.repeat(np.cumsum(salts) - salts, salts)
+                kept, word, place = kept[again], word[again], place[again]
+            else:
+                salt = (mix(ids[kept].view(np.uint64), 31) % salts.astype(np.uint64)).astype(np.int64)
+            maps = [pa.array(signed(x)[kept]) for x in parity_maps(offsets, h.astype(np.uint64))]
+            key = signed(word | (salt.astype(np.uint64) << np.uint64(32)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(size[kept].astype(np.int32)), pa.array(key), pa.array(place.astype(np.int32)), *maps], names)
+
+    return sets.select("set_id", "words").mapInArrow(run, "set_id bigint, size int, word bigint, place int, " + ", ".join(f"m{j} bigint" for j in range(MAP_PARTS)))
+
+
+def candidates(train: DataFrame, held: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(a, b): ids of a training and a held-out word set; no pair whose overlap reaches ``min_overlap`` is missing.
 
     Two sets of s and t words that overlap so much share at least m = min_overlap / (1 + min_overlap) * (s + t) words. In any order of all words that both keep, the first
     shared word has m - 1 shared ones after it in either, so it stands among the first s - ceil(min_overlap * s) + 1; these are joined, with rare words first.
     A joined pair goes on if its sizes, the words left behind the shared one and the parity maps allow the overlap: all three are bounds, none an estimate.
-    The order is that of the ``max_ranked`` commonest words of both sides; any order gives the same pairs.
-    Copies of a word sequence on one side go once; the lookups are broadcast while they are small.
     """
-    member = rec.select("record", "seq_id", "held")
-    repeated = member.groupBy("seq_id", "held").agg(F.min("record").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("seq_id", "held", "first")
-    copies = cut(member.join(_small(cut(repeated)), ["seq_id", "held"]).where("record <> first").select("record", "held"))
-    once = rec.join(_small(copies), ["record", "held"], "left_anti")
-    counts = once.select("held", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(~F.col("held")).alias("nt"), F.count_if("held").alias("nh")).where("nt > 0 and nh > 0")
-    common = counts.select("word", (F.col("nt") * F.col("nh")).alias("df")).orderBy(F.col("df").desc(), "word").limit(max_ranked + 1).toArrow()
-    complete = common.num_rows <= max_ranked
-    h = common.column("word").to_numpy()[:max_ranked].astype(np.int64).view(np.uint64)
-    by = np.argsort(h)
-    ranked, ranks = h[by], len(h) - by  # the commonest word has the greatest rank
-    t, o = (prefixes(once.where(side), ranked, ranks, complete, min_overlap) for side in ("not held", "held"))
-    t = t.select("word", F.col("seq_id").alias("a"), F.col("size").alias("ts"), F.col("place").alias("tp"), *[F.col(f"m{j}").alias(f"t{j}") for j in range(MAP_PARTS)])
-    o = o.select("word", F.col("seq_id").alias("b"), F.col("size").alias("hs"), F.col("place").alias("hp"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP_PARTS)])
+    t = prefixes(train, order, False, min_overlap)
+    o = prefixes(held, order, True, min_overlap)
+    t = t.select("word", F.col("set_id").alias("a"), F.col("size").alias("ts"), F.col("place").alias("tp"), *[F.col(f"m{j}").alias(f"t{j}") for j in range(MAP_PARTS)])
+    o = o.select("word", F.col("set_id").alias("b"), F.col("size").alias("hs"), F.col("place").alias("hp"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP_PARTS)])
     both = F.col("ts") + F.col("hs")
     need = both * (min_overlap / (1 + min_overlap)) - SLACK
     apart = sum((F.bit_count(F.col(f"t{j}").bitwiseXOR(F.col(f"h{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("t0").bitwiseXOR(F.col("h0"))))
@@ -167,38 +122,77 @@ def candidates(rec: DataFrame, min_overlap: float = MIN_OVERLAP, max_ranked: int
     return t.join(o, "word").where(likely).select("a", "b").distinct()
 
 
-def within_wide_maps(pairs: DataFrame, sets: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """The pairs (a, b) whose wide parity maps allow the overlap, a bound again: so that word lists of few pairs are moved."""
-    of = lambda x: sets.select(F.col("id").alias(x), F.size("words").alias(f"{x}_n"), F.col("wide").alias(f"{x}_wide"))
-    apart = F.aggregate(F.zip_with("a_wide", "b_wide", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return pairs.join(of("a"), "a").join(of("b"), "b").where(apart <= (F.col("a_n") + F.col("b_n")) * ((1 - min_overlap) / (1 + min_overlap)) + SLACK).select("a", "b")
+def linked(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> tuple[DataFrame, DataFrame]:
+    """(links, members): (a, b, overlap) of each training and held-out word set whose overlap reaches ``min_overlap``, also a set with itself; (record, set_id, held).
+
+    Equal word sets are one class per side through all steps. Words are 32-bit hashes and are shuffled twice: to one record of each class and side, and to the classes that have candidates.
+    """
+    profile = cut(profiles(rows.where("record is not null and text is not null"), min_words))
+    members = cut(profile.select("record", "set_id").join(splits, "record").distinct())
+    first = members.groupBy("set_id", "held").agg(F.min("record").alias("record")).select("record", "held")
+    once = profile.join(first, "record")  # repeated rows of a record give repeated candidates only
+    cand = cut(candidates(once.where("not held"), once.where("held"), word_order(profile, max_ranked), min_overlap))
+    ends = cand.select(F.col("a").alias("set_id")).unionByName(cand.select(F.col("b").alias("set_id"))).distinct()
+    sets = cut(profile.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("words").alias("words")).withColumnRenamed("set_id", "id"))
+    return cut(with_overlap(cand, sets).where(F.col("overlap") >= min_overlap)), members
 
 
-def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(train, held, overlap, shared): every pair of a train record and a validation or test record whose word overlap reaches ``min_overlap``,
-    with the share of the held-out record's words in chunks that the training record has too.
+def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> DataFrame:
+    """(train, held, overlap): every pair of a train record and a validation or test record whose word overlap reaches ``min_overlap``.
 
     ``rows``: (record, text); ``splits``: (record, held). NULLs, texts below ``min_words`` words and records without a split link nothing;
-    repeated rows count once; a record in both sides links to itself never. Equal word sequences are one class per side until the end.
+    repeated rows count once; a record in both sides links to itself never.
     """
-    rows = rows.where("record is not null and text is not null")
-    rec = cut(worded(rows, min_words).join(_small(cut(splits)), "record"))
-    cand = cut(candidates(rec, min_overlap))
-    # exact check on the words of one record of each class that has a candidate
-    ends = cand.select(F.col("a").alias("seq_id")).unionByName(cand.select(F.col("b").alias("seq_id"))).distinct()
-    which = cut(rec.select("record", "seq_id").join(_small(cut(ends)), "seq_id", "left_semi").groupBy("seq_id").agg(F.min("record").alias("record")))
-    sets = word_sets(rows.join(_small(which), "record")).groupBy("record").agg(F.first("words").alias("words"), F.first("chunks").alias("chunks"), F.first("wide").alias("wide"))
-    sets = cut(sets.join(which, "record").select(F.col("seq_id").alias("id"), "words", "chunks", "wide"))
-    near = cut(within_wide_maps(cand, sets, min_overlap))
-    close = cut(with_overlap(near, sets).where(F.col("overlap") >= min_overlap))
-    of = lambda x: sets.select(F.col("id").alias(x), F.col("chunks").alias(f"{x}_chunks"))
-    length = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x.bitwiseAND(F.lit(63)))
-    shared = length(F.array_intersect("b_chunks", "a_chunks")) / length(F.col("b_chunks"))
-    close = close.join(of("a"), "a").join(of("b"), "b").select("a", "b", "overlap", shared.alias("shared"))
-    member = rec.select("record", "seq_id", "held").distinct()
-    mt = member.where("not held").select(F.col("seq_id").alias("a"), F.col("record").alias("train"))
-    mh = member.where("held").select(F.col("seq_id").alias("b"), F.col("record").alias("held"))
-    return close.join(mt, "a").join(mh, "b").where("train <> held").select("train", "held", "overlap", "shared").distinct()
+    links, members = linked(rows, splits, min_words, min_overlap, max_ranked)
+    mt = members.where("not held").select(F.col("set_id").alias("a"), F.col("record").alias("train"))
+    mh = members.where("held").select(F.col("set_id").alias("b"), F.col("record").alias("held"))
+    return links.join(mt, "a").join(mh, "b").where("train <> held").select("train", "held", "overlap").distinct()
+
+
+def chunk_ends(offsets: np.ndarray, hashes: np.ndarray, window: int = WINDOW, modulus: int = MODULUS, least: int = MIN_CHUNK, most: int = MAX_CHUNK) -> np.ndarray:
+    """Positions (exclusive, ascending) where a chunk ends: after a word at which the rolling hash of the text's last ``window`` words hits, once ``least`` words are in; a text's end always is one."""
+    n = len(hashes)
+    place = np.arange(n) - np.repeat(offsets[:-1], np.diff(offsets))
+    rolling = np.zeros(n, np.uint64)
+    for back in range(window):
+        rolling[back:] += np.where(place[back:] >= back, mix(hashes[: n - back], 41 + back), np.uint64(0))
+    hit = (mix(rolling) % np.uint64(modulus)) == 0
+    last = np.zeros(n, bool)
+    last[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    cutting, stop, length, ends = hit.tolist(), last.tolist(), 0, []
+    for i in range(n):
+        length += 1
+        if stop[i] or (length >= least and cutting[i]) or length == most:
+            ends.append(i + 1)
+            length = 0
+    return np.array(ends, np.int64)
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """(record, chunk, words): the distinct chunks of each (record, text), as digests, and their lengths in words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, h = hashed_words(b.column(1).to_pylist())
+            ends = chunk_ends(offsets, h)
+            begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+            digest = fold(np.concatenate([begins[:1], ends]), h, 9) if len(ends) else np.zeros(0, np.uint64)
+            own = np.searchsorted(offsets, begins, side="right") - 1
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own)), pa.array(signed(digest)), pa.array((ends - begins).astype(np.int32))], ["record", "chunk", "words"])
+
+    return rows.select("record", "text").mapInArrow(run, "record string, chunk bigint, words int").distinct()
+
+
+def shared_share(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Adds ``shared`` to (train, held, ..): the share of the held-out record's words in chunks that the training record has too; chunks are joined along the pairs only."""
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("train").alias("record")).unionByName(pairs.select(F.col("held").alias("record"))).distinct()
+    c = cut(chunked(rows.where("text is not null").join(ends, "record", "left_semi").dropDuplicates(["record"])))
+    whole = c.groupBy(F.col("record").alias("held")).agg(F.sum("words").alias("whole"))
+    mine = pairs.select("train", "held").join(c.withColumnRenamed("record", "held"), "held")
+    met = mine.join(c.select(F.col("record").alias("train"), "chunk"), ["train", "chunk"]).groupBy("train", "held").agg(F.sum("words").alias("met"))
+    out = pairs.join(met, ["train", "held"], "left").join(whole, "held", "left")
+    return out.withColumn("shared", F.coalesce(F.col("met") / F.col("whole"), F.lit(0.0))).drop("met", "whole")
 
 
 def sides(split_assignment: DataFrame) -> DataFrame:
@@ -213,9 +207,18 @@ def overlapping_pairs(labels: DataFrame, split_assignment: DataFrame) -> DataFra
     return o.select(F.least("train", "held").alias("requirement_uid_a"), F.greatest("train", "held").alias("requirement_uid_b")).distinct()
 
 
+def overlap_classes(labels: DataFrame, split_assignment: DataFrame) -> DataFrame:
+    """(requirement_uid, class_id, held, links): every record that is in both sides, with its class of equal word sets and the number of linked classes of the other side; copies aren't expanded."""
+    links, members = linked(record_texts(labels, "raw_requirement_text"), sides(split_assignment))
+    degree = lambda x, held: links.groupBy(F.col(x).alias("set_id")).agg(F.count(F.lit(1)).alias("links")).withColumn("held", F.lit(held))
+    return members.join(degree("a", False).unionByName(degree("b", True)), ["set_id", "held"]).select(F.col("record").alias("requirement_uid"), F.col("set_id").alias("class_id"), "held", "links")
+
+
 def overlap_report(labels: DataFrame, split_assignment: DataFrame) -> DataFrame:
-    """(split, document_id, records, max_overlap): held-out records that are also in train, counted per split and document (canonical spelling)."""
-    o = overlaps(record_texts(labels, "raw_requirement_text"), sides(split_assignment)).groupBy(F.col("held").alias("requirement_uid")).agg(F.max("overlap").alias("overlap"))
+    """(split, document_id, records, max_overlap, max_shared): held-out records that are also in train, counted per split and document (canonical spelling)."""
+    texts = record_texts(labels, "raw_requirement_text")
+    o = shared_share(texts, overlaps(texts, sides(split_assignment))).groupBy(F.col("held").alias("requirement_uid")).agg(F.max("overlap").alias("overlap"), F.max("shared").alias("shared"))
     split = split_assignment.select("requirement_uid", F.lower(F.trim("split")).alias("split")).where("split in ('validation', 'test')").distinct()
     doc = latest_state(labels, "document_id").select("requirement_uid", document_key(F.col("document_id")).alias("document_id"))
-    return o.join(split, "requirement_uid").join(doc, "requirement_uid").groupBy("split", "document_id").agg(F.countDistinct("requirement_uid").alias("records"), F.max("overlap").alias("max_overlap"))
+    j = o.join(split, "requirement_uid").join(doc, "requirement_uid")
+    return j.groupBy("split", "document_id").agg(F.countDistinct("requirement_uid").alias("records"), F.max("overlap").alias("max_overlap"), F.max("shared").alias("max_shared"))

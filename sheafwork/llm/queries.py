@@ -56,6 +56,10 @@ def queries() -> dict:
     def p5_found(x, s):
         return cross_split.overlapping_pairs(x, s)
 
+    @on(labels, split)
+    def p5_classes(x, s):
+        return cross_split.overlap_classes(x, s)
+
     @on(labels, split)
     def p5_report(x, s):
         return cross_split.overlap_report(x, s)
