@@ -26,6 +26,8 @@ ROWS, BANDS = 5, 48
 MIN_EQUAL_BITS = 43
 #: Overlap with the star's center from which two leaves may be linked though neither is to the center.
 LOOSE = 0.35
+#: Leaves of a star for each task its pairs of leaves go to.
+SPLIT_AT = 500
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -94,7 +96,8 @@ def band_rows(profile: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataF
             key = np.zeros((len(ids), bands), np.uint64)
             for k in range(rows):
                 key = mix(key + sig[:, k::rows], k + 11)
-            key = mix(key + np.arange(bands, dtype=np.uint64)[None, :], 23)
+            # the low six bits are the band's number
+            key = (mix(key + np.arange(bands, dtype=np.uint64)[None, :], 23) & ~np.uint64(63)) | np.arange(bands, dtype=np.uint64)[None, :]
             bits = signed(sketch(offsets, h))
             yield pa.RecordBatch.from_arrays([pa.array(signed(key.reshape(-1))), pa.array(np.repeat(ids, bands)), pa.array(np.repeat(bits, bands))], ["band", "id", "bits"])
 
@@ -102,25 +105,32 @@ def band_rows(profile: DataFrame, rows: int = ROWS, bands: int = BANDS) -> DataF
 
 
 def star_edges(bands: DataFrame, min_equal_bits: int = MIN_EQUAL_BITS) -> DataFrame:
-    """(a, b), a < b: each set of a bucket with the bucket's least set, if their sketches agree enough. A bucket of m sets gives m - 1 edges."""
+    """(a, b, met), a < b: each set of a bucket with the bucket's least set, if their sketches agree enough; bit i of ``met``: in band i. A bucket of m sets gives m - 1 edges."""
     center = F.min(F.struct("id", "bits")).over(Window.partitionBy("band"))
     e = bands.withColumn("c", center).where("id <> c.id").where(64 - F.bit_count(F.col("bits").bitwiseXOR(F.col("c.bits"))) >= min_equal_bits)
-    return e.select(F.col("c.id").alias("a"), F.col("id").alias("b")).distinct()
+    return e.groupBy(F.col("c.id").alias("a"), F.col("id").alias("b")).agg(F.bit_or(F.expr("shiftleft(1L, cast(band & 63 as int))")).alias("met"))
+
+
+def hidden_pairs(edges: DataFrame) -> DataFrame:
+    """(a, b), a < b: leaves of one star that were in a bucket together, where only their center was compared with them. Big stars go to several tasks."""
+    degree = edges.groupBy(F.col("a").alias("c")).agg((1 + F.floor(F.count(F.lit(1)) / SPLIT_AT)).cast("int").alias("salts"))
+    arms = edges.select(F.col("a").alias("c"), F.col("b").alias("x"), "met").join(degree, "c")
+    p = arms.select("c", "met", F.col("x").alias("a"), F.pmod("x", "salts").cast("int").alias("salt"))
+    q = arms.select("c", F.col("met").alias("also"), F.col("x").alias("b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return p.join(q, ["c", "salt"]).where((F.col("a") < F.col("b")) & (F.col("met").bitwiseAND(F.col("also")) != 0)).select("a", "b").distinct()
 
 
 def linked_sets(profile: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """(a, b, overlap): different word sets, a < b, whose overlap reaches ``min_overlap``.
 
-    Two leaves of one star are compared too if both are close to its center: only then can they have been hidden behind it.
+    Two leaves of one star are compared too if they shared a bucket and are close to its center: only then can they have been hidden behind it.
     """
     edges = cut(star_edges(band_rows(profile)))
     ends = edges.select(F.col("a").alias("set_id")).unionByName(edges.select(F.col("b").alias("set_id"))).distinct()
     sets = cut(profile.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("words").alias("words")).withColumnRenamed("set_id", "id"))
     close = cut(with_overlap(edges, sets).where(F.col("overlap") >= LOOSE))
-    arms = close.select(F.col("a").alias("c"), F.col("b").alias("x")).unionByName(close.select(F.col("b").alias("c"), F.col("a").alias("x")))
-    hidden = arms.alias("p").join(arms.alias("q"), "c").where("p.x < q.x").select(F.col("p.x").alias("a"), F.col("q.x").alias("b")).distinct()
-    hidden = hidden.join(close, ["a", "b"], "left_anti")
-    return close.unionByName(with_overlap(hidden, sets)).where(F.col("overlap") >= min_overlap)
+    hidden = hidden_pairs(close).join(close, ["a", "b"], "left_anti")
+    return close.drop("met").unionByName(with_overlap(hidden, sets)).where(F.col("overlap") >= min_overlap)
 
 
 def collection(labels: DataFrame, anchors: DataFrame) -> DataFrame:
