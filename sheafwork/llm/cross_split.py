@@ -66,18 +66,15 @@ def word_order(sets: DataFrame, max_ranked: int = MAX_RANKED) -> Order:
     return Order(kept.column("word").to_numpy().astype(np.int32).view(np.uint32), kept.column("n").to_numpy(), top.num_rows <= max_ranked)
 
 
-def prefixes(sets: DataFrame, order: Order, spread: bool, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(set_id, size, word, place, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, with their place in that order.
-
-    ``word`` has the word's hash and a salt: a set has one salt of each word, by its id, or with ``spread`` all of them, so a hot word's group goes to many tasks and each pair still meets once.
-    """
-    names = ["set_id", "size", "word", "place", *[f"m{j}" for j in range(MAP_PARTS)]]
+def prefixes(sets: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(record, set_id, size, prefix, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, with their place in that order and the salts of their group."""
+    maps_of = [f"m{j}" for j in range(MAP_PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            lists = b.column(1)
+            lists = b.column(2)
             ends = lists.offsets.to_numpy().astype(np.int64)
             h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32)
             offsets = ends - ends[0]
@@ -89,49 +86,47 @@ def prefixes(sets: DataFrame, order: Order, spread: bool, min_overlap: float = M
             keep = place <= (size - np.ceil(min_overlap * size - SLACK).astype(np.int64))[own]
             if order.complete:
                 keep &= rank[by] > 0
-            kept, word, salts, place = own[keep], h[by][keep].astype(np.uint64), salts[by][keep], place[keep]
-            ids = b.column(0).to_numpy(zero_copy_only=False)
-            if spread:
-                again = np.repeat(np.arange(len(kept)), salts)
-                salt = np.arange(len(again)) - np.repeat(np.cumsum(salts) - salts, salts)
-                kept, word, place = kept[again], word[again], place[again]
-            else:
-                salt = (mix(ids[kept].view(np.uint64), 31) % salts.astype(np.uint64)).astype(np.int64)
-            maps = [pa.array(signed(x)[kept]) for x in parity_maps(offsets, h.astype(np.uint64))]
-            key = signed(word | (salt.astype(np.uint64) << np.uint64(32)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(size[kept].astype(np.int32)), pa.array(key), pa.array(place.astype(np.int32)), *maps], names)
+            each = pa.StructArray.from_arrays([pa.array(h[by][keep].view(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(salts[by][keep].astype(np.int32))], ["word", "place", "salts"])
+            at = np.concatenate([[0], np.cumsum(np.bincount(own[keep], minlength=len(size)))])
+            maps = [pa.array(signed(x)) for x in parity_maps(offsets, h.astype(np.uint64))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), each), *maps], ["record", "set_id", "size", "prefix", *maps_of])
 
-    return sets.select("set_id", "words").mapInArrow(run, "set_id bigint, size int, word bigint, place int, " + ", ".join(f"m{j} bigint" for j in range(MAP_PARTS)))
+    kinds = "record string, set_id bigint, size int, prefix array<struct<word: int, place: int, salts: int>>, " + ", ".join(f"{m} bigint" for m in maps_of)
+    return sets.select("record", "set_id", "words").mapInArrow(run, kinds)
 
 
-def candidates(train: DataFrame, held: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(a, b): ids of a training and a held-out word set; no pair whose overlap reaches ``min_overlap`` is missing.
+def candidates(train: DataFrame, held: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
+    """(a, b): ids of a training and a held-out word set (rows of ``prefixes``); no pair whose overlap reaches ``min_overlap`` is missing.
 
     Two sets of s and t words that overlap so much share at least m = min_overlap / (1 + min_overlap) * (s + t) words. In any order of all words that both keep, the first
     shared word has m - 1 shared ones after it in either, so it stands among the first s - ceil(min_overlap * s) + 1; these are joined, with rare words first.
     A joined pair goes on if its sizes, the words left behind the shared one and the parity maps allow the overlap: all three are bounds, none an estimate.
+    A training set has one salt of each word, by its id, a held-out one all of them: a hot word's group goes to many tasks and each pair still meets once.
     """
-    t = prefixes(train, order, False, min_overlap)
-    o = prefixes(held, order, True, min_overlap)
-    t = t.select("word", F.col("set_id").alias("a"), F.col("size").alias("ts"), F.col("place").alias("tp"), *[F.col(f"m{j}").alias(f"t{j}") for j in range(MAP_PARTS)])
-    o = o.select("word", F.col("set_id").alias("b"), F.col("size").alias("hs"), F.col("place").alias("hp"), *[F.col(f"m{j}").alias(f"h{j}") for j in range(MAP_PARTS)])
-    both = F.col("ts") + F.col("hs")
+
+    def side(d: DataFrame, x: str, salt) -> DataFrame:
+        d = d.select("set_id", "size", F.explode("prefix").alias("p"), *[f"m{j}" for j in range(MAP_PARTS)]).withColumn("salt", salt)
+        return d.select(F.col("p.word").alias("word"), "salt", F.col("set_id").alias(x), F.col("size").alias(f"{x}s"), F.col("p.place").alias(f"{x}p"), *[F.col(f"m{j}").alias(f"{x}{j}") for j in range(MAP_PARTS)])
+
+    t = side(train, "a", F.pmod(F.xxhash64("set_id"), F.col("p.salts")).cast("int"))
+    o = side(held, "b", F.explode(F.sequence(F.lit(0), F.col("p.salts") - 1)))
+    both = F.col("as") + F.col("bs")
     need = both * (min_overlap / (1 + min_overlap)) - SLACK
-    apart = sum((F.bit_count(F.col(f"t{j}").bitwiseXOR(F.col(f"h{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("t0").bitwiseXOR(F.col("h0"))))
-    likely = (F.least(F.col("ts") - F.col("tp"), F.col("hs") - F.col("hp")) >= need) & (F.least("ts", "hs") >= min_overlap * F.greatest("ts", "hs") - SLACK) & (apart <= both - 2 * need)
-    return t.join(o, "word").where(likely).select("a", "b").distinct()
+    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    likely = (F.least(F.col("as") - F.col("ap"), F.col("bs") - F.col("bp")) >= need) & (F.least("as", "bs") >= min_overlap * F.greatest("as", "bs") - SLACK) & (apart <= both - 2 * need)
+    return t.join(o, ["word", "salt"]).where(likely).select("a", "b").distinct()
 
 
 def linked(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> tuple[DataFrame, DataFrame]:
     """(links, members): (a, b, overlap) of each training and held-out word set whose overlap reaches ``min_overlap``, also a set with itself; (record, set_id, held).
 
-    Equal word sets are one class per side through all steps. Words are 32-bit hashes and are shuffled twice: to one record of each class and side, and to the classes that have candidates.
+    Equal word sets are one class per side through all steps. Words are 32-bit hashes; whole sets are shuffled once, to the classes that have candidates, prefixes to one record of each class and side.
     """
     profile = cut(profiles(rows.where("record is not null and text is not null"), min_words))
     members = cut(profile.select("record", "set_id").join(splits, "record").distinct())
     first = members.groupBy("set_id", "held").agg(F.min("record").alias("record")).select("record", "held")
-    once = profile.join(first, "record")  # repeated rows of a record give repeated candidates only
-    cand = cut(candidates(once.where("not held"), once.where("held"), word_order(profile, max_ranked), min_overlap))
+    once = prefixes(profile, word_order(profile, max_ranked), min_overlap).join(first, "record")  # repeated rows of a record give repeated candidates only
+    cand = cut(candidates(once.where("not held"), once.where("held"), min_overlap))
     ends = cand.select(F.col("a").alias("set_id")).unionByName(cand.select(F.col("b").alias("set_id"))).distinct()
     sets = cut(profile.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("words").alias("words")).withColumnRenamed("set_id", "id"))
     return cut(with_overlap(cand, sets).where(F.col("overlap") >= min_overlap)), members
