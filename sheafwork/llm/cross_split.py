@@ -28,8 +28,8 @@ WINDOW, MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 4, 2, 64
 MAP_PARTS = 4
 #: Words whose frequency orders the prefixes (12 bytes each, shipped to the scan); rarer ones go by hash. Any order gives the same pairs.
 MAX_RANKED = 1_000_000
-#: Records with a word for each salt of the word's group.
-SALT_AT = 5_000
+#: Records with a word for each salt of the word's group, and the most salts.
+SALT_AT, MAX_SALTS = 5_000, 10_000
 #: Bounds are this much looser, against rounding.
 SLACK = 1e-6
 
@@ -48,7 +48,7 @@ class Order:
         by = np.argsort(words)
         self.words, self.complete = words[by], complete
         self.ranks = (len(words) - by).astype(np.int32)  # given the commonest first
-        self.salts = (1 + counts[by] // SALT_AT).astype(np.int32)
+        self.salts = np.minimum(1 + counts[by] // SALT_AT, MAX_SALTS).astype(np.int32)
 
     def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rank, salts) of word hashes; 0 and 1 for an unranked one."""
@@ -67,7 +67,7 @@ def word_order(sets: DataFrame, max_ranked: int = MAX_RANKED) -> Order:
 
 
 def prefixes(sets: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(record, set_id, size, prefix, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, with their place in that order and the salts of their group."""
+    """(record, set_id, size, prefix, salts, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, and the salts of each one's group, 0 for a word that meets nothing."""
     maps_of = [f"m{j}" for j in range(MAP_PARTS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,16 +82,14 @@ def prefixes(sets: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) ->
             own = np.repeat(np.arange(len(size)), size)
             rank, salts = order.of(h)
             by = np.lexsort((h, rank, own))
-            place = np.arange(len(h)) - offsets[own]
-            keep = place <= (size - np.ceil(min_overlap * size - SLACK).astype(np.int64))[own]
-            if order.complete:
-                keep &= rank[by] > 0
-            each = pa.StructArray.from_arrays([pa.array(h[by][keep].view(np.int32)), pa.array(place[keep].astype(np.int32)), pa.array(salts[by][keep].astype(np.int32))], ["word", "place", "salts"])
+            keep = np.arange(len(h)) - offsets[own] <= (size - np.ceil(min_overlap * size - SLACK).astype(np.int64))[own]
             at = np.concatenate([[0], np.cumsum(np.bincount(own[keep], minlength=len(size)))])
+            salted = np.where(rank[by][keep] > 0, salts[by][keep], 0 if order.complete else 1)
             maps = [pa.array(signed(x)) for x in parity_maps(offsets, h.astype(np.uint64))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(size.astype(np.int32)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), each), *maps], ["record", "set_id", "size", "prefix", *maps_of])
+            cols = [b.column(0), b.column(1), pa.array(size.astype(np.int32)), list_column(at, h[by][keep].view(np.int32), pa.int32()), list_column(at, salted.astype(np.int16), pa.int16()), *maps]
+            yield pa.RecordBatch.from_arrays(cols, ["record", "set_id", "size", "prefix", "salts", *maps_of])
 
-    kinds = "record string, set_id bigint, size int, prefix array<struct<word: int, place: int, salts: int>>, " + ", ".join(f"{m} bigint" for m in maps_of)
+    kinds = "record string, set_id bigint, size int, prefix array<int>, salts array<smallint>, " + ", ".join(f"{m} bigint" for m in maps_of)
     return sets.select("record", "set_id", "words").mapInArrow(run, kinds)
 
 
@@ -105,11 +103,11 @@ def candidates(train: DataFrame, held: DataFrame, min_overlap: float = MIN_OVERL
     """
 
     def side(d: DataFrame, x: str, salt) -> DataFrame:
-        d = d.select("set_id", "size", F.explode("prefix").alias("p"), *[f"m{j}" for j in range(MAP_PARTS)]).withColumn("salt", salt)
-        return d.select(F.col("p.word").alias("word"), "salt", F.col("set_id").alias(x), F.col("size").alias(f"{x}s"), F.col("p.place").alias(f"{x}p"), *[F.col(f"m{j}").alias(f"{x}{j}") for j in range(MAP_PARTS)])
+        d = d.select("set_id", "size", "salts", F.posexplode("prefix").alias("place", "word"), *[f"m{j}" for j in range(MAP_PARTS)]).withColumn("n", F.element_at("salts", F.col("place") + 1).cast("int")).where("n > 0")
+        return d.withColumn("salt", salt).select("word", "salt", F.col("set_id").alias(x), F.col("size").alias(f"{x}s"), F.col("place").alias(f"{x}p"), *[F.col(f"m{j}").alias(f"{x}{j}") for j in range(MAP_PARTS)])
 
-    t = side(train, "a", F.pmod(F.xxhash64("set_id"), F.col("p.salts")).cast("int"))
-    o = side(held, "b", F.explode(F.sequence(F.lit(0), F.col("p.salts") - 1)))
+    t = side(train, "a", F.pmod(F.xxhash64("set_id"), "n").cast("int"))
+    o = side(held, "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     both = F.col("as") + F.col("bs")
     need = both * (min_overlap / (1 + min_overlap)) - SLACK
     apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
