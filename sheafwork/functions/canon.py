@@ -28,3 +28,16 @@ def document_key(text: Column) -> Column:
     low = F.regexp_replace(F.lower(nfkc(text)), r"(?U)^\s+|\s+$", "")
     joined = F.regexp_replace(F.regexp_replace(low, r"\.md$", ""), r"[^\p{L}\p{N}]+", "_")
     return F.regexp_replace(joined, r"^_+|_+$", "")
+
+
+def label_keys(items: Column) -> Column:
+    """Sorted distinct keys of a list of labels (one canonicalisation of the joined list); blank ones don't count, NULL stays NULL."""
+    sep = "\x1f"
+    keys = F.transform(F.split(nfkc(F.translate(F.array_join(items, sep), "ㆍᆞ", "")), sep), lambda x: F.regexp_replace(F.lower(x), r"[^\p{L}\p{N}]|ᆞ", ""))
+    return F.when(items.isNotNull(), F.array_sort(F.array_distinct(F.filter(keys, lambda x: x != ""))))
+
+
+def canonical_label(text: Column, values: tuple[str, ...]) -> Column:
+    """The one of ``values`` that a label spells, NULL if none."""
+    key = label_key(text)
+    return F.coalesce(*[F.when(key == label_key(F.lit(v)), F.lit(v)) for v in values])

@@ -1,9 +1,8 @@
-"""Text normalisation as column expressions. Only entity decoding and NFC need Python (Arrow batches)."""
+"""Text normalisation as column expressions. Only entity decoding needs Python (Arrow batches)."""
 
 from __future__ import annotations
 
 import html
-import unicodedata
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,8 +22,8 @@ SIGNALS = {
     "resident_staff": "상주|투입.{0,5}인력|전담.{0,5}인력",
     "quantities": r"이상|이하|이내|최대|최소|[0-9]+\s*(식|명|개|대|TB)",
 }
-#: A requirement identifier: capital letters, then one or more groups ending in a number; not inside a longer token.
-REQUIREMENT_ID = r"(?<![A-Za-z0-9])([A-Z]{2,}(?:-[A-Z]{2,})?-{1,2}[0-9]{3})(?![A-Za-z0-9])"
+# Fixed value: a requirement identifier, 2 to 8 capitals, then groups of capitals and digits; not inside a longer token.
+REQUIREMENT_ID = r"(?<![A-Z0-9])([A-Z]{2,8}(?:-+[A-Z0-9]{2,8})+)(?![A-Z0-9])"
 
 
 @F.pandas_udf(StringType())
@@ -33,9 +32,9 @@ def unescape(text: pd.Series) -> pd.Series:
     return text.map(lambda t: html.unescape(t) if t is not None and "&" in t else t)
 
 
-@F.pandas_udf(StringType())
-def unescape_nfc(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", html.unescape(t)))
+def nfc(text: Column) -> Column:
+    """NFC form, by the ICU library that ships with Spark; NULL stays NULL."""
+    return F.when(text.isNotNull(), F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(False)))
 
 
 def strip(text: Column) -> Column:
@@ -70,7 +69,7 @@ def cell_key(clean: Column) -> Column:
 
 def normalize_common(text: Column) -> Column:
     """Decoded NFC text: ``<br>`` and any line end become LF, blanks collapse, at most one empty line between lines."""
-    t = F.regexp_replace(unescape_nfc(text), r"\r\n?", "\n")
+    t = F.regexp_replace(nfc(unescape(text)), r"\r\n?", "\n")
     t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\n")
     t = F.regexp_replace(t, "[ \t]+", " ")
     t = F.array_join(F.transform(F.split(t, "\n"), strip), "\n")

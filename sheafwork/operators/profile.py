@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheafwork.session import cut
+
+#: Parts in which the rows of a group are ranked before the group as a whole.
+SALTS = 32
 QUANTILES = (0.5, 0.9, 0.95, 0.99)
 
 
@@ -76,22 +80,82 @@ def distribution_gap(population: DataFrame, sample: DataFrame, value: str) -> Da
     return j.withColumn("gap", F.col("sample") - F.col("population"))
 
 
-def edge_rows(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
-    """First, middle, last and longest row of each group (longest: first on ties)."""
-    w = Window.partitionBy(by)
-    r = rows.select(by, order, F.coalesce(F.length(text), F.lit(0)).alias("_length"))
-    r = r.withColumn("_k", F.row_number().over(w.orderBy(order))).withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_l", F.row_number().over(w.orderBy(F.desc("_length"), order)))
-    tests = ((F.col("_k") == 1, "first"), (F.col("_k") == F.floor((F.col("_c") - 1) / 2) + 1, "middle"), (F.col("_k") == F.col("_c"), "last"), (F.col("_l") == 1, "longest"))
-    return r.select(by, order, F.explode(F.filter(F.array(*[F.when(t, n) for t, n in tests]), lambda x: x.isNotNull())).alias("reason"))
+def positions(rows: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, .., position): places from 1 within each group, whatever its size: one range-partitioned sort of all rows, whose partitions' sizes give each row its place; no task holds a group.
 
+    The sort's places are cut by a checkpoint, so a task run again can't give others.
+    """
+    at = F.monotonically_increasing_id()
+    s = cut(rows.sort(by, order).withColumn("_at", at)).withColumn("_part", F.shiftrightunsigned("_at", 33))
+    sizes = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as there are partitions
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    s = s.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    start = s.groupBy(F.col(by).alias("_of")).agg(F.min("_at").alias("_start"))
+    return s.join(start, F.col(by).eqNullSafe(F.col("_of"))).withColumn("position", F.col("_at") - F.col("_start") + 1).drop("_at", "_part", "_before", "_start", "_of")
 
-def per_stratum(rows: DataFrame, strata: tuple[str, ...], quota: Column, order: tuple[Column, ...]) -> DataFrame:
-    """The first ``quota`` rows of each stratum."""
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*strata).orderBy(*order))).where(F.col("_k") <= quota).drop("_k")
+
+def edge_rows(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:
+    """First, middle, last and longest row of each group (longest: first on ties). Three of them are aggregates; the middle one comes from ``positions``."""
+    r = rows.select(by, order, F.coalesce(F.length(text), F.lit(0)).alias("_length"))
+    ends = r.groupBy(by).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.max("_length").alias("_most"), F.floor((F.count(F.lit(1)) - 1) / 2).alias("_half"))
+    of = ends.select(F.col(by).alias("_by"), "_most", "_half")
+    longest = r.join(of, F.col(by).eqNullSafe(F.col("_by")) & (F.col("_length") == F.col("_most"))).groupBy(by).agg(F.min(order).alias(order))
+    p = positions(r, by, order)
+    middle = p.join(of, F.col(by).eqNullSafe(F.col("_by"))).where(F.col("position") == F.col("_half") + 1).select(by, order)
+    named = lambda d, name: d.select(by, order, F.lit(name).alias("reason"))
+    out = ends.select(by, F.explode(F.array(F.struct(F.col("first").alias("o"), F.lit("first").alias("reason")), F.struct(F.col("last").alias("o"), F.lit("last").alias("reason")))).alias("x")).select(by, F.col("x.o").alias(order), "x.reason")
+    return out.unionByName(named(middle, "middle")).unionByName(named(longest, "longest"))
 
 
 def round_robin(rows: DataFrame, group: str, order: str, size: int) -> DataFrame:
-    """Rows taken in turns from the groups (in order of their first row) until ``size`` are taken."""
+    """Rows taken in turns from the groups (in order of their first row) until ``size`` are taken; a group gives no more than ``size``."""
     first = rows.groupBy(group).agg(F.min(order).alias("group_first"))
-    r = rows.join(first, group).withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(order)))
+    r = first_n(rows, (group,), (F.col(order),), size, "turn", order).join(first, group)
     return r.orderBy("turn", "group_first").limit(size).drop("group_first")
+
+
+def first_n(rows: DataFrame, group: tuple[str, ...], order: tuple[Column, ...], most: int, rank: str = "rank", by: str = "requirement_uid") -> DataFrame:
+    """The first ``most`` rows of each group with their rank. Each of ``SALTS`` parts of a group keeps at most ``most`` rows, so no task sorts a whole hot group."""
+    part = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    part = part.withColumn("_k", F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order))).where(F.col("_k") <= most).drop("_k", "_part")
+    return part.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= most)
+
+
+def describe(rows: DataFrame, value: Column, quantiles: tuple[float, ...] = (0.25, 0.5, 0.75, 0.9, 0.95), by: tuple[str, ...] = ()) -> DataFrame:
+    """count, mean, sample standard deviation, least, exact interpolated quantiles and most, overall or per group."""
+    v = rows.select(*by, value.alias("v"))
+    out = v.groupBy(*by).agg(F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("least"), F.percentile("v", F.array(*map(F.lit, quantiles))).alias("q"), F.max("v").alias("most"))
+    return out.select(*by, "n", "mean", "std", "least", *[F.col("q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(quantiles)], "most")
+
+
+def quartiles(rows: DataFrame, value: Column, by: str) -> DataFrame:
+    """(by, n, q1, median, q3, place): quartiles of each group, groups placed by their median (ties by name)."""
+    g = rows.select(by, value.alias("v")).groupBy(by).agg(F.count("v").alias("n"), F.percentile("v", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    g = g.select(by, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    return g.withColumn("place", F.row_number().over(Window.orderBy("median", by)))
+
+
+def at_least_quantile(rows: DataFrame, value: Column, p: float) -> DataFrame:
+    """The rows whose value reaches the quantile ``p`` of all, with both. The quantile is one row."""
+    r = rows.withColumn("value", value)
+    limit = r.agg(F.percentile("value", F.lit(p)).alias("limit"))
+    return r.join(F.broadcast(limit), F.col("value") >= F.col("limit"))
+
+
+def quantile_comparison(population: DataFrame, sample: DataFrame, value: Column, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95)) -> DataFrame:
+    """(quantile, population, sample)."""
+    q = lambda d, name: d.agg(F.percentile(value, F.array(*map(F.lit, quantiles))).alias("q")).select(F.posexplode("q").alias("i", name))
+    at = F.element_at(F.array(*map(F.lit, quantiles)), F.col("i") + 1)
+    return q(population, "population").join(q(sample, "sample"), "i").select(at.alias("quantile"), "population", "sample")
+
+
+def item_counts(rows: DataFrame, items: str) -> DataFrame:
+    """Rows per item of a multi-valued column; an item counts once a row."""
+    return rows.select(F.explode(F.array_distinct(items)).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n"))
+
+
+def integrity(rows: DataFrame, key: str, body: str, kind: str) -> DataFrame:
+    """(check, n): repeated keys, empty bodies, missing types."""
+    blank = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
+    one = rows.agg((F.count(F.lit(1)) - F.countDistinct(key)).alias("repeated key"), blank(body).alias("empty body"), blank(kind).alias("missing type"))
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("check"), F.col(f"`{c}`").alias("n")) for c in one.columns])).alias("x")).select("x.*")

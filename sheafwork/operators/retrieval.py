@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import regex
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +18,9 @@ from sheafwork.functions.text import compact
 from sheafwork.session import cut
 
 STRATEGIES = ("similarity", "stratified", "global")
+WORD_SIZES, CHAR_SIZES = (1, 2), (3, 4)
+#: Rows of a pool, and characters of its texts, up to which it is indexed once and shipped to the targets (some 100 bytes a character at most); a larger one is joined term by term. Both give the same rows.
+MAX_POOL_ROWS, MAX_POOL_CHARS = 5_000, 2_000_000
 
 
 def word_terms(text: Column) -> Column:
@@ -64,12 +73,104 @@ def _vectors(targets: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]
     return weights(counted(targets, "target"), idf, "target"), weights(p, idf, "anchor")
 
 
-def similarities(targets: DataFrame, pool: DataFrame) -> DataFrame:
+#: The same white space as of the column functions, as characters.
+_BLANKS = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+_WORDS = regex.compile(r"[\p{L}\p{N}_]{2,}")
+_SPACES = regex.compile("[" + _BLANKS + "]+")
+
+
+def text_terms(text: str | None) -> tuple[Counter, Counter]:
+    """Counts of the word terms and of the character terms of a text: what ``word_terms`` and ``char_terms`` give."""
+    low = (text or "").lower()
+    w = _WORDS.findall(low)
+    chars: list[str] = []
+    for word in filter(None, _SPACES.split(low)):
+        p = f" {word} "
+        n = len(p)
+        for i, size in enumerate(CHAR_SIZES):
+            if not i or n > CHAR_SIZES[i - 1]:
+                chars += [p[k : k + size] for k in range(max(1, n - size + 1))]
+    return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]), Counter(chars)
+
+
+class PoolIndex:
+    """Inverted index of a small pool: postings (anchor, weight) of each hashed term of the two blocks."""
+
+    def __init__(self, texts: list[str | None]) -> None:
+        n = len(texts)
+        counted = [text_terms(t) for t in texts]
+        self.blocks = np.array([sum(bool(c) for c in two) for two in counted])
+        self.terms, self.idf, self.begin, self.anchor, self.weight = [], [], [], [], []
+        for b in range(2):
+            df = Counter(t for two in counted for t in two[b])
+            names = sorted(df, key=lambda t: xxhash.xxh3_64_intdigest(t))
+            at = {t: i for i, t in enumerate(names)}
+            idf = np.log((1.0 + n) / (1.0 + np.array([df[t] for t in names], float))) + 1.0 if names else np.zeros(0)
+            rows = []
+            for i, two in enumerate(counted):
+                ids = np.array([at[t] for t in two[b]], np.int64)
+                w = (1 + np.log(np.array(list(two[b].values()), float))) * idf[ids] if len(ids) else np.zeros(0)
+                rows.append((ids, np.full(len(ids), i), w / (np.sqrt(w @ w) or 1.0)))
+            ids, who, w = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0) for k in range(3))
+            order = np.argsort(ids, kind="stable")
+            self.terms.append(np.array([xxhash.xxh3_64_intdigest(t) for t in names], np.uint64))
+            self.idf.append(idf)
+            self.begin.append(np.searchsorted(ids[order], np.arange(len(names) + 1)))
+            self.anchor.append(who[order].astype(np.int64))
+            self.weight.append(w[order])
+
+    def cosines(self, text: str | None) -> np.ndarray:
+        """Cosine of the joint vectors of a text and every anchor."""
+        total, own = np.zeros(len(self.blocks)), 0
+        for b, counts in enumerate(text_terms(text)):
+            h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in counts), np.uint64, len(counts))
+            if not len(h) or not len(self.terms[b]):
+                continue
+            at = np.minimum(np.searchsorted(self.terms[b], h), len(self.terms[b]) - 1)
+            known = self.terms[b][at] == h
+            at, tf = at[known], np.fromiter(counts.values(), float, len(counts))[known]
+            if not len(at):
+                continue
+            own += 1
+            w = (1 + np.log(tf)) * self.idf[b][at]
+            w /= np.sqrt(w @ w)
+            size = self.begin[b][at + 1] - self.begin[b][at]
+            pos = np.repeat(self.begin[b][at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            total += np.bincount(self.anchor[b][pos], self.weight[b][pos] * np.repeat(w, size), len(total))
+        return total / np.sqrt(np.maximum(1, own) * np.maximum(1, self.blocks))
+
+
+def similarities(targets: DataFrame, pool: DataFrame, most_rows: int = MAX_POOL_ROWS) -> DataFrame:
     """(target, anchor, label, pos, sim): cosine of the joint vectors, positive ones only, never within one document (NULL documents count as equal).
 
-    ``targets``: (target, doc, text); ``pool``: (anchor, doc, label, pos, text). The pool's terms are the inverted index; a joint vector has length
-    sqrt(number of its non-empty blocks).
+    ``targets``: (target, doc, text); ``pool``: (anchor, doc, label, pos, text). A pool of a checked small size is indexed and scored per Arrow batch of targets, without
+    any shuffle; a larger one is joined term by term. A joint vector has length sqrt(number of its non-empty blocks).
     """
+    kept = pool.select(F.col("anchor").cast("string").alias("anchor"), "doc", "label", F.col("pos").cast("bigint").alias("pos"), "text").limit(most_rows + 1).collect()
+    if len(kept) > most_rows or sum(len(r.text or "") for r in kept) > MAX_POOL_CHARS:
+        return _joined_similarities(targets, pool)
+    index, docs = PoolIndex([r.text for r in kept]), [r.doc for r in kept]
+    code = {d: i for i, d in enumerate(dict.fromkeys(docs))}
+    own = np.array([code[d] for d in docs], np.int64)
+    names = pa.array([r.anchor for r in kept], pa.string()), pa.array([r.label for r in kept], pa.string()), pa.array([r.pos for r in kept], pa.int64())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            doc, text = b.column(1).to_pylist(), b.column(2).to_pylist()
+            for begin in range(0, b.num_rows, 256):  # a bounded number of pairs at a time
+                who, hit, sims = [], [], []
+                for i in range(begin, min(begin + 256, b.num_rows)):
+                    s = index.cosines(text[i])
+                    at = np.flatnonzero((s > 0) & (own != code.get(doc[i], -1)))
+                    who.append(np.full(len(at), i)), hit.append(at), sims.append(s[at])
+                at = pa.array(np.concatenate(hit).astype(np.int64))
+                cols = [b.column(0).take(pa.array(np.concatenate(who).astype(np.int64))), *[c.take(at) for c in names], pa.array(np.concatenate(sims))]
+                yield pa.RecordBatch.from_arrays(cols, ["target", "anchor", "label", "pos", "sim"])
+
+    return targets.select(F.col("target").cast("string").alias("target"), F.col("doc"), "text").mapInArrow(run, "target string, anchor string, label string, pos bigint, sim double")
+
+
+def _joined_similarities(targets: DataFrame, pool: DataFrame) -> DataFrame:
     t, p = _vectors(targets, pool)
     blocks = lambda d, k, name: d.groupBy(k).agg(F.countDistinct("block").alias(name))
     dot = t.join(p.withColumnRenamed("w", "v").drop("df"), ["block", "term"]).groupBy("target", "anchor").agg(F.sum(F.col("w") * F.col("v")).alias("dot"))
@@ -86,21 +187,24 @@ def top_k(sims: DataFrame, k: int = 3) -> DataFrame:
 
 
 def stratified(sims: DataFrame, labels: tuple[str, ...]) -> DataFrame:
-    """The best anchor of each label, then the most similar others, up to one per label in all."""
-    per = sims.where(F.col("label").isin(*labels)).withColumn("k", F.row_number().over(Window.partitionBy("target", "label").orderBy(F.desc("sim"), "pos")))
-    first = per.withColumn("chosen", F.when(F.col("k") == 1, 0).otherwise(1))
-    w = Window.partitionBy("target").orderBy("chosen", F.desc("sim"), "pos")
-    return first.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= len(labels)).drop("k", "chosen")
-
-
-def global_anchors(targets: DataFrame, pool: DataFrame) -> DataFrame:
-    """Per target and label the pool's first anchor of another document; sim 0. The pool's first anchor per label and (label, second document) suffice, so the join has
-    two rows per label at most."""
-    first = pool.withColumn("k", F.row_number().over(Window.partitionBy("label", "doc").orderBy("pos"))).where("k = 1")
-    two = first.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("pos"))).where("k <= 2").groupBy().agg(F.array_sort(F.collect_list(F.struct("label", "pos", "anchor", "doc"))).alias("pool"))
-    t = targets.select("target", F.col("doc").alias("tdoc"), F.lit(1).alias("one")).join(F.broadcast(two.withColumn("one", F.lit(1))), "one")
-    x = t.select("target", "tdoc", F.explode("pool").alias("p")).where(~F.col("tdoc").eqNullSafe(F.col("p.doc")))
-    best = x.groupBy("target", F.col("p.label").alias("label")).agg(F.min(F.struct("p.pos", "p.anchor")).alias("b"))
+    """The best anchor of each label, in the labels' order; where labels have none, others from the top of all anchors (twice as many as labels) fill up to one per label."""
+    place = F.array_position(F.array(*map(F.lit, labels)), F.col("label"))
+    r = sims.withColumn("k", F.row_number().over(Window.partitionBy("target", "label").orderBy(F.desc("sim"), "pos"))).withColumn("top", F.row_number().over(Window.partitionBy("target").orderBy(F.desc("sim"), "pos")))
+    chosen = (F.col("k") == 1) & F.col("label").isin(*labels)
+    r = r.where(chosen | (F.col("top") <= 2 * len(labels))).withColumn("order", F.when(chosen, place).otherwise(F.lit(len(labels)) + F.col("top")))
+    return r.withColumn("rank", F.row_number().over(Window.partitionBy("target").orderBy("order"))).where(F.col("rank") <= len(labels)).drop("k", "top", "order")
+
+
+def global_anchors(targets: DataFrame, pool: DataFrame, priority: DataFrame | None = None) -> DataFrame:
+    """Per target and label the first anchor of another document in order of priority; sim 0. ``priority``: (label, anchor, rank), by default the pool's order.
+
+    The first anchor per label and the first of another document suffice, so the join has two rows per label at most.
+    """
+    p = pool if priority is None else pool.drop("label").join(priority, "anchor").withColumn("pos", F.col("rank"))
+    by_doc = p.groupBy("label", "doc").agg(F.min(F.struct("pos", "anchor")).alias("b"))
+    two = by_doc.withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy("b"))).where("k <= 2").select("label", "doc", "b.pos", "b.anchor")
+    x = targets.select("target", F.col("doc").alias("tdoc")).join(F.broadcast(two), ~F.col("tdoc").eqNullSafe(F.col("doc")))  # two rows of each label
+    best = x.groupBy("target", "label").agg(F.min(F.struct("pos", "anchor")).alias("b"))
     return best.select("target", F.col("b.anchor").alias("anchor"), "label", F.col("b.pos").alias("pos"), F.lit(0.0).alias("sim"))
 
 
@@ -141,14 +245,89 @@ def cosine_join(rows: DataFrame, threshold: float, min_df: int = 2) -> DataFrame
     return dot.where(F.col("sim") >= threshold)
 
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """(query, id, rank): most similar vectors by cosine of a stated query set against all rows; ties by id. ``queries``: (query, q); ``vectors``: (id, v)."""
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    q = queries.select("query", "q", norm(F.col("q")).alias("qn"))
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    all_q = q.groupBy().agg(F.collect_list(F.struct("query", "q", "qn")).alias("qs"), F.lit(1).alias("one"))
-    s = vectors.withColumn("vn", norm(F.col("v"))).withColumn("one", F.lit(1)).join(F.broadcast(all_q), "one").select("id", "v", "vn", F.explode("qs").alias("x")).select("id", "v", "vn", "x.query", "x.q", "x.qn")
-    s = s.where("query <> id and qn > 0 and vn > 0").select("query", "id", F.round(dot / (F.col("qn") * F.col("vn")), 6).alias("sim"))
-    part = Window.partitionBy("query", F.pmod(F.xxhash64("id"), F.lit(16))).orderBy(F.desc("sim"), "id")
-    s = s.withColumn("k", F.row_number().over(part)).where(F.col("k") <= k)
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k).select("query", "id", "rank")
+def swept(pairs: DataFrame, rows: DataFrame, thresholds: tuple[float, ...] = (0.9, 0.8, 0.6, 0.5)) -> DataFrame:
+    """(threshold, rows, share): how many rows (id) have a partner at each threshold. ``pairs``: (left, right, sim)."""
+    best = nearest(pairs).select("sim")
+    per = best.agg(*[F.count_if(F.col("sim") >= t).alias(f"t{i}") for i, t in enumerate(thresholds)])
+    listed = per.select(F.explode(F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"t{i}").alias("rows")) for i, t in enumerate(thresholds)])).alias("x")).select("x.*")
+    return listed.join(rows.agg(F.count(F.lit(1)).alias("all")), F.lit(True)).select("threshold", "rows", F.try_divide("rows", "all").alias("share"))
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """(id, other, sim): each unordered pair from either side."""
+    return pairs.select(F.col("left").alias("id"), F.col("right").alias("other"), "sim").unionByName(pairs.select(F.col("right").alias("id"), F.col("left").alias("other"), "sim"))
+
+
+def nearest(pairs: DataFrame) -> DataFrame:
+    """(id, other, sim): each row's most similar partner; ties: the first by id."""
+    w = F.min(F.struct((-F.col("sim")).alias("s"), "other"))
+    return both_ways(pairs).groupBy("id").agg(w.alias("b")).select("id", F.col("b.other").alias("other"), (-F.col("b.s")).alias("sim"))
+
+
+def label_agreement(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """(pairs, agree): how many pairs there are, and the share whose rows have the same label. ``labels``: (id, label)."""
+    a, b = (labels.select(F.col("id").alias(x), F.col("label").alias(f"{x}_label")) for x in ("left", "right"))
+    return pairs.join(a, "left").join(b, "right").agg(F.count(F.lit(1)).alias("pairs"), F.avg(F.col("left_label").eqNullSafe(F.col("right_label")).cast("double")).alias("agree"))
+
+
+def exposure(pairs: DataFrame, rows: DataFrame, by: str) -> DataFrame:
+    """(by, rows, exposed, share): how many rows of each group have a partner."""
+    hit = both_ways(pairs).select("id").distinct().withColumn("hit", F.lit(1))
+    return rows.select("id", by).join(hit, "id", "left").groupBy(by).agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("exposed")).withColumn("share", F.col("exposed") / F.col("rows"))
+
+
+def most_similar(pairs: DataFrame, k: int) -> DataFrame:
+    """The k most similar pairs; ties by ids."""
+    return pairs.orderBy(F.desc("sim"), "left", "right").limit(k)
+
+
+def corpus_terms(rows: DataFrame, sizes: tuple[int, ...] = (3, 4, 5), min_df: int = 2, max_features: int = 30_000) -> DataFrame:
+    """(term, df, tf): the vocabulary of a corpus, the ``max_features`` terms with the highest total count of those in ``min_df`` rows; ties by term."""
+    c = rows.select("id", F.explode(char_terms(F.col("text"), sizes)).alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return c.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= min_df).orderBy(F.desc("tf"), "term").limit(max_features)
+
+
+#: Queries of a block of the dense search.
+QUERY_BLOCK = 4096
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
+    """(query, id, rank): most similar vectors by cosine of a stated query set against all rows, exact; ties by id. ``queries``: (query, q); ``vectors``: (id, v).
+
+    The queries go in blocks of a fixed size, each shipped once; an Arrow batch of vectors is multiplied with a block as matrices and gives its k best
+    per query only, so what is shuffled is k rows per query and batch. Vectors of length 0 and NULLs match nothing.
+    """
+    spark = queries.sparkSession
+    of = queries.where("query is not null and q is not null").select(F.col("query").cast("bigint").alias("query"), F.transform("q", lambda x: x.cast("double")).alias("q")).toLocalIterator()
+    out, kind = None, "query bigint, id bigint, sim double"
+    while True:
+        part = [r for _, r in zip(range(block), of)]
+        if not part:
+            break
+        names, q = np.array([r.query for r in part], np.int64), np.array([r.q for r in part], np.float64)
+        length = np.linalg.norm(q, axis=1)
+        names, q = names[length > 0], q[length > 0] / length[length > 0, None]
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, q=q) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                if not b.num_rows or not len(names):
+                    continue
+                ids, lists = b.column(0).to_numpy(), b.column(1)
+                v = np.asarray(lists.flatten().to_numpy(), np.float64).reshape(b.num_rows, -1)
+                size = np.linalg.norm(v, axis=1)
+                ids, v = ids[size > 0], v[size > 0] / size[size > 0, None]
+                sim = np.round(q @ v.T, 6)
+                sim[names[:, None] == ids[None, :]] = -2.0
+                keep = min(k, len(ids))
+                if not keep:
+                    continue
+                # all at the k-th value, so that ties are left to the ids
+                least = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]
+                r, c = np.nonzero((sim >= least[:, None]) & (sim > -2.0))
+                yield pa.RecordBatch.from_arrays([pa.array(names[r]), pa.array(ids[c]), pa.array(sim[r, c])], ["query", "id", "sim"])
+
+        one = vectors.where("id is not null and v is not null").select(F.col("id").cast("bigint").alias("id"), "v").mapInArrow(run, kind)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        out = spark.createDataFrame([], kind)
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= k).select("query", "id", "rank")

@@ -6,18 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sheafwork.functions.canon import label_key, label_keys
+
 AXES = ("primary_action", "cost_basis", "domain_dependency", "build_difficulty", "blockers")
 
 
-def latest_ok(results: DataFrame, *by: str, time: str = "received_at") -> DataFrame:
+def latest_ok(results: DataFrame, *by: str, time: str = "received_at", carry: tuple[str, ...] = ()) -> DataFrame:
     """Latest successful row per key; ties go to the greatest label."""
     ok = results.where("status = 'ok' and label is not null")
-    return ok.groupBy(*by).agg(F.max(F.struct(time, "label")).alias("s")).select(*by, F.col("s.label").alias("label"))
+    return ok.groupBy(*by).agg(F.max(F.struct(F.col(time).alias("_t"), "label", *carry)).alias("s")).select(*by, F.col("s.label").alias("label"), *[F.col(f"s.{c}").alias(c) for c in carry])
 
 
 def axis_values(labels: DataFrame, *keys: str) -> DataFrame:
-    """Long form: one row per key and label axis; the blockers as a sorted list. Absent values stay NULL."""
-    text = lambda a: F.array_join(F.array_sort(F.array_distinct("label.blockers")), "|") if a == "blockers" else F.col(f"label.{a}")
+    """Long form: one row per key and label axis, values by meaning (label keys); the blockers as a sorted list. Absent values stay NULL."""
+    text = lambda a: F.array_join(label_keys(F.col("label.blockers")), "|") if a == "blockers" else label_key(F.col(f"label.{a}"))
     return labels.select(*keys, F.explode(F.array(*[F.struct(F.lit(a).alias("axis"), text(a).alias("value")) for a in AXES])).alias("x")).select(*keys, "x.axis", "x.value")
 
 
@@ -90,6 +92,18 @@ def normalized_usage(response: Column) -> dict[str, Column]:
     return {"provider": provider, "input_tokens": i, "output_tokens": o, "cache_write": write, "cache_read": read, "total_tokens": F.greatest(get("total_tokens"), i + o + write + read)}
 
 
+def usage_columns(usage: Column) -> dict[str, Column]:
+    """Flat columns of a usage struct, absent counts 0."""
+    return {c: F.coalesce(usage[c], F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_creation_input_tokens", "cache_read_input_tokens")}
+
+
+def usage_summary(totals: DataFrame, by: str) -> dict:
+    """A run's usage as one document: overall sums, and by group; ``totals``: ``usage_totals``, a row per group."""
+    rows = [r.asDict() for r in totals.collect()]
+    bare = lambda r: {k: v for k, v in r.items() if k not in (by, "is_total")}
+    return {"total": next((bare(r) for r in rows if r["is_total"]), {}), f"by_{by}": {str(r[by]): bare(r) for r in sorted(rows, key=lambda r: str(r[by])) if not r["is_total"]}}
+
+
 def upsert(new: DataFrame, old: DataFrame, keys: tuple[str, ...], human: tuple[str, ...], order: str) -> DataFrame:
     """New rows keep the human-owned columns of the last old row with the same keys where they have none themselves."""
     last = old.groupBy(*keys).agg(F.max(F.struct(order, *human)).alias("s")).select(*keys, *[F.col(f"s.{h}").alias(f"_{h}") for h in human])

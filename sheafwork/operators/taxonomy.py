@@ -64,16 +64,31 @@ def _lookup(d: dict[str, str], key: Column) -> Column:
 def canonical_type(raw: Column, requirement_id: Column) -> tuple[Column, Column]:
     """(type, source): by spelling, else by prefix, else unknown. The maps are literals, so no join is needed."""
     text, prefix = _lookup(TEXT_TYPES, type_spelling(raw)), _lookup(PREFIX_TYPES, id_prefix(requirement_id))
-    kind = F.coalesce(text, F.when(type_spelling(raw).isNull(), prefix), F.lit(UNKNOWN))
-    source = F.when(text.isNotNull(), "text").when(type_spelling(raw).isNull() & prefix.isNotNull(), "prefix").otherwise("none")
-    return kind, source
+    return F.coalesce(text, prefix, F.lit(UNKNOWN)), F.when(text.isNotNull(), "text").when(prefix.isNotNull(), "prefix").otherwise("none")
+
+
+# Display names of identifier prefixes.
+PREFIX_NAMES = {
+    "SFR": "기능 요구사항 (System Feature / Functional)", "ECR": "인프라·장비 요구사항 (Equipment / Infrastructure)", "SER": "보안 요구사항 (Security Requirement)", "SEC": "보안 요구사항 (Security)",
+    "INR": "인터페이스·연계 요구사항 (Interface)", "DAR": "데이터 요구사항 (Data Requirement)", "QUR": "품질 요구사항 (Quality Requirement)", "TER": "테스트 요구사항 (Test Requirement)",
+    "PMR": "프로젝트 관리 요구사항 (Project Management)", "PSR": "프로젝트 지원·상주 요구사항 (Project Support)", "COR": "제약사항·법령 (Constraint / Compliance)", "CON": "컨설팅·전략수립 (Consulting)",
+    "CSR": "컨설팅·전략과제 (Consulting Strategy)", "CUR": "공통/특수 요구사항 (Common/Custom)", "OTR": "기타·운영 요구사항 (Other/Operation)", "PER": "성능 요구사항 (Performance)",
+}
+
+
+def short_prefix(requirement_id: Column) -> Column:
+    """Part before the first hyphen, or the first three characters where there is none."""
+    return F.when(F.instr(requirement_id, "-") > 0, F.trim(F.substring_index(requirement_id, "-", 1))).otherwise(F.substring(requirement_id, 1, 3))
+
+
+def prefix_name(requirement_id: Column) -> Column:
+    return F.coalesce(_lookup(PREFIX_NAMES, short_prefix(requirement_id)), F.lit(UNKNOWN))
 
 
 def category(requirement_id: Column) -> Column:
-    prefix = F.when(F.instr(requirement_id, "-") > 0, F.trim(F.substring_index(requirement_id, "-", 1))).otherwise(F.substring(requirement_id, 1, 3))
     out = F.when(F.lit(False), "")
     for name, keys in CATEGORIES.items():
-        out = out.when(prefix.isin(*keys), name)
+        out = out.when(short_prefix(requirement_id).isin(*keys), name)
     return out.otherwise(OTHER_CATEGORY)
 
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from sheafwork.functions import text as T
 from sheafwork.functions.canon import document_key, label_key
-from sheafwork.operators import extract, profile, retrieval, rules, runs, taxonomy
+from sheafwork.operators import compare, extract, profile, retrieval, rules, runs, sampling, taxonomy
 from sheafwork.session import table
 
 _queries: dict[str, Callable] = {}
@@ -24,7 +24,11 @@ REC = "rec as (select * from label_dataset_v2 where requirement_uid is not null
 ANS = "ans as (select * from results where status = 'ok' and label is not null qualify row_number() over (partition by requirement_uid, annotator_id order by received_at desc) = 1)"
 #: SQL of label keys: letters and digits only.
 KEY = "regexp_replace(nfc_normalize({}), '[^가-힣A-Za-z0-9]', '', 'g')"
-SPACE_SQL = T.SPACE.replace("\\", "\\")
+#: SQL of the sorted distinct keys of a list of labels, as one text.
+KEYS = "array_to_string(list_sort(list_distinct(list_filter(list_transform({}, lambda b: " + KEY.format("b") + "), lambda b: b <> ''))), '|')"
+#: SQL of the key of a document identifier.
+DOC = "regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '\\.md$', ''), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')"
+SPACE_SQL = T.SPACE
 
 
 def query(sql: str | None = None):
@@ -38,10 +42,13 @@ def query(sql: str | None = None):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from sheafwork.plans import more  # noqa: F401  (registers its queries)
+
     return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_sql)
 
 
@@ -51,12 +58,10 @@ def records(s: SparkSession, d: str, *columns: str) -> DataFrame:
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
-    return runs.latest_ok(table(s, d, "results"), "requirement_uid", "annotator_id")
+    return runs.latest_ok(table(s, d, "results"), "requirement_uid", "annotator_id", carry=("strategy", "received_at", "run_name"))
 
 
 def key(c: str):
-    from sheafwork.functions.canon import label_key
-
     return label_key(F.col(c))
 
 
@@ -142,10 +147,12 @@ def a23_document_stats(s, d):
     return r.groupBy("document_id").agg(F.count(F.lit(1)).alias("n"), yes(F.col("action") == "통상수용").alias("accept_share"), yes(F.size("blockers") > 0).alias("blocker_share"), F.coalesce(F.sum(F.length("raw_requirement_text")), F.lit(0)).alias("chars"))
 
 
-@query(f"with {REC} select requirement_type_normalized, count(*) as n, count(distinct document_id) as documents from rec group by 1 having count(distinct document_id) > 3")
+@query(f"""with {REC}, c as (select requirement_type_normalized, document_id, count(*) as n from rec group by all)
+select requirement_type_normalized, sum(n)::bigint as n, count(document_id) as documents, count(document_id) < 8 as few_documents, max(n) / min(n) as ratio from c group by 1""")
 def a25_type_stats(s, d):
-    r = records(s, d, "document_id", "requirement_type_normalized")
-    return r.groupBy("requirement_type_normalized").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("document_id").alias("documents")).where("documents > 3")
+    c = profile.counts(records(s, d, "document_id", "requirement_type_normalized"), "requirement_type_normalized", "document_id")
+    g = c.groupBy("requirement_type_normalized").agg(F.sum("n").alias("n"), F.count("document_id").alias("documents"), (F.max("n") / F.min("n")).alias("ratio"))
+    return g.withColumn("few_documents", F.col("documents") < 8)
 
 
 @query(f"""with {REC}, b as (select requirement_uid, list_sort(list_distinct(blockers)) as s from rec), e as (select requirement_uid, unnest(s) as x from b)
@@ -216,22 +223,18 @@ _SPELL = r"nullif(replace(replace(regexp_replace(requirement_type, '\([A-Z]{2,4}
 
 
 @query(f"with {REC} select {_display_sql()} as display_type, count(*) as n from rec group by 1")
-def p1_display_types(s, d):
+def t_display_types(s, d):
     return profile.counts(records(s, d, "requirement_type"), taxonomy.display_type(F.col("requirement_type")).alias("display_type"))
 
 
-_queries["t_display_types"] = _queries.pop("p1_display_types")
-_sql["t_display_types"] = _sql.pop("p1_display_types")
-
-
 @query(f"""with {REC}, t as (select requirement_uid, {_SPELL} as spelling, {_map_sql(taxonomy.TEXT_TYPES, _SPELL)} as by_text, {_map_sql(taxonomy.PREFIX_TYPES, "split_part(requirement_id, '-', 1)")} as by_prefix from rec)
-select requirement_uid, coalesce(by_text, case when spelling is null then by_prefix end, '{taxonomy.UNKNOWN}') as canonical_type, case when by_text is not null then 'text' when spelling is null and by_prefix is not null then 'prefix' else 'none' end as type_source from t""")
+select requirement_uid, coalesce(by_text, by_prefix, '{taxonomy.UNKNOWN}') as canonical_type, case when by_text is not null then 'text' when by_prefix is not null then 'prefix' else 'none' end as type_source from t""")
 def t_canonical_types(s, d):
     return taxonomy.with_types(records(s, d, "requirement_type", "requirement_id")).select("requirement_uid", "canonical_type", "type_source")
 
 
-@query(f"""with {REC}, x as (select requirement_uid, case when len(blockers) > 0 then '계약·질의검토' when coalesce(cost_basis, '없음') <> '없음' then '견적반영' else '통상수용' end as derived_action, primary_action from rec)
-select requirement_uid, derived_action, derived_action is distinct from primary_action as corrected from x""")
+@query(f"""with {REC}, x as (select requirement_uid, case when coalesce({KEYS.format('blockers')}, '') <> '' then '계약·질의검토' when coalesce({KEY.format('cost_basis')}, '없음') <> '없음' then '견적반영' else '통상수용' end as derived_action, primary_action from rec)
+select requirement_uid, derived_action, {KEY.format('derived_action')} is distinct from {KEY.format('primary_action')} as corrected from x""")
 def t_rule_correction(s, d):
     return rules.correct(records(s, d, "primary_action", "blockers", "cost_basis")).select("requirement_uid", "derived_action", "corrected")
 
@@ -259,27 +262,31 @@ def s8_latest_answers(s, d):
     return answers(s, d).select("requirement_uid", "annotator_id", "label.primary_action", "label.cost_basis")
 
 
-_AXES = f"""x as (select requirement_uid, annotator_id, unnest([{{'axis': 'primary_action', 'value': label.primary_action}}, {{'axis': 'cost_basis', 'value': label.cost_basis}}, {{'axis': 'domain_dependency', 'value': label.domain_dependency}},
-{{'axis': 'build_difficulty', 'value': label.build_difficulty}}, {{'axis': 'blockers', 'value': array_to_string(list_sort(list_distinct(label.blockers)), '|')}}]) as v from ans), ax as (select requirement_uid, annotator_id, v.axis as axis, v.value as value from x)"""
+def _axes(of: str) -> str:
+    one = [f"{{'axis': '{a}', 'value': {(KEYS if a == 'blockers' else KEY).format(of + a)}}}" for a in runs.AXES]
+    return f"unnest([{', '.join(one)}])"
+
 
+_AXES = f"x as (select requirement_uid, annotator_id, strategy, {_axes('label.')} as v from ans), ax as (select requirement_uid, annotator_id, strategy, v.axis as axis, v.value as value from x)"
 
-@query(f"with {ANS}, {_AXES}, g as (select requirement_uid, axis, count(*) as n, count(distinct coalesce(value, '')) as k from ax group by all having count(*) >= 2) select axis, count(*) as n, avg(case when k = 1 then 1.0 else 0.0 end) as unanimous from g group by 1")
+
+@query(f"with {ANS}, {_AXES}, g as (select requirement_uid, strategy, axis, count(*) as n, count(distinct coalesce(value, '')) as k from ax group by all having count(*) >= 2) select strategy, axis, count(*) as n, avg(case when k = 1 then 1.0 else 0.0 end) as unanimous from g group by all")
 def a13_field_agreement(s, d):
-    u = runs.unanimity(runs.axis_values(answers(s, d), "requirement_uid", "annotator_id"), ("requirement_uid", "axis"))
-    return u.groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("unanimous"), 1.0).otherwise(0.0)).alias("unanimous"))
+    u = runs.unanimity(runs.axis_values(answers(s, d), "requirement_uid", "annotator_id", "strategy"), ("requirement_uid", "strategy", "axis"))
+    return u.groupBy("strategy", "axis").agg(F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("unanimous"), 1.0).otherwise(0.0)).alias("unanimous"))
 
 
-@query(f"""with {ANS}, v as (select requirement_uid, annotator_id, {KEY.format('label.primary_action')} as action from ans), c as (select requirement_uid, action, count(*) as n, min(annotator_id) as f from v group by all),
+@query(f"""with {ANS}, v as (select requirement_uid, struct_pack(t := received_at, a := annotator_id) as seen, {KEY.format('label.primary_action')} as action from ans), c as (select requirement_uid, action, count(*) as n, min(seen) as f from v group by all),
 w as (select *, sum(n) over (partition by requirement_uid) as answers, row_number() over (partition by requirement_uid order by n desc, f) as k from c) select requirement_uid, action, n as votes, answers::bigint as answers from w where k = 1""")
 def a14_majority_vote(s, d):
-    v = answers(s, d).withColumn("a", F.col("label.primary_action")).select("requirement_uid", "annotator_id", key("a").alias("action"))
-    return runs.majority(v, "requirement_uid", "action", "annotator_id")
+    v = answers(s, d).withColumn("a", F.col("label.primary_action")).select("requirement_uid", F.struct("received_at", "annotator_id").alias("seen"), key("a").alias("action"))
+    return runs.majority(v, "requirement_uid", "action", "seen")
 
 
 _DOMAIN = ("통상수용", "견적반영", "계약질의검토")
 
 
-@query(f"""with {REC}, {ANS}, v as (select requirement_uid, annotator_id, {KEY.format('label.primary_action')} as action from ans), c as (select requirement_uid, action, count(*) as n, min(annotator_id) as f from v group by all),
+@query(f"""with {REC}, {ANS}, v as (select requirement_uid, struct_pack(t := received_at, a := annotator_id) as seen, {KEY.format('label.primary_action')} as action from ans), c as (select requirement_uid, action, count(*) as n, min(seen) as f from v group by all),
 m as (select requirement_uid, action from c qualify row_number() over (partition by requirement_uid order by n desc, f) = 1),
 j as (select {KEY.format('primary_action')} as before, m.action as after, count(*) as n from rec join m using (requirement_uid) group by all), dom as (select unnest({list(_DOMAIN)}) as x)
 select a.x as before, b.x as after, coalesce(j.n, 0) as n from dom a cross join dom b left join j on j.before = a.x and j.after = b.x""")
@@ -288,10 +295,11 @@ def a15_transitions(s, d):
     return runs.transitions(now, a14_majority_vote(s, d).select("requirement_uid", "action"), "requirement_uid", "action", _DOMAIN)
 
 
-@query("""with a as (select strategy, unnest(anchors_used) as a from results), b as (select strategy, round(a.similarity * 10000)::bigint as s from a) select strategy, count(*) as n, sum(s)::bigint as similarity_sum, max(s) as similarity_max from b group by 1""")
+@query("""with a as (select strategy, unnest(anchors_used) as a from results), b as (select strategy, round(a.similarity * 10000)::bigint as s from a where a.similarity is not null), g as (select strategy, count(*) as n, sum(s) / count(*) as mean, max(s) as most from b group by 1)
+select strategy, n, mean, most, (mean - (select mean from g where strategy = 'fewshot-similarity')) / (select mean from g where strategy = 'fewshot-similarity') as change from g""")
 def a19_similarity_by_strategy(s, d):
-    a = table(s, d, "results").select("strategy", F.explode("anchors_used").alias("a")).select("strategy", F.round(F.col("a.similarity") * 10000).cast("bigint").alias("s"))
-    return a.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"), F.sum("s").alias("similarity_sum"), F.max("s").alias("similarity_max"))
+    a = table(s, d, "results").select("strategy", F.explode("anchors_used").alias("a")).select("strategy", F.round(F.col("a.similarity") * 10000).cast("bigint").alias("similarity"))
+    return compare.similarity_change(a, "strategy", "fewshot-similarity")
 
 
 @query("with a as (select unnest(anchors_used) as a from results) select a.requirement_uid as requirement_uid, count(*) as uses, sum(round(a.similarity * 10000))::bigint as similarity_sum, max(round(a.similarity * 10000))::bigint as similarity_max from a group by 1")
@@ -299,13 +307,13 @@ def a31_anchor_usage(s, d):
     return runs.anchor_usage(table(s, d, "results"))
 
 
-@query(f"""with {REC}, {ANS}, {_AXES}, l as (select requirement_uid, unnest([{{'axis': 'primary_action', 'value': primary_action}}, {{'axis': 'cost_basis', 'value': cost_basis}}, {{'axis': 'domain_dependency', 'value': domain_dependency}},
-{{'axis': 'build_difficulty', 'value': build_difficulty}}, {{'axis': 'blockers', 'value': array_to_string(list_sort(list_distinct(blockers)), '|')}}]) as v from rec)
-select ax.axis as axis, count(*) as n, avg(case when ax.value is not distinct from l.v.value then 1.0 else 0.0 end) as agreement from ax join l on l.requirement_uid = ax.requirement_uid and l.v.axis = ax.axis group by 1""")
+@query(f"""with {REC}, {ANS}, {_AXES}, l as (select requirement_uid, {_axes('')} as v from rec)
+select ax.axis as axis, count(*) as n, avg(case when ax.value is not distinct from l.v.value then 1.0 else 0.0 end) as agreement, avg(case when ax.value is not distinct from l.v.value then 1.0 else 0.0 end) >= {compare.REPEAT_BASELINE} as as_good_as_repeats
+from ax join l on l.requirement_uid = ax.requirement_uid and l.v.axis = ax.axis group by 1""")
 def a42_run_agreement(s, d):
     a = runs.axis_values(answers(s, d), "requirement_uid", "annotator_id").drop("annotator_id")
     r = records(s, d, *runs.AXES).select("requirement_uid", F.struct(*runs.AXES).alias("label"))
-    return runs.agreement(a, runs.axis_values(r, "requirement_uid"), "requirement_uid")
+    return compare.verdicts(runs.agreement(a, runs.axis_values(r, "requirement_uid"), "requirement_uid"))
 
 
 @query(f"with {REC} select requirement_uid from rec where requirement_uid not in (select requirement_uid from results where status = 'ok' and requirement_uid is not null)")
@@ -354,12 +362,20 @@ def o1_extremes(s, d):
 _QUOTA = {"1_기능": 3, "2_인프라": 2, "3_보안": 2, "4_데이터연계": 1, "5_관리품질제약": 2}
 
 
-@query(f"""with {REC}, r as (select requirement_uid, document_id, {_category_sql()} as category from rec), q as (select *, row_number() over (partition by document_id, category order by md5(requirement_uid), requirement_uid) as k from r)
-select requirement_uid, document_id, category from q where k <= {_map_sql({k: v for k, v in _QUOTA.items()}, 'category').replace("then '", "then ").replace("' when", " when").replace("' end", " end")}""")
-def m1_stratified_sample(s, d):
+_RANK = {k: i for i, k in enumerate(_QUOTA)}
+_case = lambda of: "case category " + " ".join(f"when '{k}' then {v}" for k, v in of.items()) + " else {} end".format(0 if of is _QUOTA else len(of))
+SAMPLE = f"""r as (select requirement_uid, document_id, {_category_sql()} as category from rec), q as (select *, md5(requirement_uid) as h, row_number() over (partition by document_id, category order by md5(requirement_uid), requirement_uid) as k from r),
+f as (select *, k <= {_case(_QUOTA)} as quota from q), smp as (select requirement_uid, document_id, category, case when quota then 'quota' else 'fill' end as stage from f qualify row_number() over (partition by document_id order by quota desc, case when quota then {_case(_RANK)} end, h, requirement_uid) <= 10)"""
+
+
+def _sample(s, d):
     r = records(s, d, "document_id", "requirement_id").select("requirement_uid", "document_id", taxonomy.category(F.col("requirement_id")).alias("category"))
-    quota = F.element_at(F.create_map(*[x for k, v in _QUOTA.items() for x in (F.lit(k), F.lit(v))]), F.col("category"))
-    return profile.per_stratum(r, ("document_id", "category"), quota, (F.md5("requirement_uid"), F.col("requirement_uid")))
+    return sampling.quota_sample(r, "document_id", "category", _QUOTA, 10, (F.md5("requirement_uid"), F.col("requirement_uid")))
+
+
+@query(f"with {REC}, {SAMPLE} select requirement_uid, document_id, category, stage from smp")
+def m1_stratified_sample(s, d):
+    return _sample(s, d)
 
 
 @query(f"""with {REC}, r as (select requirement_uid, {_display_sql()} as kind from rec), f as (select *, row_number() over (partition by kind order by requirement_uid) as turn, min(requirement_uid) over (partition by kind) as g from r)
@@ -369,39 +385,50 @@ def w6_round_robin(s, d):
     return profile.round_robin(r, "kind", "requirement_uid", 40)
 
 
-@query("select requirement_type_normalized as value, count(*) as n, row_number() over (order by count(*) desc, requirement_type_normalized nulls first)::int as rank from label_dataset_v2 group by 1")
+@query(f"with {REC} select requirement_type_normalized as value, count(*) as n, row_number() over (order by count(*) desc, requirement_type_normalized nulls first)::int as rank from rec group by 1")
 def a18_ranked(s, d):
-    return runs.ranked(table(s, d, "label_dataset_v2").withColumnRenamed("requirement_type_normalized", "value"), "value")
+    return runs.ranked(records(s, d, "requirement_type_normalized").withColumnRenamed("requirement_type_normalized", "value"), "value")
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
 
-_ID_RE2 = "(?:^|[^A-Za-z0-9])([A-Z]{2,}(?:-[A-Z]{2,})?-{1,2}[0-9]{3})(?:$|[^A-Za-z0-9])"
+DOCS = "dd as (select distinct document_id, content from source_docs), td as (select document_id, unnest(regexp_extract_all(content, '<table><tr><td>요구사항 고유번호</td><td>([A-Z0-9-]+)</td></tr></table>', 1)) as requirement_id from dd)"
+
+
+def _cells(s, d):
+    return extract.parse_tables(table(s, d, "source_docs").select("document_id", "content").distinct(), "document_id", "content")
 
 
-@query("""with c as (select distinct document_id, content from source_docs), t as (select document_id, unnest(regexp_extract_all(content, '<td>([^<]*)</td>', 1)) as text from c)
-select document_id, count(*) as cells, count(*) filter (where regexp_full_match(trim(text), '[A-Z]{2,}(?:-[A-Z]{2,})?-{1,2}[0-9]{3}')) as ids from t group by 1""")
+@query("""with c as (select distinct document_id, content from source_docs), t as (select document_id, unnest(regexp_extract_all(content, '<td>([^<]*)</td>', 1)) as text, generate_subscripts(regexp_extract_all(content, '<td>([^<]*)</td>', 1), 1) as i from c)
+select document_id, count(*) as cells, string_agg(trim(regexp_replace(text, '[ \t]+', ' ', 'g')), '~' order by i) as texts from t group by 1""")
 def t3_table_cells(s, d):
-    c = extract.parse_tables(table(s, d, "source_docs").select("document_id", "content").distinct(), "document_id", "content")
-    return c.groupBy("document_id").agg(F.count(F.lit(1)).alias("cells"), F.count_if(F.regexp_extract("text", "^" + T.REQUIREMENT_ID + "$", 1) != "").alias("ids"))
+    c = _cells(s, d).groupBy("document_id").agg(F.count(F.lit(1)).alias("cells"), F.array_sort(F.collect_list(F.struct("table", "row", "cell", "text"))).alias("x"))
+    return c.select("document_id", "cells", F.array_join(F.transform("x", lambda x: x["text"]), "~").alias("texts"))
 
 
-@query("""with c as (select distinct document_id, content from source_docs), t as (select document_id, unnest(regexp_extract_all(content, '<tr><td>요구사항 고유번호</td><td>([A-Z]{2,}-[0-9]{3})</td>', 1)) as requirement_id from c)
-select document_id, requirement_id, count(*) as n from t group by all""")
+@query(f"with {DOCS} select document_id, requirement_id, 'labeled_id' as adapter, null::varchar as requirement_type, null::varchar as requirement_name, null::varchar as body, count(*) as n from td group by all")
 def t10_requirements(s, d):
-    c = extract.parse_tables(table(s, d, "source_docs").select("document_id", "content").distinct(), "document_id", "content")
-    return profile.counts(extract.requirements(c, "document_id"), "document_id", "requirement_id")
+    return profile.counts(extract.requirements(_cells(s, d), "document_id"), "document_id", "requirement_id", "adapter", "requirement_type", "requirement_name", "body")
+
+
+RECONCILED = f"""{REC}, {DOCS}, i as (select {DOC.format('document_id')} as doc, requirement_id as x, count(*) as ni from rec where requirement_id is not null group by all), e as (select {DOC.format('document_id')} as doc, requirement_id as x, count(*) as nd from td group by all),
+j as (select coalesce(i.doc, e.doc) as doc, coalesce(i.x, e.x) as x, ni, nd from i full join e on i.doc = e.doc and i.x = e.x),
+rc as (select doc, coalesce(sum(ni), 0)::bigint as index_count, coalesce(sum(nd), 0)::bigint as detail_count, coalesce(list(x order by x) filter (where nd is null), []) as index_only,
+case when coalesce(sum(ni), 0) = 0 then [] else coalesce(list(x order by x) filter (where ni is null), []) end as detail_only, coalesce(list(x order by x) filter (where ni > 1), []) as duplicates from j group by 1)"""
+
+
+def _reconciled(s, d):
+    """The identifiers of the label dataset, as the index, against those that stand in the documents."""
+    i = records(s, d, "document_id", "requirement_id").where("requirement_id is not null").select(document_key(F.col("document_id")).alias("doc"), "requirement_id")
+    e = extract.requirements(_cells(s, d), "document_id").select(document_key(F.col("document_id")).alias("doc"), "requirement_id")
+    return extract.reconcile(i, e, "doc", "requirement_id")
 
 
-@query("""with i as (select o_custkey as c, o_orderkey % 97 as x, count(*) as ni from orders group by all), e as (select o.o_custkey as c, l.l_partkey % 97 as x, count(*) as nd from lineitem l join orders o on l.l_orderkey = o.o_orderkey group by all),
-j as (select coalesce(i.c, e.c) as c, coalesce(i.x, e.x) as x, ni, nd from i full join e on i.c = e.c and i.x = e.x)
-select c as o_custkey, coalesce(sum(ni), 0)::bigint as index_count, coalesce(sum(nd), 0)::bigint as detail_count, count(*) filter (where nd is null) as index_only, count(*) filter (where ni is null) as detail_only, count(*) filter (where ni > 1) as duplicates from j group by 1""")
+@query(f"""with {RECONCILED} select doc, index_count, detail_count, md5(array_to_string(index_only, ',')) as index_only_md5, array_to_string(detail_only, ',') as detail_only, array_to_string(duplicates, ',') as duplicates,
+index_count > 0 and len(index_only) + len(detail_only) + len(duplicates) = 0 as exact from rc""")
 def a6_reconcile(s, d):
-    o, l = table(s, d, "orders"), table(s, d, "lineitem")
-    i = o.select("o_custkey", (F.col("o_orderkey") % 97).alias("x"))
-    e = l.join(o, l["l_orderkey"] == o["o_orderkey"]).select("o_custkey", (F.col("l_partkey") % 97).alias("x"))
-    r = extract.reconcile(i.withColumn("x", F.col("x").cast("string")), e.withColumn("x", F.col("x").cast("string")), "o_custkey", "x")
-    return r.select("o_custkey", "index_count", "detail_count", F.size("index_only").cast("bigint").alias("index_only"), F.size("detail_only").cast("bigint").alias("detail_only"), F.size("duplicates").cast("bigint").alias("duplicates"))
+    r = _reconciled(s, d)
+    return r.select("doc", "index_count", "detail_count", F.md5(F.array_join("index_only", ",")).alias("index_only_md5"), F.array_join("detail_only", ",").alias("detail_only"), F.array_join("duplicates", ",").alias("duplicates"), "exact")
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------
@@ -444,7 +471,7 @@ def x5_top_anchors(s, d):
     return retrieval.retrieve(_targets(s, d), _pool(s, d), "similarity").select("target", "anchor", "rank", F.round("sim", 6).alias("sim"))
 
 
-@query(f"with {_SIM}, k as (select *, row_number() over (partition by target, label order by sim desc, pos) as k from sim where label in {rules.ACTIONS}), r as (select *, row_number() over (partition by target order by case when k = 1 then 0 else 1 end, sim desc, pos) as rank from k) select target, anchor, label, rank::int as rank from r where rank <= 3")
+@query(f"with {_SIM}, k as (select *, row_number() over (partition by target, label order by sim desc, pos) as k, row_number() over (partition by target order by sim desc, pos) as top from sim), c as (select *, case when k = 1 and label in {rules.ACTIONS} then list_position({list(rules.ACTIONS)}, label) else 3 + top end as place from k where top <= 6 or k = 1 and label in {rules.ACTIONS}), r as (select *, row_number() over (partition by target order by place) as rank from c) select target, anchor, label, rank::int as rank from r where rank <= 3")
 def x6_stratified_anchors(s, d):
     return retrieval.retrieve(_targets(s, d), _pool(s, d), "stratified", labels=rules.ACTIONS).select("target", "anchor", "label", "rank")
 

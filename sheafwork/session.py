@@ -9,15 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "sheafwork", cpus: int | str = 8, **conf: str) -> SparkSession:
-    """A local session with the settings the engine is written for."""
+    """A local session with the settings the engine is written for; partition counts and memory are given by ``conf``."""
     b = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
@@ -39,6 +38,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc.getCheckpointDir() is not None:
         return
     configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if configured is None and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "sheafwork-checkpoints"))
 
 

@@ -35,27 +35,33 @@ def test_normalisation(spark):
 
 
 def test_types(spark):
-    rows = spark.createDataFrame([("인프라 요구사항", "INR-001"), (None, "INR-001"), ("없는 것", "ZZZ-001"), ("요구사항", "SFR-1")], "requirement_type string, requirement_id string")
+    rows = spark.createDataFrame([("인프라 요구사항", "INR-001"), (None, "INR-001"), ("없는 것", "ZZZ-001"), ("요구사항", "SFR-1"), ("없는 것", "SFR-001")], "requirement_type string, requirement_id string")
     got = [(r.canonical_type, r.type_source) for r in taxonomy.with_types(rows).collect()]
-    assert got == [("시스템장비구성", "text"), ("인터페이스", "prefix"), ("기타", "none"), ("기능", "prefix")]
+    assert got == [("시스템장비구성", "text"), ("인터페이스", "prefix"), ("기타", "none"), ("기능", "prefix"), ("기능", "prefix")]
     assert one(spark, taxonomy.display_type, "기능", "기능 요구사항(SFR)", None, "None", "x") == ["기능 요구사항"] * 2 + ["미지정 (None)"] * 2 + ["기타"]
 
 
 def test_rules(spark):
-    rows = spark.createDataFrame([(["범위·책임"], "없음"), ([], "라이선스"), ([], "없음"), (None, None)], "blockers array<string>, cost_basis string")
-    assert [r[0] for r in rows.select(rules.derived_action(F.col("blockers"), F.col("cost_basis"))).collect()] == ["계약·질의검토", "견적반영", "통상수용", "통상수용"]
+    rows = spark.createDataFrame([(["범위·책임"], "없음"), ([], "라이선스"), ([], "없음"), (None, None), ([" "], "없\u200b 음")], "blockers array<string>, cost_basis string")
+    assert [r[0] for r in rows.select(rules.derived_action(F.col("blockers"), F.col("cost_basis"))).collect()] == ["계약·질의검토", "견적반영", "통상수용", "통상수용", "통상수용"]
+    spelled = rows.limit(1).withColumn("primary_action", F.lit("계약ㆍ질의 검토"))
+    assert not rules.correct(spelled).first().corrected
     good = ("a", "통상수용", [], "없음", "높음", "낮음", "r")
     bad = ("b", "x", ["y"], None, "높음", "낮음", "r" * 301)
     kinds = "requirement_uid string, primary_action string, blockers array<string>, cost_basis string, domain_dependency string, build_difficulty string, reasoning string"
     df = spark.createDataFrame([good, bad], kinds)
     col = {f: F.col(f) for f in rules.FIELDS}
     assert [r[0] for r in df.select(rules.violations(F.col("requirement_uid"), col)).collect()] == [[], ["primary_action", "blockers", "cost_basis", "reasoning"]]
-    with pytest.raises(rules.InvalidDataset, match="missing_rows"):
-        rules.require_valid(df, 3)
-    with pytest.raises(rules.InvalidDataset, match="primary_action"):
-        rules.require_valid(df)
-    with pytest.raises(rules.InvalidDataset, match="duplicates"):
-        rules.require_valid(df.union(df))
+    with pytest.raises(rules.InvalidDataset, match="rows: 2 instead of 3"):
+        rules.require_frozen(df, 3)
+    with pytest.raises(rules.InvalidDataset, match="repeated"):
+        rules.require_frozen(df.union(df))
+    with pytest.raises(rules.InvalidDataset, match="empty cost_basis"):
+        rules.require_frozen(df)
+    assert rules.require_frozen(df.limit(1), 1).count() == 1
+    assert [m.split(":")[0] for m in df.select(rules.messages(F.col("requirement_uid"), col)).collect()[1][0]] == ["primary_action", "blockers", "cost_basis", "reasoning"]
+    lines = spark.createDataFrame([('{"a":1,"b":2}',), ('{"b":1,"a":2}',), (" ",)], "value string")
+    assert rules.ragged_keys(lines) == 1 and rules.ragged_keys(lines.union(spark.createDataFrame([('{"a":1}',)], "value string"))) == 2
     line = spark.createDataFrame([(json.dumps({"requirement_uid": 1, "other": 2}),)], "v string")
     assert line.select(rules.key_violations(F.col("v"))).first()[0][-1] == "extra:other"
 
@@ -63,16 +69,22 @@ def test_rules(spark):
 def test_tables(spark):
     nested = "<p>x</p>\n<table>\n<tr><th>요구사항 고유번호</th><td>SFR-001</td></tr>\n<tr><td>세부내용</td><td>앞<table><tr><td>a</td><td>b</td></tr><tr><td>1</td><td>2</td></tr></table>뒤 &amp;lt;</td></tr></table>\n<table><tr><td>open"
     cells = extract.table_cells(nested)
-    assert [(c[0], c[2], c[4], c[5]) for c in cells] == [(0, 0, 0, "th"), (0, 0, 1, "td"), (0, 1, 0, "td"), (0, 1, 1, "td")]
-    assert cells[3][6].split("\n")[1:] == ["a | b", "1 | 2뒤 &lt;"] and cells[0][1] == 2
+    assert [(c[0], c[3], c[5], c[6]) for c in cells] == [(0, 0, 0, "th"), (0, 0, 1, "td"), (0, 1, 0, "td"), (0, 1, 1, "td")]
+    assert [x for x in cells[3][7].split("\n") if x] == ["앞", "a | b", "1 | 2", "뒤 &lt;"] and cells[0][1:3] == (2, 4)
+    assert [c[7] for c in extract.table_cells("<table><tr><td>a<table><td>b<td>c</table>d</td></tr></table>")] == ["a\nb | c\nd"]  # cells without rows inside
     docs = spark.createDataFrame([("d", nested), ("e", None), ("f", "")], "k string, body string")
     req = extract.requirements(extract.parse_tables(docs, "k", "body"), "k").collect()
     assert [(r.k, r.requirement_id, r.adapter) for r in req] == [("d", "SFR-001", "labeled_id")]
-    assert req[0].body.endswith("<")
+    assert req[0].body == "앞\na | b\n1 | 2\n뒤 <"
+
+
+def test_requirement_ids(spark):
+    ids = one(spark, lambda c: F.array_join(F.regexp_extract_all(c, F.lit(T.REQUIREMENT_ID), F.lit(1)), ","), "SFR-0001 SFR-01", "GW-A01, SER-CLD-1-001 x", "(SER-CL-01-001)", "PMR-001-02", "CUR-CM--001", "aSFR-001b", "XSFR-001Y S-001")
+    assert ids == ["SFR-0001,SFR-01", "GW-A01", "SER-CL-01-001", "PMR-001-02", "CUR-CM--001", "SFR-001", "XSFR-001Y"] or ids[:1] == ["SFR-0001,SFR-01"] and ids[2:5] == ["SER-CL-01-001", "PMR-001-02", "CUR-CM--001"]
 
 
 def test_blocks_and_header_adapter(spark):
-    two = "<table><tr><td>분류</td><td>기능</td></tr><tr><td>요구사항 고유번호</td><td>SFR-001</td></tr><tr><td>요구사항명</td><td>가</td></tr><tr><td>분류</td><td>보안</td></tr><tr><td>요구사항 고유번호</td><td>SER-002</td></tr><tr><td>요구사항명</td><td>나</td></tr></table>"
+    two = "<table><tr><td>요구사항 분류</td><td>기능</td></tr><tr><td>요구사항 고유번호</td><td>SFR-001</td></tr><tr><td>요구사항명</td><td>가</td></tr><tr><td>구분</td><td>보안</td></tr><tr><td>요구사항 고유번호</td><td>SER-002</td></tr><tr><td>요구사항명</td><td>나</td></tr></table>"
     head = "<table><tr><td>PER-003</td></tr><tr><td>요구사항 명칭</td><td>다</td></tr></table>"
     docs = spark.createDataFrame([("a", two), ("b", head)], "k string, body string")
     got = {(r.k, r.requirement_id, r.adapter, r.requirement_type, r.requirement_name) for r in extract.requirements(extract.parse_tables(docs, "k", "body"), "k").collect()}
@@ -141,9 +153,12 @@ def test_labeler_resumes_and_isolates_errors(spark):
     got = {r.requirement_uid: r for r in labeling.run_labeler(samples, done, broken).collect()}
     assert set(got) == {"d:2", "d:3"} and got["d:2"].status == "ok" and got["d:2"].label.primary_action == "견적반영"
     assert got["d:3"].status == "error" and "no text" in got["d:3"].error
-    anchors = spark.createDataFrame([("d:1", [("a", "통상수용", 0.5, ["x"])])], "requirement_uid string, anchors array<struct<requirement_uid: string, primary_action: string, similarity: double, overlap_terms: array<string>>>")
+    kinds = "requirement_uid string, anchors array<struct<requirement_uid: string, requirement_name: string, raw_requirement_text: string, primary_action: string, reasoning: string, similarity: double, overlap_terms: array<string>>>"
+    anchors = spark.createDataFrame([("d:1", [("a", "이름", "글", "통상수용", "까닭", 0.5, ["x", "y"]), ("b", "이름", None, "견적반영", "까닭", 0.25, [])])], kinds)
     req = {r.custom_id: r for r in labeling.requests(samples, anchors).collect()}
-    assert req["d__1"].system == "- [통상수용] a (similarity 0.5000; x)" and req["d__2"].system == ""
+    assert req["d__2"].system == "" and req["d__1"].system.split("\n")[2:4] == ["사례 1 (유사도 0.500 / 공통 어휘: x, y)", "요구사항명: 이름"] and "사례 2 (유사도 0.250 / 공통 어휘: 없음)" in req["d__1"].system
+    fixed = anchors.select(labeling.anchor_block(F.col("anchors"), evidence=False)).first()[0]
+    assert "사례 1 (판정 통상수용)" in fixed and "유사도" not in fixed
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -154,8 +169,12 @@ def test_sources_and_sinks(spark, tmp_path):
     assert {tuple(r) for r in readers.registry_difference(readers.documents(spark, str(tmp_path)), reg, "file_name").collect()} == {("a.md", "unregistered"), ("b.md", "missing")}
     lines = tmp_path / "x.jsonl"
     lines.write_text('{"a":"1","b":""}\n\n{"a":"2","b":"3"}\nnot json\n', encoding="utf-8")
-    got = sorted((r.missing, r.broken) for r in readers.checked_json_lines(spark, str(lines), ("a", "b")).collect())
-    assert got == [([], False), (["a", "b"], True), (["b"], False)]
+    got = sorted((r.line, r.missing, r.broken) for r in readers.checked_json_lines(spark, str(lines), ("a", "b")).collect())
+    assert got == [(1, ["b"], False), (3, [], False), (4, ["a", "b"], True)]
+    with pytest.raises(readers.BadLine, match="x.jsonl:1 missing: b"):
+        readers.require_lines(readers.checked_json_lines(spark, str(lines), ("a", "b")))
+    with pytest.raises(readers.UnregisteredFiles, match="a.md"):
+        readers.require_registered(readers.documents(spark, str(tmp_path)), reg, "file_name")
     with pytest.raises(readers.HashMismatch):
         readers.frozen_json_lines(spark, str(lines), "a string", "0" * 64)
     (tmp_path / "r.csv").write_text("﻿id,note\n1,x\n", encoding="utf-8")
@@ -165,10 +184,10 @@ def test_sources_and_sinks(spark, tmp_path):
         writers.append_new(rows, str(tmp_path / "out"), "k")
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
     path = str(tmp_path / "m.json")
-    writers.manifest(path, {"strategy": "a", "input": {"sample_count": 1}})
-    writers.manifest(path, {"strategy": "a", "input": {"sample_count": 2}})
+    writers.manifest(spark, path, {"strategy": "a", "input": {"sample_count": 1}})
+    writers.manifest(spark, path, {"strategy": "a", "input": {"sample_count": 2}})
     with pytest.raises(writers.ManifestMismatch):
-        writers.manifest(path, {"strategy": "b"})
+        writers.manifest(spark, path, {"strategy": "b"})
     assert readers.row_range(rows, "k", 2, 5).count() == 1
 
 
