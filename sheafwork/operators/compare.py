@@ -66,7 +66,7 @@ def similarity_change(shown: DataFrame, by: str, base: str) -> DataFrame:
 def usage_profile(uses: DataFrame, pool: DataFrame, key: str) -> DataFrame:
     """(anchors, used, unused, most, median): how the uses (key, uses) spread over the pool's anchors."""
     j = pool.select(key).distinct().join(uses.select(key, "uses"), key, "left").na.fill(0, ["uses"])
-    return j.agg(F.count(F.lit(1)).alias("anchors"), F.count_if("uses > 0").alias("used"), F.count_if("uses = 0").alias("unused"), F.max("uses").alias("most"), F.percentile("uses", F.lit(0.5)).alias("median"))
+    return j.agg(F.count(F.lit(1)).alias("anchors"), F.count_if(F.col("uses") > 0).alias("used"), F.count_if(F.col("uses") == 0).alias("unused"), F.max("uses").alias("most"), F.percentile("uses", F.lit(0.5)).alias("median"))
 
 
 def count_of_counts(rows: DataFrame, key: str) -> DataFrame:
@@ -79,7 +79,7 @@ def preview(targets: DataFrame, retrieved: DataFrame) -> DataFrame:
     per = targets.select("target").join(retrieved.groupBy("target").agg(F.count(F.lit(1)).alias("k")), "target", "left").na.fill(0, ["k"])
     shape = per.groupBy("k").agg(F.count(F.lit(1)).alias("n")).select(F.lit("anchors").alias("what"), F.col("k").cast("string").alias("item"), "n")
     labels = retrieved.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.lit("label").alias("what"), F.col("label").alias("item"), "n")
-    empty = per.agg(F.count_if("k = 0").alias("n")).select(F.lit("empty").alias("what"), F.lit("targets").alias("item"), "n")
+    empty = per.agg(F.count_if(F.col("k") == 0).alias("n")).select(F.lit("empty").alias("what"), F.lit("targets").alias("item"), "n")
     return shape.unionByName(labels).unionByName(empty)
 
 

@@ -50,10 +50,10 @@ def dominant(rows: DataFrame, by: str, value: str) -> DataFrame:
     return t.select(by, value, "n", (F.col("n") / F.col("total")).alias("share"))
 
 
-def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
-    """Rows per equal-width bin of [low, high]; the top edge belongs to the last bin."""
+def histogram(rows: DataFrame, value: str, low: float, high: float, bins: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Rows per equal-width bin of [low, high], overall or per group; the top edge belongs to the last bin."""
     b = F.least(F.floor((F.col(value) - low) / ((high - low) / bins)), F.lit(bins - 1)).cast("int")
-    return rows.where(F.col(value).between(low, high)).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.where(F.col(value).between(low, high)).groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def extremes(rows: DataFrame, text: str, key: str, k: int = 5) -> DataFrame:
@@ -86,12 +86,12 @@ def positions(rows: DataFrame, by: str, order: str) -> DataFrame:
     The sort's places are cut by a checkpoint, so a task run again can't give others.
     """
     at = F.monotonically_increasing_id()
-    s = cut(rows.sort(by, order).withColumn("_at", at)).withColumn("_part", F.shiftrightunsigned("_at", 33))
-    sizes = s.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # as many rows as there are partitions
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    s = s.join(F.broadcast(before), "_part").withColumn("_at", F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
-    start = s.groupBy(F.col(by).alias("_of")).agg(F.min("_at").alias("_start"))
-    return s.join(start, F.col(by).eqNullSafe(F.col("_of"))).withColumn("position", F.col("_at") - F.col("_start") + 1).drop("_at", "_part", "_before", "_start", "_of")
+    s = cut(rows.sort(by, order).withColumn("_pos_at", at)).withColumn("_pos_part", F.shiftrightunsigned("_pos_at", 33))
+    sizes = s.groupBy("_pos_part").agg(F.count(F.lit(1)).alias("_pos_n"))  # as many rows as there are partitions
+    before = sizes.withColumn("_pos_before", F.coalesce(F.sum("_pos_n").over(Window.orderBy("_pos_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_pos_n")
+    s = s.join(F.broadcast(before), "_pos_part").withColumn("_pos_at", F.col("_pos_before") + F.col("_pos_at").bitwiseAND(F.lit((1 << 33) - 1)))
+    start = s.groupBy(F.col(by).alias("_pos_of")).agg(F.min("_pos_at").alias("_pos_start"))
+    return s.join(start, F.col(by).eqNullSafe(F.col("_pos_of"))).withColumn("position", F.col("_pos_at") - F.col("_pos_start") + 1).drop("_pos_at", "_pos_part", "_pos_before", "_pos_start", "_pos_of")
 
 
 def edge_rows(rows: DataFrame, by: str, order: str, text: str) -> DataFrame:

@@ -229,20 +229,32 @@ def retrieve(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3, lab
 def cosine_join(rows: DataFrame, threshold: float, min_df: int = 2) -> DataFrame:
     """(left, right, sim), left < right: all pairs of different documents whose character n-gram cosine reaches the threshold. ``rows``: (id, doc, text).
 
-    Exact prefix filter: a vector's commonest terms are left out of the candidate search as long as their own length stays below the threshold; two
-    unit vectors that only share such terms can't reach it. So the hot n-grams make no pairs. Candidates are then scored on all terms.
+    Exact. Terms fall into levels by document frequency (powers of two). A row's own level is the least from which its commoner terms have a length below the threshold; only terms
+    up to it make pairs, so the hot n-grams make none. Of a pair met that way the terms up to the lower of both levels are summed up, and what is left is at most the product
+    of the lengths of both remainders: only pairs that can still reach the threshold are scored on all their terms.
     """
-    n = rows.count()
-    c = term_counts(rows, "id", char_terms(F.col("text")), "char")
-    v = cut(weights(c, idf_of(c, n, min_df), "id").select("id", "term", "df", "w"))
-    rest = Window.partitionBy("id").orderBy(F.desc("df"), F.desc("term")).rowsBetween(Window.unboundedPreceding, 0)
-    lead = v.withColumn("tail", F.sum(F.col("w") * F.col("w")).over(rest)).where(F.col("tail") >= threshold * threshold - 1e-9).select("id", "term")
-    doc = rows.select("id", "doc")
-    a, b = (lead.join(doc, "id").select("term", F.col("id").alias(x), F.col("doc").alias(f"{x}_doc")) for x in ("left", "right"))
-    cand = a.join(b, "term").where((F.col("left") < F.col("right")) & ~F.col("left_doc").eqNullSafe(F.col("right_doc"))).select("left", "right").distinct()
-    l, r = (v.select(F.col("id").alias(x), "term", F.col("w").alias(f"{x}_w")) for x in ("left", "right"))
-    dot = cand.join(l, "left").join(r, ["right", "term"]).groupBy("left", "right").agg(F.sum(F.col("left_w") * F.col("right_w")).alias("sim"))
-    return dot.where(F.col("sim") >= threshold)
+    kept = rows.where("id is not null").select("id", "doc", F.coalesce("text", F.lit("")).alias("text"))
+    n = kept.count()
+    c = kept.select("id", F.explode(char_terms(F.col("text"))).alias("gram")).groupBy("id", F.xxhash64("gram").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
+    raw = c.join(df, "term").select("id", "term", F.ceil(F.log2("df")).cast("int").alias("level"), ((1.0 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("r"))
+    vectors = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.collect_list(F.struct("level", "term", "r")).alias("terms"))
+    top = max(1, n).bit_length() + 1
+    # squared length of the terms above each level; a row has its n-grams only, so its array is bounded by its text
+    above = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(t["level"] > k, t["r"] * t["r"]).otherwise(0.0)) / (F.col("norm") * F.col("norm")))
+    vectors = vectors.withColumn("above", above).join(kept.select("id", "doc"), "id")
+    own = F.array_position(F.transform("above", lambda x: x < threshold * threshold - 1e-9), True).cast("int") - 1
+    vectors = cut(vectors.select("id", "doc", own.alias("own"), F.transform("above", lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))).alias("above"), F.transform("terms", lambda t: F.struct(t["level"].alias("level"), t["term"].alias("term"), (t["r"] / F.col("norm")).alias("w"))).alias("terms")))
+    lead = vectors.select("id", "doc", "own", F.explode(F.filter("terms", lambda t: t["level"] <= F.col("own"))).alias("t")).select("id", "doc", "own", "t.level", "t.term", "t.w")
+    side = lambda x: lead.select("term", "level", *[F.col(k).alias(f"{x}_{k}") for k in ("id", "doc", "own", "w")])
+    met = side("a").join(side("b").drop("level"), "term").where("a_id < b_id and level <= least(a_own, b_own) and not (a_doc <=> b_doc)")
+    met = met.groupBy("a_id", "b_id").agg(F.sum(F.col("a_w") * F.col("b_w")).alias("so_far"), F.first(F.least("a_own", "b_own")).alias("at"))
+    rest = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.col("above").alias(f"{x}_above"))
+    possible = met.join(rest("a"), "a_id").join(rest("b"), "b_id").where(F.col("so_far") + F.element_at("a_above", F.col("at") + 1) * F.element_at("b_above", F.col("at") + 1) >= threshold - 1e-9)
+    possible = cut(possible.select("a_id", "b_id"))
+    words = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.explode("terms").alias("t")).select(f"{x}_id", "t.term", F.col("t.w").alias(f"{x}_w"))
+    dot = possible.join(words("a"), "a_id").join(words("b"), ["b_id", "term"]).groupBy("a_id", "b_id").agg(F.sum(F.col("a_w") * F.col("b_w")).alias("sim"))
+    return dot.where(F.col("sim") >= threshold).select(F.col("a_id").alias("left"), F.col("b_id").alias("right"), "sim")
 
 
 def swept(pairs: DataFrame, rows: DataFrame, thresholds: tuple[float, ...] = (0.9, 0.8, 0.6, 0.5)) -> DataFrame:
