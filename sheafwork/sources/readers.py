@@ -95,7 +95,7 @@ def require_lines(lines: DataFrame) -> DataFrame:
 
 def reviews(spark: SparkSession, path: str) -> DataFrame:
     """CSV with header, the byte order mark off the first name."""
-    d = spark.read.option("header", True).option("multiLine", True).csv(path)
+    d = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     return d.toDF(*[c.lstrip("﻿") for c in d.columns])
 
 
