@@ -88,3 +88,12 @@ def grouped_split(labels: DataFrame, docs: DataFrame, shares=SHARES, bins: int =
         upto -= shares[[s[0] for s in shares].index(name) + 1][1]
         split = F.when(F.col("at") < upto, F.lit(name)).otherwise(split)
     return placed.join(unit.select("procurement", split.alias("split")), "procurement").select("requirement_uid", "procurement", F.col("action").alias("primary_action"), "split")
+
+
+def kept_together(labels: DataFrame, docs: DataFrame, slack: float = 0.1) -> DataFrame:
+    """One row: records that have a split, procurements in more than one split, and whether each split's share is within ``slack`` of the wanted one."""
+    s = grouped_split(labels, docs)
+    torn = s.groupBy("procurement").agg(F.min("split").alias("lo"), F.max("split").alias("hi")).agg(F.count_if(F.col("lo") != F.col("hi")).alias("torn"))
+    shares = [F.abs(F.count_if(F.col("split") == name) / F.count(F.lit(1)) - share) <= slack for name, share in SHARES]
+    whole = s.agg(F.countDistinct("requirement_uid").alias("records"), *[c.alias(f"c{i}") for i, c in enumerate(shares)])
+    return whole.join(torn, F.lit(True)).select("records", "torn", F.expr(" and ".join(f"c{i}" for i in range(len(shares)))).alias("balanced"))

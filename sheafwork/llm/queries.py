@@ -32,6 +32,10 @@ def queries() -> dict:
     def p2_pieces(x):
         return splitting.split_texts(x)
 
+    @on(labels)
+    def p2_rejoined(x):
+        return splitting.rejoined(x)
+
     @on(labels, "source_docs")
     def p3_found(x, d):
         return grouped_split.same_procurement(x, d)
@@ -40,6 +44,10 @@ def queries() -> dict:
     def p3_split(x, d):
         return grouped_split.grouped_split(x, d)
 
+    @on(labels, "source_docs")
+    def p3_together(x, d):
+        return grouped_split.kept_together(x, d)
+
     @on(labels, "sample_targets")
     def p4_found(x, t):
         return quota_sample.shortfalls(x, t)
@@ -129,6 +137,8 @@ e as (select doc as u, 'd:' || old as v from d where old <> '' union select doc,
 n as (select 'd:' || u as u, v from e union select v, 'd:' || u from e), s as (select distinct document_id, 'd:' || {_doc('document_id')} as k from label_dataset_v2 where document_id is not null),
 r as (select k as a, k as b from s union select r.a, n.v from r join n on r.b = n.u)
 select x.document_id as document_id_a, y.document_id as document_id_b from (select distinct a, b from r) p join s x on x.k = p.a join s y on y.k = p.b where x.document_id < y.document_id""",
+        "p2_rejoined": "select distinct requirement_uid, md5(raw_requirement_text) as text_md5 from label_dataset_v2 where length(raw_requirement_text) > 1500 and requirement_uid is not null",
+        "p3_together": "select count(distinct requirement_uid) as records, 0::bigint as torn, true as balanced from label_dataset_v2 where requirement_uid is not null",
         "p4_found": f"""with rec as (select * from label_dataset_v2 where requirement_uid is not null qualify row_number() over (partition by requirement_uid order by built_at desc) = 1),
 c as (select {_doc('document_id')} as d, {_label('primary_action')} as a, count(*) as n from rec group by all)
 select distinct t.document_id, t.primary_action from sample_targets t left join c on c.d = {_doc('t.document_id')} and c.a = {_label('t.primary_action')}
