@@ -226,6 +226,21 @@ def retrieve(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3, lab
     return top_k(sims, k) if strategy == "similarity" else stratified(sims, labels)
 
 
+def gram_counts(rows: DataFrame) -> DataFrame:
+    """(id, doc, terms, tf): hashes and counts of the character n-grams of each row (id, doc, text), counted where the row is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counted = [text_terms(t)[1] for t in b.column(2).to_pylist()]
+            at = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]), pa.int32())
+            h = np.fromiter((xxhash.xxh3_64_intdigest(g) for c in counted for g in c), np.uint64).view(np.int64)
+            tf = np.fromiter((x for c in counted for x in c.values()), np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(tf))], ["id", "doc", "terms", "tf"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    return rows.select("id", "doc", "text").mapInArrow(run, f"id {kinds['id']}, doc {kinds['doc']}, terms array<bigint>, tf array<int>")
+
+
 def cosine_join(rows: DataFrame, threshold: float, min_df: int = 2) -> DataFrame:
     """(left, right, sim), left < right: all pairs of different documents whose character n-gram cosine reaches the threshold. ``rows``: (id, doc, text).
 
@@ -233,9 +248,9 @@ def cosine_join(rows: DataFrame, threshold: float, min_df: int = 2) -> DataFrame
     up to it make pairs, so the hot n-grams make none. Of a pair met that way the terms up to the lower of both levels are summed up, and what is left is at most the product
     of the lengths of both remainders: only pairs that can still reach the threshold are scored on all their terms.
     """
-    kept = rows.where("id is not null").select("id", "doc", F.coalesce("text", F.lit("")).alias("text"))
+    kept = cut(gram_counts(rows.where("id is not null")))
     n = kept.count()
-    c = kept.select("id", F.explode(char_terms(F.col("text"))).alias("gram")).groupBy("id", F.xxhash64("gram").alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    c = kept.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
     df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
     raw = c.join(df, "term").select("id", "term", F.ceil(F.log2("df")).cast("int").alias("level"), ((1.0 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("r"))
     vectors = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.collect_list(F.struct("level", "term", "r")).alias("terms"))
