@@ -226,6 +226,26 @@ def retrieve(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3, lab
     return top_k(sims, k) if strategy == "similarity" else stratified(sims, labels)
 
 
+def anchors_used(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3, labels: tuple[str, ...] = (), terms: int = 5) -> DataFrame:
+    """(target, anchors): what a run records of retrieval, in rank order: key, document, name, text, action, reasoning, similarity to four places, and the terms that add most to it (none for fixed anchors).
+
+    A target without anchors has an empty array. ``pool`` has requirement_name, raw_requirement_text and reasoning beside the columns of ``similarities``.
+    """
+    r = retrieve(targets, pool, strategy, k, labels).select("target", "anchor", "sim", "pos")
+    if strategy == "global":
+        r = r.withColumn("terms", F.array().cast("array<string>"))
+    else:
+        r = cut(r)
+        r = r.join(overlap_terms(targets, pool, r, terms), ["target", "anchor"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    full = r.join(pool.select("anchor", "doc", "label", "requirement_name", "raw_requirement_text", "reasoning"), "anchor")
+    one = F.struct((-F.col("sim")).alias("o"), "pos", F.struct(
+        F.col("anchor").alias("requirement_uid"), F.col("doc").alias("document_id"), "requirement_name", "raw_requirement_text", F.col("label").alias("primary_action"), "reasoning", F.round("sim", 4).alias("similarity"), F.col("terms").alias("overlap_terms")).alias("a"))
+    packed = full.groupBy("target").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["a"]).alias("anchors"))
+    out = targets.select("target").join(packed, "target", "left")
+    empty = F.array().cast(packed.schema["anchors"].dataType)
+    return out.withColumn("anchors", F.coalesce("anchors", empty))
+
+
 def gram_counts(rows: DataFrame) -> DataFrame:
     """(id, doc, terms, tf): hashes and counts of the character n-grams of each row (id, doc, text), counted where the row is."""
 

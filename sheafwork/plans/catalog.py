@@ -127,10 +127,10 @@ def _category_sql(c: str = "requirement_id") -> str:
     return f"case {whens} else '{taxonomy.OTHER_CATEGORY}' end"
 
 
-@query(f"with {REC}, c as (select {_category_sql()} as category, {KEY.format('primary_action')} as action, count(*) as n from rec group by all) select category, action, n, n / sum(n) over (partition by category) as share from c")
+@query(f"with {REC}, c as (select {_category_sql()} as category, {KEY.format('primary_action')} as action, count(*) as n from rec group by all) select category, action, n, n / sum(n) over (partition by category) as share, (sum(n) over (partition by category))::bigint as category_total from c")
 def a17_category_label(s, d):
     r = records(s, d, "requirement_id", "primary_action").select(taxonomy.category(F.col("requirement_id")).alias("category"), key("primary_action").alias("action"))
-    return profile.shares(r, "action", ("category",))
+    return profile.shares(r, "action", ("category",)).withColumn("category_total", F.sum("n").over(Window.partitionBy("category")))
 
 
 @query(f"""with {REC}, c as (select document_id, {_category_sql()} as category, count(*) as n from rec group by all), t as (select *, sum(n) over (partition by document_id) as total, row_number() over (partition by document_id order by n desc, category) as k from c)

@@ -91,6 +91,21 @@ def upsert_reviews(queue: DataFrame, path: str, keys: tuple[str, ...], human: tu
         raise OSError(f"could not write {path}")
 
 
+def write_label_dataset(dataset: DataFrame, folder: str, built_at: str, sources: dict[str, str], order: str = "requirement_uid") -> dict:
+    """The dataset as JSON lines in order of its key (a range sort, as many files as its partitions) and its manifest: rows, hash of the content, counts by column, sources with their hashes, corrections."""
+    from sheafwork.operators.assembly import content_hash, corrections, manifest_counts
+
+    json_lines(dataset.sort(order), f"{folder}/data")
+    whole = content_hash(dataset).first()
+    counts: dict[str, dict] = {}
+    for r in manifest_counts(dataset).collect():
+        counts.setdefault(r["column"], {})[str(r["value"])] = r["n"]
+    corrected = [r.asDict() for r in corrections(dataset).sort(order).limit(REPORT_ROWS).collect()]
+    now = {"built_at": built_at, "row_count": whole["rows"], "content_sha256": whole["sha256"], "sources": sources, "counts": counts, "rule_corrections": corrected}
+    write_text(dataset.sparkSession, f"{folder}/manifest.json", json.dumps(now, ensure_ascii=False, indent=1))
+    return now
+
+
 def write_versions(pool: DataFrame, folder: str) -> None:
     """A pool of several versions as one folder of JSON lines each (``pool.versions``)."""
     pool.write.mode("overwrite").partitionBy("pool_version").json(folder)

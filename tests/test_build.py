@@ -179,6 +179,26 @@ def test_retrieval_plans_agree(spark):
     assert {r.anchor for r in g.collect()} == {"a3"} or {r.anchor for r in g.collect()} <= {"a3", "a0"}
 
 
+def test_anchors_used(spark):
+    p = spark.createDataFrame([("a", "d1", "통상수용", 0, "서버 도입", "이름", "서버 도입", "r"), ("b", "d2", "견적반영", 1, "서버 비용", "이름", "서버 비용", "r")], "anchor string, doc string, label string, pos int, text string, requirement_name string, raw_requirement_text string, reasoning string")
+    t = spark.createDataFrame([("t", "x", "서버 도입 수량"), ("n", "x", "zzz")], "target string, doc string, text string")
+    got = {r.target: r.anchors for r in retrieval.anchors_used(t, p, "similarity").collect()}
+    assert [a.requirement_uid for a in got["t"]] == ["a", "b"] and "서버 도입" in got["t"][0].overlap_terms and got["t"][0].similarity == round(got["t"][0].similarity, 4) and got["n"] == []
+    fixed = {r.target: r.anchors for r in retrieval.anchors_used(t, p, "global").collect()}
+    assert [a.similarity for a in fixed["n"]] == [0.0, 0.0] and fixed["n"][0].overlap_terms == []
+    req = labeling.requests(t.select(F.col("target").alias("requirement_uid"), F.lit("n").alias("requirement_name"), F.col("text").alias("raw_requirement_text")), retrieval.anchors_used(t, p, "global").withColumnRenamed("target", "requirement_uid"))
+    assert "사례 2" in req.first().system
+
+
+def test_label_dataset_is_written_with_its_manifest(spark, tmp_path):
+    req = spark.createDataFrame([(u, "d", None, None, "SFR-001", "기능", "n", "t") for u in ("d:2", "d:1")], "requirement_uid string, " + ", ".join(f"{c} string" for c in assembly.REQUIREMENT_FIELDS))
+    runs_ = assembly.union_runs([("a", "동기", result(spark, ("ok", "d:1", "통상수용", [], "라이선스"), ("ok", "d:2", "통상수용", [], "없음")))])
+    m = writers.write_label_dataset(assembly.assemble(runs_, req, "v2"), str(tmp_path / "ds"), "2026-01-01", {"requirements": "0" * 64})
+    assert m["row_count"] == 2 and m["counts"]["primary_action"] == {"견적반영": 1, "통상수용": 1} and [c["requirement_uid"] for c in m["rule_corrections"]] == ["d:1"]
+    lines = [json.loads(x) for f in sorted((tmp_path / "ds/data").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["requirement_uid"] for x in lines] == ["d:1", "d:2"] and all(len(x) == 21 for x in lines)
+
+
 def test_dense_search_in_blocks(spark):
     import numpy as np
 
