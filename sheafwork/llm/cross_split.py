@@ -1,7 +1,7 @@
 """Problem 5: records of the evaluation splits that are also, exactly or almost, in the training split.
 
-Method: an exact prefix filter on words gives every pair that can reach the overlap, and pairs are checked exactly on their words. Content-defined
-chunks (a rolling hash cuts the normalised records) give the share of a held-out record that stands in a found training record; they decide no pair,
+Method: candidates are word sets that meet in a bucket of the near-duplicate operator (one-permutation hashing, bands, stars), checked exactly on their words. Content-defined
+chunks (a rolling hash cuts the normalised records, their digests are joined across the splits) give the share of a held-out record that stands in a found training record; they decide no pair,
 as edits spread over a text break nearly every chunk.
 """
 
@@ -15,128 +15,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sheafwork.functions.canon import document_key
-from sheafwork.llm.near_dup import profiles
-from sheafwork.llm.pairs import with_overlap
+from sheafwork.llm.near_dup import linked_sets, profiles
 from sheafwork.llm.records import latest_state, record_texts
-from sheafwork.llm.words import distinct_words, fold, hashed_words, list_column, mix, signed
+from sheafwork.llm.words import fold, hashed_words, mix, signed
 from sheafwork.session import cut
 
 MIN_WORDS, MIN_OVERLAP = 10, 0.7
 #: A chunk ends where the rolling hash of the last WINDOW words is 0 modulo MODULUS and it has MIN_CHUNK words, or has MAX_CHUNK.
 WINDOW, MODULUS, MIN_CHUNK, MAX_CHUNK = 2, 4, 2, 64
-#: 64-bit parts of a set's parity map.
-MAP_PARTS = 4
-#: Words whose frequency orders the prefixes (12 bytes each, shipped to the scan); rarer ones go by hash. Any order gives the same pairs.
-MAX_RANKED = 1_000_000
-#: Records with a word for each salt of the word's group, and the most salts.
-SALT_AT, MAX_SALTS = 5_000, 10_000
-#: Bounds are this much looser, against rounding.
-SLACK = 1e-6
 
 
-def parity_maps(offsets: np.ndarray, hashes: np.ndarray, parts: int = MAP_PARTS) -> list[np.ndarray]:
-    """``parts`` columns of 64 bits per (non-empty) set; each word flips one bit. Maps of two sets differ in at most as many bits as words are in one of the sets only."""
-    bit = mix(hashes, 77) % np.uint64(64 * parts)
-    flip = np.uint64(1) << (bit % np.uint64(64))
-    return [np.bitwise_xor.reduceat(np.where(bit // np.uint64(64) == j, flip, np.uint64(0)), offsets[:-1]) for j in range(parts)]
-
-
-class Order:
-    """The common order of all words: unranked ones by hash, then the ranked ones, the commonest last. ``complete``: unranked words are in one record only, so they take up a place but meet nothing."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray, complete: bool) -> None:
-        by = np.argsort(words)
-        self.words, self.complete = words[by], complete
-        self.ranks = (len(words) - by).astype(np.int32)  # given the commonest first
-        self.salts = np.minimum(1 + counts[by] // SALT_AT, MAX_SALTS).astype(np.int32)
-
-    def of(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rank, salts) of word hashes; 0 and 1 for an unranked one."""
-        if not len(self.words):
-            return np.zeros(len(h), np.int64), np.ones(len(h), np.int64)
-        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
-        known = self.words[at] == h
-        return np.where(known, self.ranks[at], 0).astype(np.int64), np.where(known, self.salts[at], 1).astype(np.int64)
-
-
-def word_order(sets: DataFrame, max_ranked: int = MAX_RANKED) -> Order:
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    top = counts.orderBy(F.col("n").desc(), "word").limit(max_ranked + 1).toArrow()
-    kept = top.slice(0, max_ranked)
-    return Order(kept.column("word").to_numpy().astype(np.int32).view(np.uint32), kept.column("n").to_numpy(), top.num_rows <= max_ranked)
-
-
-def prefixes(sets: DataFrame, order: Order, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(record, set_id, size, prefix, salts, m0, m1, ..): the words of each set that a prefix filter needs, rare ones first, and the salts of each one's group, 0 for a word that meets nothing."""
-    maps_of = [f"m{j}" for j in range(MAP_PARTS)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            lists = b.column(2)
-            ends = lists.offsets.to_numpy().astype(np.int64)
-            h = lists.values.to_numpy()[ends[0] : ends[-1]].view(np.uint32)
-            offsets = ends - ends[0]
-            size = np.diff(offsets)
-            own = np.repeat(np.arange(len(size)), size)
-            rank, salts = order.of(h)
-            by = np.lexsort((h, rank, own))
-            keep = np.arange(len(h)) - offsets[own] <= (size - np.ceil(min_overlap * size - SLACK).astype(np.int64))[own]
-            at = np.concatenate([[0], np.cumsum(np.bincount(own[keep], minlength=len(size)))])
-            salted = np.where(rank[by][keep] > 0, salts[by][keep], 0 if order.complete else 1)
-            maps = [pa.array(signed(x)) for x in parity_maps(offsets, h.astype(np.uint64))]
-            cols = [b.column(0), b.column(1), pa.array(size.astype(np.int32)), list_column(at, h[by][keep].view(np.int32), pa.int32()), list_column(at, salted.astype(np.int16), pa.int16()), *maps]
-            yield pa.RecordBatch.from_arrays(cols, ["record", "set_id", "size", "prefix", "salts", *maps_of])
-
-    kinds = "record string, set_id bigint, size int, prefix array<int>, salts array<smallint>, " + ", ".join(f"{m} bigint" for m in maps_of)
-    return sets.select("record", "set_id", "words").mapInArrow(run, kinds)
-
-
-def candidates(train: DataFrame, held: DataFrame, min_overlap: float = MIN_OVERLAP) -> DataFrame:
-    """(a, b): ids of a training and a held-out word set (rows of ``prefixes``); no pair whose overlap reaches ``min_overlap`` is missing.
-
-    Two sets of s and t words that overlap so much share at least m = min_overlap / (1 + min_overlap) * (s + t) words. In any order of all words that both keep, the first
-    shared word has m - 1 shared ones after it in either, so it stands among the first s - ceil(min_overlap * s) + 1; these are joined, with rare words first.
-    A joined pair goes on if its sizes, the words left behind the shared one and the parity maps allow the overlap: all three are bounds, none an estimate.
-    A training set has one salt of each word, by its id, a held-out one all of them: a hot word's group goes to many tasks and each pair still meets once.
-    """
-
-    def side(d: DataFrame, x: str, salt) -> DataFrame:
-        d = d.select("set_id", "size", "salts", F.posexplode("prefix").alias("place", "word"), *[f"m{j}" for j in range(MAP_PARTS)]).withColumn("n", F.element_at("salts", F.col("place") + 1).cast("int")).where("n > 0")
-        return d.withColumn("salt", salt).select("word", "salt", F.col("set_id").alias(x), F.col("size").alias(f"{x}s"), F.col("place").alias(f"{x}p"), *[F.col(f"m{j}").alias(f"{x}{j}") for j in range(MAP_PARTS)])
-
-    t = side(train, "a", F.pmod(F.xxhash64("set_id"), "n").cast("int"))
-    o = side(held, "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    both = F.col("as") + F.col("bs")
-    need = both * (min_overlap / (1 + min_overlap)) - SLACK
-    apart = sum((F.bit_count(F.col(f"a{j}").bitwiseXOR(F.col(f"b{j}"))) for j in range(1, MAP_PARTS)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-    likely = (F.least(F.col("as") - F.col("ap"), F.col("bs") - F.col("bp")) >= need) & (F.least("as", "bs") >= min_overlap * F.greatest("as", "bs") - SLACK) & (apart <= both - 2 * need)
-    return t.join(o, ["word", "salt"]).where(likely).select("a", "b").distinct()
-
-
-def linked(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP) -> tuple[DataFrame, DataFrame]:
     """(links, members): (a, b, overlap) of each training and held-out word set whose overlap reaches ``min_overlap``, also a set with itself; (record, set_id, held).
 
-    Equal word sets are one class per side through all steps. Words are 32-bit hashes; whole sets are shuffled once, to the classes that have candidates, prefixes to one record of each class and side.
+    Equal word sets are one class through all steps; the work grows with the records, as a bucket of m sets gives m - 1 edges. Sets of one side only take part too, as centers of stars.
     """
     profile = cut(profiles(rows.where("record is not null and text is not null"), min_words))
     members = cut(profile.select("record", "set_id").join(splits, "record").distinct())
-    first = members.groupBy("set_id", "held").agg(F.min("record").alias("record")).select("record", "held")
-    once = prefixes(profile, word_order(profile, max_ranked), min_overlap).join(first, "record")  # repeated rows of a record give repeated candidates only
-    cand = cut(candidates(once.where("not held"), once.where("held"), min_overlap))
-    ends = cand.select(F.col("a").alias("set_id")).unionByName(cand.select(F.col("b").alias("set_id"))).distinct()
-    sets = cut(profile.join(ends, "set_id", "left_semi").groupBy("set_id").agg(F.first("words").alias("words")).withColumnRenamed("set_id", "id"))
-    return cut(with_overlap(cand, sets).where(F.col("overlap") >= min_overlap)), members
+    side = members.groupBy("set_id").agg(F.max(~F.col("held")).alias("train"), F.max("held").alias("held"))
+    near = linked_sets(profile, min_overlap)
+    both = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "overlap"))
+    across = both.join(side.where("train").select(F.col("set_id").alias("a")), "a").join(side.where("held").select(F.col("set_id").alias("b")), "b")
+    same = side.where("train and held").select(F.col("set_id").alias("a"), F.col("set_id").alias("b"), F.lit(1.0).alias("overlap"))
+    return cut(across.select("a", "b", "overlap").unionByName(same)), members
 
 
-def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP, max_ranked: int = MAX_RANKED) -> DataFrame:
+def overlaps(rows: DataFrame, splits: DataFrame, min_words: int = MIN_WORDS, min_overlap: float = MIN_OVERLAP) -> DataFrame:
     """(train, held, overlap): every pair of a train record and a validation or test record whose word overlap reaches ``min_overlap``.
 
     ``rows``: (record, text); ``splits``: (record, held). NULLs, texts below ``min_words`` words and records without a split link nothing;
     repeated rows count once; a record in both sides links to itself never.
     """
-    links, members = linked(rows, splits, min_words, min_overlap, max_ranked)
+    links, members = linked(rows, splits, min_words, min_overlap)
     mt = members.where("not held").select(F.col("set_id").alias("a"), F.col("record").alias("train"))
     mh = members.where("held").select(F.col("set_id").alias("b"), F.col("record").alias("held"))
     return links.join(mt, "a").join(mh, "b").where("train <> held").select("train", "held", "overlap").distinct()
