@@ -127,6 +127,17 @@ def _label(c: str) -> str:
     return f"regexp_replace(nfc_normalize({c}), '[^가-힣A-Za-z0-9]', '', 'g')"
 
 
+def _words(c: str) -> str:
+    """SQL of a text's words. NFKC is spelled out as far as a database without it can: canonical composition and the full-width forms of ASCII."""
+    wide, plain = "".join(map(chr, range(0xFF01, 0xFF5F))), "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+    return f"regexp_extract_all(lower(nfc_normalize(translate(regexp_replace({c}, '[\u200b\u200c\u200d\ufeff\u00ad]', '', 'g'), '{wide}', '{plain}'))), '[\\p{{L}}\\p{{N}}]+')"
+
+
+#: SQL of the pairs (a, b), a < b, of one collection ``col`` (u, t) whose word overlap reaches 0.7, from ten words on.
+_OVERLAPS = f"""w as (select distinct u, {_words('t')} as ws from col where u is not null and t is not null), d as (select u, unnest(list_distinct(ws)) as x from w where len(ws) >= 10), n as (select u, count(*) as c from d group by 1),
+k as (select a.u as a, b.u as b, count(*) as m from d a join d b on a.x = b.x and a.u < b.u group by all), pairs as (select a, b from k join n na on na.u = a join n nb on nb.u = b where m / (na.c + nb.c - m) >= 0.7)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Plain SQL on whole tables. The other operators are tested against brute force, round trips and known truth in tests/llm."""
     return {
@@ -139,6 +150,15 @@ r as (select k as a, k as b from s union select r.a, n.v from r join n on r.b =
 select x.document_id as document_id_a, y.document_id as document_id_b from (select distinct a, b from r) p join s x on x.k = p.a join s y on y.k = p.b where x.document_id < y.document_id""",
         "p2_rejoined": "select distinct requirement_uid, md5(raw_requirement_text) as text_md5 from label_dataset_v2 where length(raw_requirement_text) > 1500 and requirement_uid is not null",
         "p3_together": "select count(distinct requirement_uid) as records, 0::bigint as torn, true as balanced from label_dataset_v2 where requirement_uid is not null",
+        "p5_found": f"""with col as (select requirement_uid as u, raw_requirement_text as t from label_dataset_v2), {_OVERLAPS}, sp as (select distinct requirement_uid as u, lower(trim(split)) = 'train' as train from split_assignment where lower(trim(split)) in ('train', 'validation', 'test'))
+select distinct a as requirement_uid_a, b as requirement_uid_b from pairs join sp x on x.u = a join sp y on y.u = b where x.train <> y.train""",
+        "p6_found": f"""with col as (select requirement_uid as u, raw_requirement_text as t from label_dataset_v2 union all select requirement_uid, normalized_requirement_text from anchor_candidates_quote), {_OVERLAPS} select distinct a as requirement_uid_a, b as requirement_uid_b from pairs""",
+        "p8_found": f"""with i as (select distinct item_id, {_words('text')} as w from eval_items where text is not null), d as (select distinct doc_id, {_words('text')} as w from documents where text is not null),
+gi as (select distinct item_id, array_to_string(w[k:k + 11], ' ') as g from (select item_id, w, unnest(generate_series(1, len(w) - 11)) as k from i)), gd as (select distinct doc_id, array_to_string(w[k:k + 11], ' ') as g from (select doc_id, w, unnest(generate_series(1, len(w) - 11)) as k from d))
+select distinct doc_id, item_id from gd join gi using (g)""",
+        # the answer doesn't hang on the tokenizer, so bytes stand for tokens
+        "p9_found": r"""with d as (select nullif(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '') as k, coalesce(strlen(text), 0) as n from documents), b as (select sum(n) as n from d where k is not null), c as (select k, sum(n) as n from d where k is not null group by 1)
+select distinct source from source_weights w left join c on c.k = lower(regexp_replace(w.source, '^\s+|\s+$', '', 'g')), b where coalesce(c.n, 0) * coalesce(max_repeats, 1) < target_share * b.n""",
         "p4_found": f"""with rec as (select * from label_dataset_v2 where requirement_uid is not null qualify row_number() over (partition by requirement_uid order by built_at desc) = 1),
 c as (select {_doc('document_id')} as d, {_label('primary_action')} as a, count(*) as n from rec group by all)
 select distinct t.document_id, t.primary_action from sample_targets t left join c on c.d = {_doc('t.document_id')} and c.a = {_label('t.primary_action')}

@@ -431,3 +431,22 @@ def test_queries_are_registered():
     q = queries.queries()
     assert all(f"p{n}_found" in q for n in range(1, 11)) and set(queries.oracle_sql()) <= set(q)
     assert math.isclose(sum(s for _, s in grouped_split.SHARES), 1)
+
+
+def test_against_sql(spark, data):
+    import glob
+    import os
+
+    import duckdb
+
+    from sheafwork.llm import queries
+
+    c = duckdb.connect()
+    for f in glob.glob(f"{data}/*.parquet"):
+        c.execute(f"create view {os.path.basename(f)[:-8]} as select * from '{f}'")
+    for name, sql in queries.oracle_sql().items():
+        got = queries.queries()[name](spark, data)
+        names = sorted(got.columns)
+        want = c.execute(sql)
+        at = [x[0] for x in want.description]
+        assert names == sorted(at) and rows(got.select(*names)) == sorted((tuple(r[at.index(n)] for n in names) for r in want.fetchall()), key=repr), name
