@@ -87,17 +87,15 @@ def id_mismatches(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("requirement_id").eqNullSafe(F.col("source_requirement_id")))
 
 
-def review_queue(rows: DataFrame, compared: DataFrame) -> DataFrame:
-    """Review fields of every difference between index and records (``extract.reconcile`` by document_id) and of the first, middle, last and longest record of each document.
+def review_queue(rows: DataFrame, different: DataFrame) -> DataFrame:
+    """Review fields of every difference between index and records (``extract.differences`` by document_id and requirement_id) and of the first, middle, last and longest record of each document.
 
     A difference without a record gets a made-up key and the file of the document's first record. Human fields are empty.
     """
-    listed = compared.select("document_id", F.explode(F.array(*[F.struct(F.lit(reason).alias("reason"), F.col(c).alias("ids")) for reason, c in (("index_only", "index_only"), ("detail_only", "detail_only"), ("duplicate_index", "duplicates"))])).alias("x"))
-    listed = listed.select("document_id", "x.reason", F.explode("x.ids").alias("requirement_id"))
     place = ("source_table_index", "source_block_index")
     known = rows.groupBy("document_id", "requirement_id").agg(F.max_by(F.struct("requirement_uid", "source_file", "source_location"), F.struct(*place)).alias("r"))
     file = rows.groupBy("document_id").agg(F.min_by("source_file", F.struct(*place)).alias("file"))
-    j = listed.join(known, ["document_id", "requirement_id"], "left").join(file, "document_id", "left")
+    j = different.select("document_id", "requirement_id", "reason").join(known, ["document_id", "requirement_id"], "left").join(file, "document_id", "left")
     differences = j.select("document_id", F.coalesce("r.requirement_uid", uid(F.col("document_id"), F.col("requirement_id"))).alias("requirement_uid"), "requirement_id", "reason", F.coalesce("r.source_file", "file", F.lit("")).alias("source_file"), F.coalesce("r.source_location", F.lit("")).alias("source_location"))
     order = F.struct(*place, "requirement_uid")
     edges = profile.edge_rows(rows.withColumn("_at", order), "document_id", "_at", "raw_requirement_text").withColumn("requirement_uid", F.col("_at.requirement_uid"))
@@ -107,7 +105,7 @@ def review_queue(rows: DataFrame, compared: DataFrame) -> DataFrame:
 
 
 def audit(rows: DataFrame, documents: DataFrame, compared: DataFrame) -> DataFrame:
-    """One row of counters over records, registered documents (document_id) and their comparison (``extract.apply_policy`` result): the lists of the report are ``audit_lists``."""
+    """One row of counters over records, registered documents (document_id) and their comparison (``extract.resolve``): the lists of the report are ``audit_lists``."""
     blank = lambda c: F.count_if(F.coalesce(F.col(c), F.lit("")) == "")
     r = rows.agg(F.count(F.lit(1)).alias("record_count"), F.countDistinct("document_id").alias("document_count"), blank("requirement_name").alias("missing_name_count"), blank("raw_requirement_text").alias("missing_body_count"))
     twice = profile.duplicate_keys(rows, "requirement_uid").agg(F.count(F.lit(1)).alias("duplicate_uid_count"))

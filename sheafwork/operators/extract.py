@@ -150,21 +150,37 @@ def requirements(cells: DataFrame, key: str) -> DataFrame:
     return identified(blocks(cells, key), key, "table", "block").where("requirement_id is not null")
 
 
-def reconcile(index: DataFrame, detail: DataFrame, doc: str, item: str) -> DataFrame:
-    """Per document: counts, items of one side only, items repeated in the index, whether both agree exactly. Documents of either side only are kept.
-    Without an index nothing is listed and nothing agrees. Only items that differ are gathered into the lists."""
+def differences(index: DataFrame, detail: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, item, reason): items that only the index has (``index_only``), only the detail has (``detail_only``, in documents that have an index), or the index has several times (``duplicate_index``).
+
+    One row each, so a document of any size is no group of one task.
+    """
     i = index.groupBy(doc, item).agg(F.count(F.lit(1)).alias("ni"))
     d = detail.groupBy(doc, item).agg(F.count(F.lit(1)).alias("nd"))
-    j = i.join(d, [doc, item], "full_outer")
-    pick = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col(item))))
-    g = j.groupBy(doc).agg(F.coalesce(F.sum("ni"), F.lit(0)).alias("index_count"), F.coalesce(F.sum("nd"), F.lit(0)).alias("detail_count"),
-                           pick(F.col("nd").isNull()).alias("index_only"), pick(F.col("ni").isNull()).alias("detail_only"), pick(F.col("ni") > 1).alias("duplicates"))
-    g = g.withColumn("detail_only", F.when(F.col("index_count") == 0, F.array().cast("array<string>")).otherwise(F.col("detail_only")))
-    return g.withColumn("exact", (F.col("index_count") > 0) & (F.size("index_only") + F.size("detail_only") + F.size("duplicates") == 0))
-
-
-def apply_policy(compared: DataFrame, accepted: DataFrame, doc: str) -> DataFrame:
-    """Splits the differences into accepted and unresolved by (doc, accepted array<string>)."""
-    j = compared.join(accepted, doc, "left").withColumn("accepted", F.coalesce("accepted", F.array().cast("array<string>")))
-    differences = F.array_union(F.array_union("index_only", "detail_only"), "duplicates")
-    return j.withColumn("unresolved", F.array_except(differences, F.col("accepted"))).withColumn("accepted", F.array_intersect(differences, F.col("accepted"))).withColumn("resolved", F.size("unresolved") == 0)
+    j = i.join(d, [doc, item], "full_outer").join(index.select(F.col(doc).alias("_doc")).distinct(), F.col(doc) == F.col("_doc"), "left")
+    why = F.array(F.when(F.col("nd").isNull(), "index_only"), F.when(F.col("ni").isNull() & F.col("_doc").isNotNull(), "detail_only"), F.when(F.col("ni") > 1, "duplicate_index"))
+    return j.select(doc, item, F.explode(F.array_compact(why)).alias("reason"))
+
+
+def reconcile(index: DataFrame, detail: DataFrame, doc: str, item: str) -> DataFrame:
+    """(doc, index_count, detail_count, index_only, detail_only, duplicate_index, exact): per document the rows of either side, how many items differ in which way, whether both agree exactly.
+
+    Documents of either side only are kept. Without an index nothing differs and nothing agrees. The items themselves are ``differences``.
+    """
+    counts = index.select(doc, F.lit(0).alias("side")).unionByName(detail.select(doc, F.lit(1).alias("side"))).groupBy(doc).agg(*[F.count_if(F.col("side") == i).alias(f"{n}_count") for i, n in enumerate(("index", "detail"))])
+    reasons = ("index_only", "detail_only", "duplicate_index")
+    of = differences(index, detail, doc, item).groupBy(doc).agg(*[F.count_if(F.col("reason") == r).alias(r) for r in reasons])
+    g = counts.join(of, doc, "left").na.fill(0, list(reasons))
+    return g.withColumn("exact", (F.col("index_count") > 0) & (F.col("index_only") + F.col("detail_only") + F.col("duplicate_index") == 0))
+
+
+def apply_policy(different: DataFrame, accepted: DataFrame, doc: str, item: str) -> DataFrame:
+    """The differences with whether they are ``accepted``; ``accepted``: (doc, reason, item)."""
+    yes = accepted.select(doc, "reason", item).distinct().withColumn("accepted", F.lit(True))
+    return different.join(yes, [doc, "reason", item], "left").withColumn("accepted", F.coalesce("accepted", F.lit(False)))
+
+
+def resolve(compared: DataFrame, judged: DataFrame, doc: str) -> DataFrame:
+    """The comparison with the number of ``unresolved`` differences of each document and whether it is ``resolved``: has an index and none is left."""
+    left = judged.where("not accepted").groupBy(doc).agg(F.count(F.lit(1)).alias("unresolved"))
+    return compared.join(left, doc, "left").na.fill(0, ["unresolved"]).withColumn("resolved", F.col("unresolved") == 0)

@@ -12,6 +12,10 @@ from sheafwork.functions.text import is_bullet_line, normalize_common
 from sheafwork.operators.profile import first_n
 
 
+#: Anchors of a pool that is packed into one array.
+MAX_POOL = 5_000
+
+
 def quota_sample(rows: DataFrame, by: str, stratum: str, quotas: dict[str, int], size: int, order: tuple[Column, ...] | None = None, seed: int = 42) -> DataFrame:
     """(.., stage): per ``by`` the quota of each stratum in the order given (default: by hash), then others until ``size`` rows are taken; never more.
 
@@ -78,7 +82,9 @@ def pilot_sample(rows: DataFrame, kind: Column, target: int = 40, nested: int =
 
 
 def random_control(targets: DataFrame, pool: DataFrame, k: int, seed: int = 7) -> DataFrame:
-    """(target, anchor, rank): k anchors of other documents for each target in an order of its own hash, as a control for retrieval. ``targets``: (target, doc); ``pool``: (anchor, doc), of bounded size, whose rows are one array."""
+    """(target, anchor, rank): k anchors of other documents for each target in an order of its own hash, as a control for retrieval. ``targets``: (target, doc); ``pool``: (anchor, doc), of MAX_POOL rows at most (more raise), whose rows are one array."""
+    if pool.limit(MAX_POOL + 1).count() > MAX_POOL:
+        raise ValueError(f"a pool has {MAX_POOL} anchors at most")
     packed = pool.agg(F.array_sort(F.collect_list(F.struct("anchor", "doc"))).alias("pool"))
     t = targets.select("target", F.col("doc").alias("tdoc")).join(packed, F.lit(True))
     others = F.filter("pool", lambda a: ~a["doc"].eqNullSafe(F.col("tdoc")))

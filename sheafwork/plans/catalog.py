@@ -412,23 +412,25 @@ def t10_requirements(s, d):
 
 
 RECONCILED = f"""{REC}, {DOCS}, i as (select {DOC.format('document_id')} as doc, requirement_id as x, count(*) as ni from rec where requirement_id is not null group by all), e as (select {DOC.format('document_id')} as doc, requirement_id as x, count(*) as nd from td group by all),
-j as (select coalesce(i.doc, e.doc) as doc, coalesce(i.x, e.x) as x, ni, nd from i full join e on i.doc = e.doc and i.x = e.x),
-rc as (select doc, coalesce(sum(ni), 0)::bigint as index_count, coalesce(sum(nd), 0)::bigint as detail_count, coalesce(list(x order by x) filter (where nd is null), []) as index_only,
-case when coalesce(sum(ni), 0) = 0 then [] else coalesce(list(x order by x) filter (where ni is null), []) end as detail_only, coalesce(list(x order by x) filter (where ni > 1), []) as duplicates from j group by 1)"""
+j as (select coalesce(i.doc, e.doc) as doc, coalesce(i.x, e.x) as x, ni, nd from i full join e on i.doc = e.doc and i.x = e.x), df as (select doc, x, 'index_only' as reason from j where nd is null union all select doc, x, 'detail_only' from j where ni is null and doc in (select doc from i) union all select doc, x, 'duplicate_index' from j where ni > 1),
+rc as (select doc, coalesce(sum(ni), 0)::bigint as index_count, coalesce(sum(nd), 0)::bigint as detail_count, (select count(*) from df where df.doc = j.doc and reason = 'index_only') as index_only, (select count(*) from df where df.doc = j.doc and reason = 'detail_only') as detail_only,
+(select count(*) from df where df.doc = j.doc and reason = 'duplicate_index') as duplicate_index from j group by doc)"""
 
 
-def _reconciled(s, d):
-    """The identifiers of the label dataset, as the index, against those that stand in the documents."""
+def _index_and_detail(s, d):
+    """The identifiers of the label dataset, as the index, and those that stand in the documents."""
     i = records(s, d, "document_id", "requirement_id").where("requirement_id is not null").select(document_key(F.col("document_id")).alias("doc"), "requirement_id")
-    e = extract.requirements(_cells(s, d), "document_id").select(document_key(F.col("document_id")).alias("doc"), "requirement_id")
-    return extract.reconcile(i, e, "doc", "requirement_id")
+    return i, extract.requirements(_cells(s, d), "document_id").select(document_key(F.col("document_id")).alias("doc"), "requirement_id")
 
 
-@query(f"""with {RECONCILED} select doc, index_count, detail_count, md5(array_to_string(index_only, ',')) as index_only_md5, array_to_string(detail_only, ',') as detail_only, array_to_string(duplicates, ',') as duplicates,
-index_count > 0 and len(index_only) + len(detail_only) + len(duplicates) = 0 as exact from rc""")
+@query(f"with {RECONCILED} select *, index_count > 0 and index_only + detail_only + duplicate_index = 0 as exact from rc")
 def a6_reconcile(s, d):
-    r = _reconciled(s, d)
-    return r.select("doc", "index_count", "detail_count", F.md5(F.array_join("index_only", ",")).alias("index_only_md5"), F.array_join("detail_only", ",").alias("detail_only"), F.array_join("duplicates", ",").alias("duplicates"), "exact")
+    return extract.reconcile(*_index_and_detail(s, d), "doc", "requirement_id")
+
+
+@query(f"with {RECONCILED} select doc, x as requirement_id, reason from df")
+def a6_differences(s, d):
+    return extract.differences(*_index_and_detail(s, d), "doc", "requirement_id")
 
 
 # --- retrieval -------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from sheafwork.functions.canon import document_key, label_key
 from sheafwork.operators import assembly, build, compare, extract, pool, profile, retrieval, rules, runs, sampling, taxonomy
-from sheafwork.plans.catalog import ANS, DOC, DOCS, KEY, KEYS, REC, RECONCILED, SAMPLE, SPACE_SQL, _category_sql, _cells, _display_sql, _map_sql, _reconciled, _sample, _targets, _TGT, _vec_sql, a14_majority_vote, answers, key, query, records
+from sheafwork.plans.catalog import ANS, DOC, DOCS, KEY, KEYS, REC, RECONCILED, SAMPLE, SPACE_SQL, _category_sql, _display_sql, _index_and_detail, _map_sql, _sample, _targets, _TGT, _vec_sql, a14_majority_vote, answers, key, query, records
 from sheafwork.session import table
 from sheafwork.sources import readers
 
@@ -197,25 +197,32 @@ def _anchor_records(s, d):
     return a.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 
-def _policy(s, d):
-    """The comparison of index and documents; a document's repeated index entries are accepted."""
-    r = _reconciled(s, d).withColumnRenamed("doc", "document_id")
-    return extract.apply_policy(r, r.select("document_id", F.col("duplicates").alias("accepted")), "document_id")
+def _judged(s, d):
+    """The differences of index and documents; a document's repeated index entries are accepted, also where they are in the index only."""
+    both = extract.differences(*_index_and_detail(s, d), "doc", "requirement_id").withColumnRenamed("doc", "document_id")
+    twice = both.where("reason = 'duplicate_index'").select("document_id", "requirement_id")
+    accepted = twice.withColumn("reason", F.explode(F.array(F.lit("duplicate_index"), F.lit("index_only"))))
+    return extract.apply_policy(both, accepted, "document_id", "requirement_id")
+
+
+@query(f"with {RECONCILED} select doc as document_id, x as requirement_id, reason, reason = 'duplicate_index' or reason = 'index_only' and (doc, x) in (select (doc, x) from df where reason = 'duplicate_index') as accepted from df")
+def a7_policy(s, d):
+    return _judged(s, d)
 
 
 @query(f"""with {RECONCILED}, {_ANCHORS}, one as (select count(*) as record_count, count(distinct document_id) as document_count, count(*) filter (where coalesce(requirement_name, '') = '') as missing_name_count, count(*) filter (where coalesce(raw_requirement_text, '') = '') as missing_body_count from an),
-c as (select *, index_count > 0 and len(index_only) + len(detail_only) + len(duplicates) = 0 as exact, len(list_filter(list_concat(index_only, detail_only), lambda x: not list_contains(duplicates, x))) = 0 as resolved from rc)
+c as (select *, index_count > 0 and index_only + detail_only + duplicate_index = 0 as exact, doc not in (select doc from df a where reason <> 'duplicate_index' and not (reason = 'index_only' and (doc, x) in (select (doc, x) from df where reason = 'duplicate_index'))) as resolved from rc)
 select one.*, 0::bigint as duplicate_uid_count, (select count(*) from (select distinct document_id from source_docs where document_id is not null) x where document_id not in (select document_id from an where document_id is not null)) as empty_document_count,
 (select count(*) from c where exact) as index_exact_match_document_count, (select count(*) from c where index_count > 0 and not exact) as index_mismatch_document_count, (select count(*) from c where index_count > 0 and not exact and resolved) as index_policy_resolved_document_count,
 (select count(*) from c where index_count > 0 and not resolved) as unresolved_index_mismatch_document_count, (select count(*) from c where index_count = 0) as document_without_index_count from one""")
 def a8_audit(s, d):
-    return build.audit(_anchor_records(s, d), table(s, d, "source_docs").where("document_id is not null"), _policy(s, d))
+    compared = extract.reconcile(*_index_and_detail(s, d), "doc", "requirement_id").withColumnRenamed("doc", "document_id")
+    return build.audit(_anchor_records(s, d), table(s, d, "source_docs").where("document_id is not null"), extract.resolve(compared, _judged(s, d), "document_id"))
 
 
-@query(f"""with {RECONCILED} select 'index_only' as reason, sum(len(index_only))::bigint as n from rc having sum(len(index_only)) > 0 union all select 'detail_only', sum(len(detail_only))::bigint from rc having sum(len(detail_only)) > 0 union all select 'duplicate_index', sum(len(duplicates))::bigint from rc having sum(len(duplicates)) > 0
-union all select unnest(['document_first', 'document_middle', 'document_last', 'document_longest']), count(distinct document_id) from anchor_candidates_quote where requirement_uid is not null""")
+@query(f"""with {RECONCILED} select reason, count(*) as n from df group by 1 union all select unnest(['document_first', 'document_middle', 'document_last', 'document_longest']), count(distinct document_id) from anchor_candidates_quote where requirement_uid is not null""")
 def j2_review_queue(s, d):
-    queue = build.review_queue(_anchor_records(s, d), _reconciled(s, d).withColumnRenamed("doc", "document_id"))
+    queue = build.review_queue(_anchor_records(s, d), _judged(s, d))
     return profile.counts(queue, "reason")
 
 

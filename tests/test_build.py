@@ -42,12 +42,14 @@ def test_records_queue_and_audit(spark):
     assert len(r[0]) == 17 and r[0].source_location == "markdown_line:2" and r[0].agency is None and len(r[0].source_sha256) == 64
     rows = build.records(d, "v9").cache()
     index = spark.createDataFrame([("incheon_airport_digital_work", x) for x in ("CUR-CM-001", "SER-002", "SER-002", "SFR-999")], "document_id string, requirement_id string")
-    compared = extract.reconcile(index, rows.select("document_id", "requirement_id"), "document_id", "requirement_id")
-    q = {(x.reason, x.requirement_id): x for x in build.review_queue(rows, compared).collect()}
+    both = (index, rows.select("document_id", "requirement_id"), "document_id", "requirement_id")
+    different = extract.differences(*both)
+    q = {(x.reason, x.requirement_id): x for x in build.review_queue(rows, different).collect()}
     assert {k for k in q if not k[0].startswith("document")} == {("index_only", "SFR-999"), ("detail_only", "SER-003"), ("duplicate_index", "SER-002")}
     assert q["index_only", "SFR-999"].requirement_uid == "incheon_airport_digital_work:SFR-999" and q["index_only", "SFR-999"].source_file == "a.md" and q["index_only", "SFR-999"].source_location == ""
     assert {k for k in q if k[0].startswith("document")} == {("document_first", "CUR-CM-001"), ("document_middle", "SER-002"), ("document_last", "SER-003"), ("document_longest", "SER-002")}
-    policy = extract.apply_policy(compared, spark.createDataFrame([("incheon_airport_digital_work", ["SER-002", "SER-003"])], "document_id string, accepted array<string>"), "document_id")
+    accepted = spark.createDataFrame([("incheon_airport_digital_work", "duplicate_index", "SER-002"), ("incheon_airport_digital_work", "detail_only", "SER-003")], "document_id string, reason string, requirement_id string")
+    policy = extract.resolve(extract.reconcile(*both), extract.apply_policy(different, accepted, "document_id", "requirement_id"), "document_id")
     a = build.audit(rows, d, policy).first()
     assert (a.record_count, a.missing_name_count, a.missing_body_count, a.duplicate_uid_count, a.empty_document_count, a.index_mismatch_document_count, a.unresolved_index_mismatch_document_count) == (3, 0, 1, 0, 2, 1, 1)
     listed = {(x.list, x.item) for x in build.audit_lists(rows, d, policy).collect()}
