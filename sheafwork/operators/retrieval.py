@@ -140,9 +140,11 @@ class PoolIndex:
         return total / np.sqrt(np.maximum(1, own) * np.maximum(1, self.blocks))
 
 
-def similarities(targets: DataFrame, pool: DataFrame, most_rows: int = MAX_POOL_ROWS) -> DataFrame:
+def similarities(targets: DataFrame, pool: DataFrame, most_rows: int = MAX_POOL_ROWS, best: int | None = None) -> DataFrame:
     """(target, anchor, label, pos, sim): cosine of the joint vectors, positive ones only, never within one document (NULL documents count as equal).
 
+    With ``best`` a small pool gives the most similar anchors of each target, so many, and the most similar of each label only: what ``top_k`` and ``stratified`` look at.
+
     ``targets``: (target, doc, text); ``pool``: (anchor, doc, label, pos, text). A pool of a checked small size is indexed and scored per Arrow batch of targets, without
     any shuffle; a larger one is joined term by term. A joint vector has length sqrt(number of its non-empty blocks).
     """
@@ -152,6 +154,8 @@ def similarities(targets: DataFrame, pool: DataFrame, most_rows: int = MAX_POOL_
     index, docs = PoolIndex([r.text for r in kept]), [r.doc for r in kept]
     code = {d: i for i, d in enumerate(dict.fromkeys(docs))}
     own = np.array([code[d] for d in docs], np.int64)
+    place = np.array([r.pos for r in kept], np.int64)
+    kind = np.unique([r.label or "" for r in kept], return_inverse=True)[1] if kept else own
     names = pa.array([r.anchor for r in kept], pa.string()), pa.array([r.label for r in kept], pa.string()), pa.array([r.pos for r in kept], pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,6 +166,9 @@ def similarities(targets: DataFrame, pool: DataFrame, most_rows: int = MAX_POOL_
                 for i in range(begin, min(begin + 256, b.num_rows)):
                     s = index.cosines(text[i])
                     at = np.flatnonzero((s > 0) & (own != code.get(doc[i], -1)))
+                    if best is not None:
+                        at = at[np.lexsort((place[at], -s[at]))]
+                        at = at[np.union1d(np.arange(min(best, len(at))), np.unique(kind[at], return_index=True)[1])]
                     who.append(np.full(len(at), i)), hit.append(at), sims.append(s[at])
                 at = pa.array(np.concatenate(hit).astype(np.int64))
                 cols = [b.column(0).take(pa.array(np.concatenate(who).astype(np.int64))), *[c.take(at) for c in names], pa.array(np.concatenate(sims))]
@@ -222,7 +229,7 @@ def retrieve(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3, lab
         raise ValueError(f"unknown strategy {strategy!r}")
     if strategy == "global":
         return global_anchors(targets, pool)
-    sims = similarities(targets, pool)
+    sims = similarities(targets, pool, best=k if strategy == "similarity" else 2 * len(labels))
     return top_k(sims, k) if strategy == "similarity" else stratified(sims, labels)
 
 
