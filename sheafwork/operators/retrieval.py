@@ -83,29 +83,46 @@ def text_terms(text: str | None) -> tuple[Counter, Counter]:
     """Counts of the word terms and of the character terms of a text: what ``word_terms`` and ``char_terms`` give."""
     low = (text or "").lower()
     w = _WORDS.findall(low)
-    chars: list[str] = []
-    for word in filter(None, _SPACES.split(low)):
-        p = f" {word} "
-        n = len(p)
-        for i, size in enumerate(CHAR_SIZES):
-            if not i or n > CHAR_SIZES[i - 1]:
-                chars += [p[k : k + size] for k in range(max(1, n - size + 1))]
+    chars = [g for word in _SPACES.split(low) if word for g in word_grams(word)]
     return Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])]), Counter(chars)
 
 
+def word_grams(word: str) -> list[str]:
+    """Character n-grams of a word padded by a blank on either side, as ``char_terms`` gives them."""
+    p = f" {word} "
+    n = len(p)
+    return [p[k : k + size] for i, size in enumerate(CHAR_SIZES) if not i or n > CHAR_SIZES[i - 1] for k in range(max(1, n - size + 1))]
+
+
+class _Grams(dict):
+    """Pool positions of the n-grams of a word; forgotten when there are very many words, so memory stays bounded."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = np.array([self.known[g] for g in word_grams(word) if g in self.known], np.int64)
+        return out
+
+    def __reduce__(self):
+        return _Grams, (self.known,)
+
+
 class PoolIndex:
-    """Inverted index of a small pool: postings (anchor, weight) of each hashed term of the two blocks."""
+    """Inverted index of a small pool: postings (anchor, weight) of each term of the two blocks, words and pairs of words, and n-grams."""
 
     def __init__(self, texts: list[str | None]) -> None:
         n = len(texts)
         counted = [text_terms(t) for t in texts]
         self.blocks = np.array([sum(bool(c) for c in two) for two in counted])
-        self.terms, self.idf, self.begin, self.anchor, self.weight = [], [], [], [], []
+        self.known, self.idf, self.begin, self.anchor, self.weight = [], [], [], [], []
         for b in range(2):
             df = Counter(t for two in counted for t in two[b])
-            names = sorted(df, key=lambda t: xxhash.xxh3_64_intdigest(t))
-            at = {t: i for i, t in enumerate(names)}
-            idf = np.log((1.0 + n) / (1.0 + np.array([df[t] for t in names], float))) + 1.0 if names else np.zeros(0)
+            at = {t: i for i, t in enumerate(df)}
+            idf = np.log((1.0 + n) / (1.0 + np.array(list(df.values()), float))) + 1.0 if df else np.zeros(0)
             rows = []
             for i, two in enumerate(counted):
                 ids = np.array([at[t] for t in two[b]], np.int64)
@@ -113,29 +130,38 @@ class PoolIndex:
                 rows.append((ids, np.full(len(ids), i), w / (np.sqrt(w @ w) or 1.0)))
             ids, who, w = (np.concatenate([r[k] for r in rows]) if rows else np.zeros(0) for k in range(3))
             order = np.argsort(ids, kind="stable")
-            self.terms.append(np.array([xxhash.xxh3_64_intdigest(t) for t in names], np.uint64))
+            self.known.append(at)
             self.idf.append(idf)
-            self.begin.append(np.searchsorted(ids[order], np.arange(len(names) + 1)))
+            self.begin.append(np.searchsorted(ids[order], np.arange(len(at) + 1)))
             self.anchor.append(who[order].astype(np.int64))
             self.weight.append(w[order])
+        self.grams = _Grams(self.known[1])
+
+    def _found(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the terms of a text that the pool has, with repeats, in either block. A pair of words is there only if both words are."""
+        low = (text or "").lower()
+        known = self.known[0]
+        w = _WORDS.findall(low)
+        own = [known.get(x, -1) for x in w]
+        pairs = [known.get(f"{a} {b}", -1) for a, b, x, y in zip(w, w[1:], own, own[1:]) if x >= 0 and y >= 0]
+        chars = [self.grams[x] for x in _SPACES.split(low) if x]
+        words = np.array(own + pairs, np.int64)
+        return words[words >= 0], np.concatenate(chars) if chars else words[:0]
 
     def cosines(self, text: str | None) -> np.ndarray:
         """Cosine of the joint vectors of a text and every anchor."""
         total, own = np.zeros(len(self.blocks)), 0
-        for b, counts in enumerate(text_terms(text)):
-            h = np.fromiter((xxhash.xxh3_64_intdigest(t) for t in counts), np.uint64, len(counts))
-            if not len(h) or not len(self.terms[b]):
-                continue
-            at = np.minimum(np.searchsorted(self.terms[b], h), len(self.terms[b]) - 1)
-            known = self.terms[b][at] == h
-            at, tf = at[known], np.fromiter(counts.values(), float, len(counts))[known]
-            if not len(at):
+        for b, ids in enumerate(self._found(text)):
+            if not len(ids):
                 continue
             own += 1
-            w = (1 + np.log(tf)) * self.idf[b][at]
+            tf = np.bincount(ids, minlength=0)
+            at = np.flatnonzero(tf)
+            w = (1 + np.log(tf[at])) * self.idf[b][at]
             w /= np.sqrt(w @ w)
-            size = self.begin[b][at + 1] - self.begin[b][at]
-            pos = np.repeat(self.begin[b][at] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+            begin = self.begin[b][at]
+            size = self.begin[b][at + 1] - begin
+            pos = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
             total += np.bincount(self.anchor[b][pos], self.weight[b][pos] * np.repeat(w, size), len(total))
         return total / np.sqrt(np.maximum(1, own) * np.maximum(1, self.blocks))
 
