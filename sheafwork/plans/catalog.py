@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sheafwork.functions import text as T
-from sheafwork.functions.canon import document_key, label_key
+from sheafwork.functions.canon import canonical_label, document_key, label_key
 from sheafwork.operators import compare, extract, profile, retrieval, rules, runs, sampling, taxonomy
 from sheafwork.session import table
 
@@ -500,7 +500,7 @@ def _label_rows(s, d):
     """(id, doc, label, name, text): the latest state of every record of the label dataset that has a text; ``doc`` in one spelling, ``label`` as in rules.ACTIONS or NULL."""
     x = table(s, d, "label_dataset_v2").where("requirement_uid is not null")
     x = x.groupBy(F.col("requirement_uid").alias("id")).agg(F.max(F.struct("built_at", "document_id", "primary_action", "requirement_name", "raw_requirement_text")).alias("s"))
-    label = F.coalesce(*[F.when(label_key(F.col("s.primary_action")) == label_key(F.lit(a)), a) for a in rules.ACTIONS])
+    label = canonical_label(F.col("s.primary_action"), rules.ACTIONS)
     return x.select("id", document_key(F.col("s.document_id")).alias("doc"), label.alias("label"), F.coalesce("s.requirement_name", F.lit("")).alias("name"), F.col("s.raw_requirement_text").alias("text")).where("text is not null")
 
 

@@ -106,7 +106,7 @@ def load(spark, *lines):
     return pool.checked(pool.from_lines(spark.createDataFrame([(x,) for x in lines], "value string")))
 
 
-def test_anchor_pool(spark):
+def test_anchor_pool(spark, tmp_path):
     ok = load(spark, anchor(), " ", anchor(requirement_uid="d:2", review_status="후보"))
     assert [r.requirement_uid for r in ok.collect()] == ["d:1"]
     for lines, why in [((anchor(pool_version="v2"), anchor()), "several versions"), ((anchor(), anchor()), "repeated"), ((anchor(primary_action="x"),), "unknown primary_action"), ((anchor(review_status="x"),), "unknown review_status"), ((anchor(reasoning=""),), "missing fields: reasoning"), (("{",), "no JSON object"), ((anchor(review_status="후보"),), "no reviewed"), ((" ",), "empty pool")]:
@@ -118,6 +118,8 @@ def test_anchor_pool(spark):
     three = spark.createDataFrame([("a", None, ""), ("b", "late", ""), ("c", "x", "")], "requirement_uid string, source_run string, pool_version string")
     got = {(r.pool_version, r.requirement_uid) for r in pool.versions(three, three.where("requirement_uid = 'b'"), "late").collect()}
     assert got == {("v1", "b"), ("v2", "a"), ("v2", "c"), ("v3", "a"), ("v3", "b"), ("v3", "c")}
+    writers.write_versions(pool.versions(three, three.where("requirement_uid = 'b'"), "late"), str(tmp_path / "pools"))
+    assert sorted(p.name for p in (tmp_path / "pools").glob("pool_version=*")) == [f"pool_version=v{i}" for i in (1, 2, 3)]
 
 
 def test_samplers(spark):
@@ -236,6 +238,8 @@ def test_batch_answers(spark):
     got = {r.requirement_uid: r for r in labeling.parse_batch(spark.createDataFrame([(x,) for x in lines], "value string")).collect()}
     assert {u: (r.status, r.error_type) for u, r in got.items()} == {"d:1": ("ok", None), "d:2": ("error", "EmptyOutput"), "d:3": ("error", "NoObject"), "d:4": ("error", "ValidationError"), "d:5": ("error", "BatchError"), "d:6": ("error", "ValidationError")}
     assert got["d:1"].usage.input_tokens == 5 and got["d:4"].error.startswith("cost_basis") and "extra:extra" in got["d:6"].error and got["d:5"].error == "late"
+    info = labeling.batch_info(spark.createDataFrame([("d__1", "d:1")], "custom_id string, requirement_uid string"), "b7").first()
+    assert tuple(info) == ("b7", "d__1", "d:1")
     samples = spark.createDataFrame([("d:1",)], "requirement_uid string")
     m = labeling.run_manifest(samples, "x", "global", {"schema_version": "v2"}, {"model": "m"}, {"pool_version": "v1"})
     assert m["input"]["sample_count"] == 1 and m["anchoring"]["retriever"]["same_document_masking"]
