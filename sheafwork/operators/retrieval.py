@@ -9,12 +9,12 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import regex
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sheafwork.functions.text import compact
+from sheafwork.functions.text import BLANKS, compact
+from sheafwork.operators.cosine import cosine_join  # noqa: F401
 from sheafwork.session import cut
 
 STRATEGIES = ("similarity", "stratified", "global")
@@ -73,10 +73,8 @@ def _vectors(targets: DataFrame, pool: DataFrame) -> tuple[DataFrame, DataFrame]
     return weights(counted(targets, "target"), idf, "target"), weights(p, idf, "anchor")
 
 
-#: The same white space as of the column functions, as characters.
-_BLANKS = "".join(chr(c) for c in (9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 _WORDS = regex.compile(r"[\p{L}\p{N}_]{2,}")
-_SPACES = regex.compile("[" + _BLANKS + "]+")
+_SPACES = regex.compile("[" + BLANKS + "]+")
 
 
 def text_terms(text: str | None) -> tuple[Counter, Counter]:
@@ -279,52 +277,6 @@ def anchors_used(targets: DataFrame, pool: DataFrame, strategy: str, k: int = 3,
     return out.withColumn("anchors", F.coalesce("anchors", empty))
 
 
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(id, doc, terms, tf): hashes and counts of the character n-grams of each row (id, doc, text), counted where the row is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            counted = [text_terms(t)[1] for t in b.column(2).to_pylist()]
-            at = pa.array(np.concatenate([[0], np.cumsum([len(c) for c in counted])]), pa.int32())
-            h = np.fromiter((xxhash.xxh3_64_intdigest(g) for c in counted for g in c), np.uint64).view(np.int64)
-            tf = np.fromiter((x for c in counted for x in c.values()), np.int32)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.ListArray.from_arrays(at, pa.array(h)), pa.ListArray.from_arrays(at, pa.array(tf))], ["id", "doc", "terms", "tf"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return rows.select("id", "doc", "text").mapInArrow(run, f"id {kinds['id']}, doc {kinds['doc']}, terms array<bigint>, tf array<int>")
-
-
-def cosine_join(rows: DataFrame, threshold: float, min_df: int = 2) -> DataFrame:
-    """(left, right, sim), left < right: all pairs of different documents whose character n-gram cosine reaches the threshold. ``rows``: (id, doc, text).
-
-    Exact. Terms fall into levels by document frequency (powers of two). A row's own level is the least from which its commoner terms have a length below the threshold; only terms
-    up to it make pairs, so the hot n-grams make none. Of a pair met that way the terms up to the lower of both levels are summed up, and what is left is at most the product
-    of the lengths of both remainders: only pairs that can still reach the threshold are scored on all their terms.
-    """
-    kept = cut(gram_counts(rows.where("id is not null")))
-    n = kept.count()
-    c = kept.select("id", F.explode(F.arrays_zip("terms", "tf")).alias("x")).select("id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
-    df = c.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    raw = c.join(df, "term").select("id", "term", F.ceil(F.log2("df")).cast("int").alias("level"), ((1.0 + F.log("tf")) * (F.log((1.0 + n) / (1.0 + F.col("df"))) + 1.0)).alias("r"))
-    vectors = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("r") * F.col("r"))).alias("norm"), F.collect_list(F.struct("level", "term", "r")).alias("terms"))
-    top = max(1, n).bit_length() + 1
-    # squared length of the terms above each level; a row has its n-grams only, so its array is bounded by its text
-    above = F.transform(F.sequence(F.lit(0), F.lit(top)), lambda k: F.aggregate("terms", F.lit(0.0), lambda s, t: s + F.when(t["level"] > k, t["r"] * t["r"]).otherwise(0.0)) / (F.col("norm") * F.col("norm")))
-    vectors = vectors.withColumn("above", above).join(kept.select("id", "doc"), "id")
-    own = F.array_position(F.transform("above", lambda x: x < threshold * threshold - 1e-9), True).cast("int") - 1
-    vectors = cut(vectors.select("id", "doc", own.alias("own"), F.transform("above", lambda x: F.sqrt(F.greatest(x, F.lit(0.0)))).alias("above"), F.transform("terms", lambda t: F.struct(t["level"].alias("level"), t["term"].alias("term"), (t["r"] / F.col("norm")).alias("w"))).alias("terms")))
-    lead = vectors.select("id", "doc", "own", F.explode(F.filter("terms", lambda t: t["level"] <= F.col("own"))).alias("t")).select("id", "doc", "own", "t.level", "t.term", "t.w")
-    side = lambda x: lead.select("term", "level", *[F.col(k).alias(f"{x}_{k}") for k in ("id", "doc", "own", "w")])
-    met = side("a").join(side("b").drop("level"), "term").where("a_id < b_id and level <= least(a_own, b_own) and not (a_doc <=> b_doc)")
-    met = met.groupBy("a_id", "b_id").agg(F.sum(F.col("a_w") * F.col("b_w")).alias("so_far"), F.first(F.least("a_own", "b_own")).alias("at"))
-    rest = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.col("above").alias(f"{x}_above"))
-    possible = met.join(rest("a"), "a_id").join(rest("b"), "b_id").where(F.col("so_far") + F.element_at("a_above", F.col("at") + 1) * F.element_at("b_above", F.col("at") + 1) >= threshold - 1e-9)
-    possible = cut(possible.select("a_id", "b_id"))
-    words = lambda x: vectors.select(F.col("id").alias(f"{x}_id"), F.explode("terms").alias("t")).select(f"{x}_id", "t.term", F.col("t.w").alias(f"{x}_w"))
-    dot = possible.join(words("a"), "a_id").join(words("b"), ["b_id", "term"]).groupBy("a_id", "b_id").agg(F.sum(F.col("a_w") * F.col("b_w")).alias("sim"))
-    return dot.where(F.col("sim") >= threshold).select(F.col("a_id").alias("left"), F.col("b_id").alias("right"), "sim")
-
-
 def swept(pairs: DataFrame, rows: DataFrame, thresholds: tuple[float, ...] = (0.9, 0.8, 0.6, 0.5)) -> DataFrame:
     """(threshold, rows, share): how many rows (id) have a partner at each threshold. ``pairs``: (left, right, sim)."""
     best = nearest(pairs).select("sim")
@@ -335,7 +287,8 @@ def swept(pairs: DataFrame, rows: DataFrame, thresholds: tuple[float, ...] = (0.
 
 def both_ways(pairs: DataFrame) -> DataFrame:
     """(id, other, sim): each unordered pair from either side."""
-    return pairs.select(F.col("left").alias("id"), F.col("right").alias("other"), "sim").unionByName(pairs.select(F.col("right").alias("id"), F.col("left").alias("other"), "sim"))
+    side = lambda x, y: F.struct(F.col(x).alias("id"), F.col(y).alias("other"), "sim")
+    return pairs.select(F.explode(F.array(side("left", "right"), side("right", "left"))).alias("x")).select("x.*")  # no union: pairs are made once
 
 
 def nearest(pairs: DataFrame) -> DataFrame:
