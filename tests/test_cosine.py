@@ -9,6 +9,7 @@ from collections import Counter
 import pytest
 
 from sheafwork.operators import cosine, retrieval
+from sheafwork.plans import catalog
 
 ODD = [None, "", " ", "a", "ab", "a　b c", "İ x", "\U0001f600 \U0001f600\U0001f600", "별첨 참조", "별첨  참조\n", "추후 협의하여 확정"]
 
@@ -85,3 +86,11 @@ def test_join_of_no_rows_and_of_texts_without_terms(spark):
     assert retrieval.cosine_join(spark.createDataFrame([(1, "a", ""), (2, "b", None), (None, "c", "abc")], kind), 0.5).count() == 0
     got = retrieval.cosine_join(spark.createDataFrame([(2, "a", "abc"), (1, None, "abc"), (3, None, "abc"), (4, "b", "xyz")], kind), 0.5).collect()
     assert {(r.left, r.right) for r in got} == {(1, 2), (2, 3)}  # NULL documents count as equal
+
+
+def test_x12_label_pairs_shuffles_no_pairs(spark, data, frame, rows, monkeypatch):
+    monkeypatch.setattr(cosine, "TERMS", 40)
+    want = brute(rows, 0.6)
+    assert {(r.left, r.right) for r in retrieval.cosine_join(frame, 0.6).collect()} == set(want)
+    made = plan(catalog.queries()["x12_label_pairs"](spark, data))
+    assert made.count("CartesianProduct") == 1 and "Exchange" not in made
