@@ -94,3 +94,8 @@ def test_x12_label_pairs_shuffles_no_pairs(spark, data, frame, rows, monkeypatch
     assert {(r.left, r.right) for r in retrieval.cosine_join(frame, 0.6).collect()} == set(want)
     made = plan(catalog.queries()["x12_label_pairs"](spark, data))
     assert made.count("CartesianProduct") == 1 and "Exchange" not in made
+
+
+def test_o9_most_similar_makes_the_pairs_once(spark, data):
+    made = plan(catalog.queries()["o9_most_similar"](spark, data))
+    assert made.count("CartesianProduct") == 1 and "SortMergeJoin" not in made and "TakeOrdered" in made
