@@ -99,3 +99,12 @@ def test_x12_label_pairs_shuffles_no_pairs(spark, data, frame, rows, monkeypatch
 def test_o9_most_similar_makes_the_pairs_once(spark, data):
     made = plan(catalog.queries()["o9_most_similar"](spark, data))
     assert made.count("CartesianProduct") == 1 and "SortMergeJoin" not in made and "TakeOrdered" in made
+
+
+def test_a29_pair_agreement_makes_the_pairs_once(spark, frame, rows):
+    want, label = brute(rows, 0.5), {i: len(t or "") % 3 for i, _, t in rows}
+    pairs = retrieval.cosine_join(frame, 0.5)
+    agreed = retrieval.label_agreement(pairs, spark.createDataFrame(list(label.items()), "id string, label int"))
+    assert plan(agreed).count("CartesianProduct") == 1
+    got = agreed.first()
+    assert got.pairs == len(want) and abs(got.agree - sum(label[a] == label[b] for a, b in want) / len(want)) < 1e-12
