@@ -108,3 +108,13 @@ def test_a29_pair_agreement_makes_the_pairs_once(spark, frame, rows):
     assert plan(agreed).count("CartesianProduct") == 1
     got = agreed.first()
     assert got.pairs == len(want) and abs(got.agree - sum(label[a] == label[b] for a, b in want) / len(want)) < 1e-12
+
+
+def test_w8_nearest_neighbour_makes_the_pairs_once(frame, rows):
+    best = {}
+    for (a, b), s in sorted(brute(rows, 0.5).items()):
+        for x, y in ((a, b), (b, a)):
+            best[x] = min(best.get(x, (0, "~")), (-round(s, 6), y))
+    near = retrieval.nearest(retrieval.cosine_join(frame, 0.5).selectExpr("left", "right", "round(sim, 6) as sim"))
+    assert plan(near).count("CartesianProduct") == 1
+    assert {r.id: r.other for r in near.collect()} == {x: y for x, (_, y) in best.items()}
