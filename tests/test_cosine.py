@@ -118,3 +118,11 @@ def test_w8_nearest_neighbour_makes_the_pairs_once(frame, rows):
     near = retrieval.nearest(retrieval.cosine_join(frame, 0.5).selectExpr("left", "right", "round(sim, 6) as sim"))
     assert plan(near).count("CartesianProduct") == 1
     assert {r.id: r.other for r in near.collect()} == {x: y for x, (_, y) in best.items()}
+
+
+def test_a30_exposure_makes_the_pairs_once(frame, rows):
+    hit = {i for k in brute(rows, 0.5) for i in k}
+    found = retrieval.exposure(retrieval.cosine_join(frame, 0.5), frame, "doc")
+    assert plan(found).count("CartesianProduct") == 1
+    docs = {d for _, d, _ in rows}
+    assert {r.doc: (r.rows, r.exposed) for r in found.collect()} == {d: (sum(x == d for _, x, _ in rows), sum(x == d and i in hit for i, x, _ in rows)) for d in docs}
