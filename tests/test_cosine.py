@@ -126,3 +126,8 @@ def test_a30_exposure_makes_the_pairs_once(frame, rows):
     assert plan(found).count("CartesianProduct") == 1
     docs = {d for _, d, _ in rows}
     assert {r.doc: (r.rows, r.exposed) for r in found.collect()} == {d: (sum(x == d for _, x, _ in rows), sum(x == d and i in hit for i, x, _ in rows)) for d in docs}
+
+
+def test_x12_cosine_pairs_shuffles_no_pairs(spark, data):
+    made = plan(catalog.queries()["x12_cosine_pairs"](spark, data))
+    assert made.count("CartesianProduct") == 1 and "Exchange" not in made
